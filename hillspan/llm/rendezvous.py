@@ -86,7 +86,7 @@ def asked(chunk: int, keys: np.ndarray, more: np.ndarray | None, flags: np.ndarr
 
 
 def answered(bucket: pa.Table, kind: np.dtype, more: np.dtype | None, decide: Callable[..., np.ndarray]) -> pa.Table:
-    """decide(keys, more, flags, row) says which entries of a bucket get the bit; row: the asking row of each."""
+    """decide(keys, more, flags, sizes) gives a bit, or a row of bits, for each entry of a bucket; sizes: entries of each asking row."""
     number = bucket.column("bucket")[0].as_py()
     chunks, bits = bucket.column("chunk"), bucket.column("bits")
     if number < 0:
@@ -95,20 +95,20 @@ def answered(bucket: pa.Table, kind: np.dtype, more: np.dtype | None, decide: Ca
     sizes = np.array([len(x) for x in keys])
     flags = None if bits.null_count else np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(bits.to_pylist(), sizes, strict=True)])
     second = None if more is None else np.concatenate([np.frombuffer(x, more) for x in bucket.column("more").to_pylist()])
-    yes = decide(np.concatenate(keys), second, flags, np.repeat(np.arange(len(keys)), sizes))
+    yes = decide(np.concatenate(keys), second, flags, sizes)
     ends = np.cumsum(sizes)
-    any_yes = np.flatnonzero(np.add.reduceat(yes, ends - sizes) > 0)
+    any_yes = np.flatnonzero(np.logical_or.reduceat(yes if yes.ndim == 1 else yes.any(axis=1), ends - sizes))
     return pa.table({"chunk": chunks.take(pa.array(any_yes)), "bucket": pa.array(np.full(len(any_yes), number), pa.int64()), "bits": pa.array([np.packbits(yes[ends[i] - sizes[i] : ends[i]]).tobytes() for i in any_yes], pa.binary())}).cast(pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())]))
 
 
-def answers(replies: pa.Table, bounds: np.ndarray) -> np.ndarray:
-    """The bit of each distinct entry of a chunk."""
-    out = np.zeros(bounds[-1], bool)
+def answers(replies: pa.Table, bounds: np.ndarray, wide: int = 1) -> np.ndarray:
+    """The bits of each distinct entry of a chunk, wide of them for each."""
+    out = np.zeros((bounds[-1], wide), bool)
     for b, bits in zip(replies.column("bucket").to_pylist(), replies.column("bits").to_pylist(), strict=True):
         if b >= 0:
             n = bounds[b + 1] - bounds[b]
-            out[bounds[b] : bounds[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
-    return out
+            out[bounds[b] : bounds[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n * wide).reshape(n, wide)
+    return out if wide > 1 else out[:, 0]
 
 
 def carried(replies: pa.Table, n: int) -> np.ndarray:
