@@ -43,7 +43,7 @@ def plan(documents: DataFrame, columns: list[str]) -> Plan:
     parts = shuffle_partitions(spark)
     buckets = 1 << max(8, (4 * parts - 1).bit_length())
     total = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    chunks = max(2 * parts, total // min(MOST, max(LEAST, ENTRY * buckets)) + 1)
+    chunks = total // min(MOST, max(LEAST, ENTRY * buckets)) + 1
     return Plan(documents.select(F.pmod(F.xxhash64(key, text), F.lit(chunks)).alias("chunk"), F.col(key), F.col(text)), buckets)
 
 
