@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import SQL as MIXING_SQL
+from .mixing import mix
 from .simhash import simhash_components
 from .substring import substring_dedup
 from .suffix import suffix_dedup
@@ -25,6 +27,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_suffix_dedup)}
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {}
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_suffix_dedup, op8_mix_sources)}
+
+ORACLES: dict[str, str] = {"op8_mix_sources": MIXING_SQL}
