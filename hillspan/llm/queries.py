@@ -9,6 +9,9 @@ from .mixing import mix
 from .simhash import simhash_components
 from .substring import substring_dedup
 from .suffix import suffix_dedup
+from .tokens import definition_of, token_output
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +34,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_suffix_dedup, op8_mix_sources)}
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(table(spark, sf_dir, "documents"), definition_of(TOKENIZER))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_suffix_dedup, op8_mix_sources, op10_token_output)}
 
 ORACLES: dict[str, str] = {"op8_mix_sources": MIXING_SQL}
