@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import SQL as MIXING_SQL
 from .mixing import mix
+from .pii import find_pii
 from .simhash import simhash_components
 from .substring import substring_dedup
 from .suffix import suffix_dedup
@@ -34,10 +35,14 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), definition_of(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_suffix_dedup, op8_mix_sources, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_suffix_dedup, op8_mix_sources, op9_personal_data, op10_token_output)}
 
 ORACLES: dict[str, str] = {"op8_mix_sources": MIXING_SQL}
