@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .language import identify
 from .mixing import SQL as MIXING_SQL
 from .mixing import mix
+from .nearest import nearest
 from .pii import find_pii
 from .simhash import simhash_components
 from .substring import substring_dedup
@@ -37,6 +38,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,6 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), definition_of(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_suffix_dedup, op4_benchmark_decontamination, op7_language_id, op8_mix_sources, op9_personal_data, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_suffix_dedup, op4_benchmark_decontamination, op5_nearest_neighbours, op7_language_id, op8_mix_sources, op9_personal_data, op10_token_output)}
 
 ORACLES: dict[str, str] = {"op8_mix_sources": MIXING_SQL}
