@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html import extract
 from .language import identify
 from .mixing import SQL as MIXING_SQL
 from .mixing import mix
@@ -42,6 +43,10 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,6 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), definition_of(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_suffix_dedup, op4_benchmark_decontamination, op5_nearest_neighbours, op7_language_id, op8_mix_sources, op9_personal_data, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_suffix_dedup, op4_benchmark_decontamination, op5_nearest_neighbours, op6_main_text, op7_language_id, op8_mix_sources, op9_personal_data, op10_token_output)}
 
 ORACLES: dict[str, str] = {"op8_mix_sources": MIXING_SQL}

@@ -36,12 +36,14 @@ class Plan:
     buckets: int
 
 
+def buckets_for(spark) -> int:
+    return 1 << max(8, (4 * shuffle_partitions(spark) - 1).bit_length())
+
+
 def plan(documents: DataFrame, columns: list[str]) -> Plan:
     """Deals documents (columns: an id and a text) into chunks; their number follows the bytes of text."""
     key, text = columns
-    spark = documents.sparkSession
-    parts = shuffle_partitions(spark)
-    buckets = 1 << max(8, (4 * parts - 1).bit_length())
+    buckets = buckets_for(documents.sparkSession)
     total = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = total // min(MOST, max(LEAST, ENTRY * buckets)) + 1
     return Plan(documents.select(F.pmod(F.xxhash64(key, text), F.lit(chunks)).alias("chunk"), F.col(key), F.col(text)), buckets)
