@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -222,3 +223,19 @@ def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)], ["doc_id", "held_out", "lang_pred", "score", "spans"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(work, RESULT)
+
+
+def with_language(documents: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of documents, all columns, whose language is known and has at least a share of least in the text."""
+    shared = documents.sparkSession.sparkContext.broadcast(learn(documents))
+
+    @F.pandas_udf("boolean")
+    def accepted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        labeller = Labeller(shared.value)
+        for x in texts:
+            out: list[bool] = []
+            for at in range(0, len(x), 512):
+                out += [lang != UNKNOWN and score >= least for lang, score, _ in labeller.label(x.iloc[at : at + 512].tolist())]
+            yield pd.Series(out, dtype=bool)
+
+    return documents.where(accepted(F.col("text").cast("string")))

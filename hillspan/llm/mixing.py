@@ -62,19 +62,33 @@ def thresholds(sized: DataFrame, totals: DataFrame) -> DataFrame:
     return with_target.join(found, with_target.source.eqNullSafe(found.s), "left").select("source", "source_size", "target", "times", F.coalesce("found", F.lit(1 << (BITS * LEVELS))).alias("below"))
 
 
+def _sized(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """documents' doc_id, source, size and hash, and the thresholds of its sources (their source as s)."""
+    sized = checkpointed(documents.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), hashed(F.col("doc_id")).alias("h")))
+    totals = checkpointed(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    return sized, checkpointed(thresholds(sized, totals)).withColumnRenamed("source", "s")
+
+
 def mix(documents: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of each row of documents (doc_id, text, source).
 
     Null text has size 0, a null source is a source, the last one. Rows with the same doc_id share a hash and are taken
     together. taken is a multiple of size, at most TIMES of it. No documents: no rows.
     """
-    sized = checkpointed(documents.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), hashed(F.col("doc_id")).alias("h")))
-    totals = checkpointed(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    limits = checkpointed(thresholds(sized, totals)).withColumnRenamed("source", "s")
+    sized, limits = _sized(documents)
     taken = F.col("size") * (F.col("times") + (F.col("h") < F.col("below")).cast("long"))
     return sized.join(limits, sized.source.eqNullSafe(limits.s)).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def mixed(documents: DataFrame) -> DataFrame:
+    """The rows of documents, all columns, each as many times as mix() takes it; rows without words are taken with their source's."""
+    _, limits = _sized(documents)
+    limits = limits.select(F.col("s").alias("_s"), F.col("times").alias("_times"), F.col("below").alias("_below"))
+    copies = (F.col("_times") + (hashed(documents.doc_id) < F.col("_below")).cast("long")).cast("int")
+    joined = documents.join(limits, documents.source.cast("string").eqNullSafe(limits["_s"])).where(copies > 0)
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*(documents[c] for c in documents.columns))
+
+
 SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,

@@ -47,15 +47,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> bytes:
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) of each row; null text: no words."""
+    """doc_id, row_hash (of doc_id and text) and fp (the 64 bits as a long) of each row; null text: no words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = Texts(b.column(1))
+            t = Texts(b.column(2))
             fp = np.frombuffer(b"".join(fingerprint(t.text(i), shingle) for i in range(t.n)), ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "row_hash", "fp"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, fp long")
+    key, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return documents.select(key.alias("doc_id"), F.xxhash64(key, text).alias("row_hash"), text.alias("text")).mapInArrow(work, "doc_id long, row_hash long, fp long")
 
 
 def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -168,6 +169,16 @@ def linked_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return distinct.mapInArrow(route, schema).groupBy("shard").applyInArrow(search, "u long, v long")
 
 
+def simhash_groups(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """doc_id, row_hash, fp, root (of the group of fingerprints) and component_id of each row of documents (doc_id, text)."""
+    prints = checkpointed(fingerprints(documents, shingle))
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(linked_fingerprints(distinct.select("fp"), radius))
+    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp", "left")
+
+
 def simhash_components(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row of documents (doc_id, text).
 
@@ -175,10 +186,13 @@ def simhash_components(documents: DataFrame, shingle: int = SHINGLE, radius: int
     fingerprint zero and link like any others. Equal rows share a component. A row with a null id has the component of the
     ids it is linked to, null if there are none. No documents: no rows.
     """
-    prints = checkpointed(fingerprints(documents, shingle))
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(linked_fingerprints(distinct.select("fp"), radius))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return simhash_groups(documents, shingle, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of documents, all columns, that have the smallest doc_id of their group (null ids last; then the smallest hash of the text). Of equal rows one stays."""
+    groups = simhash_groups(documents, shingle, radius)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("row_hash"))).alias("x"))
+    chosen = checkpointed(first.select(F.col("x.row_hash").alias("_row")))
+    keyed = documents.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return keyed.join(chosen, "_row", "left_semi").dropDuplicates(["_row"]).select(*documents.columns)
