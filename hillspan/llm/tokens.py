@@ -128,34 +128,47 @@ class WordEncoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        new = {w for ws in words for w in ws if w not in known}
+        new = set().union(*words).difference(known)
         if new:
             self._learn(new)
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
     def _learn(self, words: set[bytes]) -> None:
-        body = {w: w[:-1] if w[-1:] in b".,;:!?" and w[-2:-1].isalnum() else w for w in words}
-        missing = {b for w, b in body.items() if b not in self.known} | {w[-1:] for w, b in body.items() if b is not w and w[-1:] not in self.known}
-        plain, other = [], []
-        for w in missing:
+        known = self.known
+        missing, ended = set(), []
+        for w in words:
             s = w.decode()
-            (plain if s.isalpha() and s.isascii() else other).append(s)
-        for i in range(0, len(plain), 256):  # a word of letters is one piece, so the ids that end words divide the line
-            some = plain[i : i + 256]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            body = s.rstrip(_MARKS)
+            if len(body) < len(s) and body and body[-1].isalnum() and not any(m in w for m in self.marks):
+                tail = s[len(body) :]  # a piece of its own
+                ended.append((w, body.encode(), tail.encode()))
+                missing.add(body)
+                missing.add(tail)
+            else:
+                missing.add(s)
+        plain, other = [], []
+        for s in missing:
+            if s.encode() not in known:
+                (plain if s.isalpha() else other).append(s)
+        # a word of letters is one piece with one id that ends a word, so these ids divide a line of words; where a word breaks that the counts differ
+        lines = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+        for some, x in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, "<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) != len(some):
                 other += some
                 continue
-            data = ids.tobytes()
-            self.known.update((w.encode(), data[4 * a : 4 * b]) for w, a, b in zip(some, [0, *at[:-1].tolist()], at.tolist(), strict=True))
+            data, at = ids.tobytes(), (4 * at).tolist()
+            known.update(zip(map(str.encode, some), [data[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True))
         for i in range(0, len(other), 4096):
             some = other[i : i + 4096]
-            self.known.update((w.encode(), np.array(x.ids, "<u4").tobytes()) for w, x in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
-        known = self.known
-        known.update((w, known[b] + known[w[-1:]]) for w, b in body.items() if b is not w)
+            known.update((w.encode(), np.array(x.ids, "<u4").tobytes()) for w, x in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
+        for w, body, tail in ended:
+            known[w] = known[body] + known[tail]
 
 
+#: Marks that are split off a word's end after a letter or digit: all of ASCII but the apostrophe, which the tokenizer may join to letters.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ENCODERS: dict[int, WordEncoder] = {}
 
 
