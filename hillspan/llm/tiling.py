@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import U64, Texts, spans, windows
+from .rolling import U64, Texts, slices, spans, windows
 from .shared import checkpointed
 
 #: Tokens of a seed and of the shortest tile; share of an item's tokens that its tiles must cover.
@@ -94,16 +94,15 @@ def tile(item: list[str], document: list[str], shortest: int = SEED) -> list[tup
         return []
     first = np.array(a, np.int64), np.array(b, np.int64)
     while length >= shortest:
-        # maximal matches of unmarked tokens: all have fewer than the last length; search those of this length or more
+        # of unmarked tokens; none has as many as the length before
         found = _matches(first, (free_a, free_b), a, b, length)
-        marked = False
-        for n, i, j in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if free_a[i : i + n].all() and free_b[j : j + n].all():
-                free_a[i : i + n] = free_b[j : j + n] = False
-                tiles.append((i, j, n))
-                marked = True
-        if marked:
-            continue  # what is left of an occluded match may still be this long
+        if found:
+            longest = max(n for n, *_ in found)
+            for _, i, j in sorted(x for x in found if x[0] == longest):
+                if free_a[i : i + longest].all() and free_b[j : j + longest].all():
+                    free_a[i : i + longest] = free_b[j : j + longest] = False
+                    tiles.append((i, j, longest))
+            continue  # what is left of an occluded match may be as long as any other
         length = max(shortest, length // 2) if length > shortest else shortest - 1
     return tiles
 
@@ -146,12 +145,13 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
     bits = documents.sparkSession.sparkContext.broadcast(_filter(benchmark, seed))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve, row = np.unpackbits(bits.value), TaskContext.get().partitionId() << 33
-        for b in batches:
+        sieve, row = bits.value, TaskContext.get().partitionId() << 33
+        for b in (piece for batch in batches for piece in slices(batch, 1)):
             texts, fp, doc, _ = _seeds(b.column(1), seed)
-            x, y = _places(fp)
-            passed = np.flatnonzero(sieve[x])
-            passed = passed[sieve[y[passed]] > 0]
+            passed = np.arange(len(fp))
+            for place in _places(fp):
+                at = place[passed]
+                passed = passed[(sieve[at >> 3] >> (7 - (at & 7)) & 1) > 0]
             at, begin = np.unique(doc[passed], return_index=True)
             seeds = [np.unique(x).view(np.int64) for x in np.split(fp[passed], begin[1:])] if len(at) else []
             index = pa.array(at)
