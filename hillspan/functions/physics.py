@@ -1,0 +1,65 @@
+"""Energies, ratios and distances, as expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Gravity (m/s^2), the earth's radius (m), default mass (kg) and energy per metre (J/m).
+GRAVITY, EARTH_RADIUS_M, MASS_KG, LAMBDA_J_PER_M = 9.81, 6_371_000.0, 1200.0, 585.0
+#: Share of the observed energy that counts as a tie, and the factor's excess that means the same.
+TIE = 0.0005
+TIE_FACTOR = TIE / (1 - TIE)
+
+
+def ratio(mass: Column, lam: Column, recovery: Column | float = 0.0) -> Column:
+    """m g (1 - eps) / lambda: metres of way that a metre of climbing costs."""
+    return mass * GRAVITY * (1.0 - F.lit(recovery) if isinstance(recovery, float) else 1.0 - recovery) / lam
+
+
+def fuel_to_lambda(efficiency: float, energy_mj_per_l: float, litres_per_100_km: float) -> float:
+    """J/m from an engine's efficiency and a car's use: MJ/l times l/100 km are 10 J/m."""
+    return efficiency * energy_mj_per_l * litres_per_100_km * 10
+
+
+def path_energy(gain: Column, length: Column, mass: float = MASS_KG, lam: float = LAMBDA_J_PER_M) -> Column:
+    return F.lit(mass * GRAVITY) * gain + F.lit(lam) * length
+
+
+def mode_energy(mass: Column, recovery: Column, lam: Column, occupancy: Column, length: Column, climb: Column) -> Column:
+    """Of a round trip, for each passenger: what descent gives back is the share recovery of the climb."""
+    return (mass * GRAVITY * (1.0 - recovery) * climb + lam * length) / occupancy
+
+
+def leg_energy(mass: Column, recovery: Column, lam: Column, occupancy: Column, length: Column, up: Column, down: Column) -> Column:
+    """Of a way in one direction, with its own descent."""
+    return (mass * GRAVITY * (up - recovery * down) + lam * length) / occupancy
+
+
+def descent(up: Column, z_from: Column, z_to: Column) -> Column:
+    return up - (z_to - z_from)
+
+
+def friction_work(mu: Column, mass: Column, distance: Column) -> Column:
+    return mu * mass * GRAVITY * distance
+
+
+def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(a))
+
+
+def guarded(n: Column) -> Column:
+    """A count as a divisor."""
+    return F.greatest(n, F.lit(1))
+
+
+def number(text: Column) -> Column:
+    """The double in a text, null where there is none; not-a-number counts as none."""
+    x = text.try_cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def unit_interval(seed: Column) -> Column:
+    """A linear congruential step on integers as a number in [0, 1): both engines and all runs agree on it."""
+    return F.pmod(seed.cast("bigint") * 1103515245 + 12345, F.lit(2147483648)).cast("double") / 2147483648.0
