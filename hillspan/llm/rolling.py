@@ -6,6 +6,8 @@ Two of them from different keys identify a string; the operators state how many
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -97,6 +99,18 @@ def byte_windows(buf: np.ndarray, m: int, key: int) -> np.ndarray:
     return out
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about most bytes of a string column, a row at least: what a task holds doesn't grow with the rows of a batch."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 class Texts:
     """The texts of an Arrow string column as one array of bytes; null is empty."""
 

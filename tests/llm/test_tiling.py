@@ -90,3 +90,15 @@ def test_empty(spark, empty):
     b = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert contaminated(d.limit(0) if empty == "documents" else d, b.limit(0) if empty == "benchmark" else b).collect() == []
     assert decontaminate(d, b.limit(0)).count() == 1 and decontaminate(d, b).count() == 0
+
+
+def test_slices_hold_all_rows():
+    import pyarrow as pa
+
+    from hillspan.llm.rolling import slices
+
+    texts = ["a" * n for n in (5, 0, 100, 3, 3, 3, 40)] + [None]
+    b = pa.record_batch([pa.array(range(8)), pa.array(texts, pa.string())], ["i", "t"])
+    parts = [p.column(0).to_pylist() for p in slices(b, 1, 10)]
+    assert sum(parts, []) == list(range(8)) and parts[0] == [0, 1]
+    assert list(slices(b.slice(0, 0), 1)) == []
