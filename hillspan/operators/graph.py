@@ -30,7 +30,11 @@ def representative_arcs(arcs: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def reversed_arcs(arcs: DataFrame) -> DataFrame:
-    return arcs.withColumnsRenamed({"u": "v", "v": "u"})
+    return _swapped(arcs, {"u": "v", "v": "u"})
+
+
+def _swapped(arcs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return arcs.select(*(F.col(names.get(c, c)).alias(c) for c in arcs.columns))
 
 
 def all_pairs(arcs: DataFrame, carried: Sequence[str] = (), most_arcs: int = 64) -> DataFrame:
@@ -172,4 +176,4 @@ def route_arcs(stops: DataFrame, route: Sequence[str], order: str) -> DataFrame:
 
 def directed_terms(arcs: DataFrame, up: str = "up", down: str = "down") -> DataFrame:
     """Arcs in both directions, the way back with ascent and descent exchanged."""
-    return arcs.unionByName(arcs.withColumnsRenamed({"u": "v", "v": "u", up: down, down: up}))
+    return arcs.unionByName(_swapped(arcs, {"u": "v", "v": "u", up: down, down: up}))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import demand, ranking, relational  # noqa: F401
+from . import demand, networks, ranking, relational  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
