@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.physics import EARTH_RADIUS_M
-from .graph import _cut
+from ..sources.folders import checkpointed
 
 #: Fixed value: radius of the sphere of web maps (m).
 MAP_RADIUS_M = 6_378_137.0
@@ -84,9 +84,9 @@ def nearest_node(points: DataFrame, nodes: DataFrame, key: str, size: float, gro
     Rounds of growing cells: a point is settled once its best is nearer than the ring it has looked at is wide; the rest
     look again in cells of twice the size. Points and nodes meet by cell, never all by all.
     """
-    spark, g = points.sparkSession, list(group)
+    g = list(group)
     n = nodes.select(*g, "node", F.col("x").alias("_nx"), F.col("y").alias("_ny"))
-    left, out = _cut(spark, points), None
+    left, out = checkpointed(points), None
     extent = nodes.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     far = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     empty = points.select(*points.columns, F.lit(None).cast(nodes.schema["node"].dataType).alias("node"), F.lit(None).cast("double").alias("d2"))
@@ -102,9 +102,9 @@ def nearest_node(points: DataFrame, nodes: DataFrame, key: str, size: float, gro
         best = q.join(cells, [*g, "_i", "_j"]).groupBy(key).agg(F.min(F.struct(d2.alias("d2"), "node")).alias("_x")).select(key, F.col("_x.node").alias("node"), F.col("_x.d2").alias("d2"))
         last = size > widest
         settled = best if last else best.where(F.col("d2") <= size * size)
-        now = _cut(spark, left.join(settled, key))
+        now = checkpointed(left.join(settled, key))
         out = now if out is None else out.unionByName(now)
-        left = _cut(spark, left.join(now.select(key), key, "left_anti"))
+        left = checkpointed(left.join(now.select(key), key, "left_anti"))
         if last or left.isEmpty():
             return out.select(*points.columns, "node", "d2").unionByName(left.join(empty.select(key, "node", "d2"), key).select(*points.columns, "node", "d2"))
         size *= 2

@@ -6,22 +6,15 @@ import heapq
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folders import checkpointed
+
 #: Arcs, at most, of a network that shortest_paths() sends to its tasks.
 MOST_ARCS = 5_000_000
 
 
-def _cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df computed and written to the checkpoint folder, so that rounds do not nest their plans."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    return df.checkpoint()
-
-
 def representative_arcs(arcs: DataFrame, by: Sequence[str]) -> DataFrame:
     """One arc for each (u, v): the least by the columns in by, which should end with a key."""
     rest = [c for c in arcs.columns if c not in ("u", "v")]
@@ -44,7 +37,6 @@ def all_pairs(arcs: DataFrame, carried: Sequence[str] = (), most_arcs: int = 64)
     whose pairs are to be stored anyway; shortest_paths() is for few origins in a large one.
     """
     cols = ["w", *carried]
-    spark = arcs.sparkSession
     base = arcs.select(F.col("u").alias("i"), F.col("v").alias("j"), *cols)
     nodes = base.select("i").union(base.select("j")).distinct()
     zero = nodes.select("i", F.col("i").alias("j"), *(F.lit(0).cast(arcs.schema[c].dataType).alias(c) for c in cols))
@@ -52,7 +44,7 @@ def all_pairs(arcs: DataFrame, carried: Sequence[str] = (), most_arcs: int = 64)
     d = least(base.unionByName(zero))
     reach = 1
     while reach < most_arcs:
-        d = _cut(spark, d)
+        d = checkpointed(d)
         b = d.select(F.col("i").alias("_m"), F.col("j").alias("_j"), *(F.col(c).alias(f"_{c}") for c in cols))
         d = least(d.join(b, F.col("j") == F.col("_m")).select("i", F.col("_j").alias("j"), *((F.col(c) + F.col(f"_{c}")).alias(c) for c in cols)))
         reach *= 2
@@ -95,7 +87,7 @@ def shortest_paths(arcs: DataFrame, origins: DataFrame, carried: Sequence[str] =
 
 def all_from(arcs: DataFrame, origins: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     """The same by rounds of relaxation: the nodes that came nearer in a round pass it on to their neighbours. For any size of network."""
-    cols, spark = ["w", *carried], arcs.sparkSession
+    cols = ["w", *carried]
     value = F.struct(*cols)
     base = arcs.select("u", "v", *(F.col(c).alias(f"_{c}") for c in cols))
     known = origins.select(F.col("i").cast("long").alias("i")).distinct().select("i", F.col("i").alias("j"), *(F.lit(0).cast(arcs.schema[c].dataType).alias(c) for c in cols))
@@ -104,7 +96,7 @@ def all_from(arcs: DataFrame, origins: DataFrame, carried: Sequence[str] = ()) -
         passed = front.join(base, F.col("j") == F.col("u")).select("i", F.col("v").alias("j"), *((F.col(c) + F.col(f"_{c}")).alias(c) for c in cols))
         both = known.select("i", "j", value.alias("x"), F.lit(0).alias("new")).unionByName(passed.select("i", "j", value.alias("x"), F.lit(1).alias("new")))
         best = both.groupBy("i", "j").agg(F.min(F.struct("x", "new")).alias("b"))
-        best = _cut(spark, best.select("i", "j", *(F.col(f"b.x.{c}").alias(c) for c in cols), F.col("b.new").alias("new")))
+        best = checkpointed(best.select("i", "j", *(F.col(f"b.x.{c}").alias(c) for c in cols), F.col("b.new").alias("new")))
         known, front = best.drop("new"), best.where("new = 1").drop("new")
         if front.isEmpty():
             return known
@@ -119,13 +111,12 @@ def path_totals(flows: DataFrame, paths: DataFrame, group: Sequence[str], carrie
 
 def reachable(arcs: DataFrame, start: DataFrame) -> DataFrame:
     """node of all that paths from start (node) reach, start included: rounds over the newly found."""
-    spark = arcs.sparkSession
-    known = _cut(spark, start.select("node").distinct())
+    known = checkpointed(start.select("node").distinct())
     front = known
     while not front.isEmpty():
         found = front.join(arcs, F.col("node") == F.col("u")).select(F.col("v").alias("node")).distinct()
-        front = _cut(spark, found.join(known, "node", "left_anti"))
-        known = _cut(spark, known.unionByName(front))
+        front = checkpointed(found.join(known, "node", "left_anti"))
+        known = checkpointed(known.unionByName(front))
     return known
 
 
@@ -135,32 +126,31 @@ def strong_components(arcs: DataFrame) -> DataFrame:
     In a round every node takes the least node that reaches it as its colour; a colour's own node, and all that reach it within the colour,
     are its component and leave. Components with many in and out arcs leave in the first rounds.
     """
-    spark = arcs.sparkSession
-    arcs = _cut(spark, arcs.select("u", "v").where("u <> v").distinct())
-    nodes = _cut(spark, arcs.select(F.col("u").alias("node")).union(arcs.select("v")).distinct())
+    arcs = checkpointed(arcs.select("u", "v").where("u <> v").distinct())
+    nodes = checkpointed(arcs.select(F.col("u").alias("node")).union(arcs.select("v")).distinct())
     out = None
     while not nodes.isEmpty():
         colour, before = nodes.withColumn("c", F.col("node")), None
         while True:
             passed = arcs.join(colour, F.col("u") == F.col("node")).select(F.col("v").alias("node"), "c")
-            colour = _cut(spark, colour.unionByName(passed).groupBy("node").agg(F.min("c").alias("c")))
+            colour = checkpointed(colour.unionByName(passed).groupBy("node").agg(F.min("c").alias("c")))
             now = colour.agg(F.sum(F.col("c").cast("decimal(38,0)"))).first()[0]
             if now == before:
                 break
             before = now
         cu, cv = colour.select(F.col("node").alias("u"), F.col("c").alias("cu")), colour.select(F.col("node").alias("v"), F.col("c").alias("cv"))
-        inner = _cut(spark, arcs.join(cu, "u").join(cv, "v").where("cu = cv").select("u", "v"))
+        inner = checkpointed(arcs.join(cu, "u").join(cv, "v").where("cu = cv").select("u", "v"))
         found = reachable(reversed_arcs(inner), colour.where("node = c"))
-        done = _cut(spark, colour.join(found, "node", "left_semi").withColumnRenamed("c", "component"))
+        done = checkpointed(colour.join(found, "node", "left_semi").withColumnRenamed("c", "component"))
         out = done if out is None else out.unionByName(done)
-        nodes = _cut(spark, nodes.join(done, "node", "left_anti"))
-        arcs = _cut(spark, arcs.join(nodes.withColumnRenamed("node", "u"), "u", "left_semi").join(nodes.withColumnRenamed("node", "v"), "v", "left_semi"))
+        nodes = checkpointed(nodes.join(done, "node", "left_anti"))
+        arcs = checkpointed(arcs.join(nodes.withColumnRenamed("node", "u"), "u", "left_semi").join(nodes.withColumnRenamed("node", "v"), "v", "left_semi"))
     return out if out is not None else nodes.withColumn("component", F.col("node"))
 
 
 def largest_component(arcs: DataFrame) -> DataFrame:
     """The arcs inside the strong component with the most nodes; of equal ones that with the least node."""
-    c = _cut(arcs.sparkSession, strong_components(arcs))
+    c = checkpointed(strong_components(arcs))
     best = c.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
     nodes = c.join(best, "component", "left_semi").select("node")
     return arcs.join(nodes.withColumnRenamed("node", "u"), "u", "left_semi").join(nodes.withColumnRenamed("node", "v"), "v", "left_semi")
