@@ -153,7 +153,7 @@ def largest_component(arcs: DataFrame) -> DataFrame:
     c = checkpointed(strong_components(arcs))
     best = c.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
     nodes = c.join(best, "component", "left_semi").select("node")
-    return arcs.join(nodes.withColumnRenamed("node", "u"), "u", "left_semi").join(nodes.withColumnRenamed("node", "v"), "v", "left_semi")
+    return arcs.join(nodes.withColumnRenamed("node", "u"), "u", "left_semi").join(nodes.withColumnRenamed("node", "v"), "v", "left_semi").select(*arcs.columns)
 
 
 def route_arcs(stops: DataFrame, route: Sequence[str], order: str) -> DataFrame:

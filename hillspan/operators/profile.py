@@ -92,7 +92,7 @@ def from_u(geometry: Column, ux: Column, uy: Column) -> Column:
 def polyline_length(geometry: Column) -> Column:
     """Sum of the segments of an array of structs x, y; 0 of fewer than two points."""
     pairs = F.arrays_zip(F.slice(geometry, F.lit(1), F.greatest(F.size(geometry) - 1, F.lit(0))).alias("a"), F.slice(geometry, F.lit(2), F.greatest(F.size(geometry) - 1, F.lit(0))).alias("b"))
-    hypot = lambda p: F.sqrt((p["1"]["x"] - p["0"]["x"]) * (p["1"]["x"] - p["0"]["x"]) + (p["1"]["y"] - p["0"]["y"]) * (p["1"]["y"] - p["0"]["y"]))
+    hypot = lambda p: F.sqrt((p["b"]["x"] - p["a"]["x"]) * (p["b"]["x"] - p["a"]["x"]) + (p["b"]["y"] - p["a"]["y"]) * (p["b"]["y"] - p["a"]["y"]))
     return F.aggregate(F.transform(pairs, hypot), F.lit(0.0), lambda t, x: t + x)
 
 
