@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, word_count
+from .shared import broadcast_if_few, checkpointed, word_count
 
 #: Bits of the hash that a histogram resolves, and the histograms: the hash has BITS * LEVELS bits.
 BITS, LEVELS = 12, 5
@@ -63,10 +63,10 @@ def thresholds(sized: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def _sized(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """documents' doc_id, source, size and hash, and the thresholds of its sources (their source as s)."""
+    """documents' doc_id, source, size and hash, and the thresholds of its sources (their source as s): a row a source."""
     sized = checkpointed(documents.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), hashed(F.col("doc_id")).alias("h")))
     totals = checkpointed(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    return sized, checkpointed(thresholds(sized, totals)).withColumnRenamed("source", "s")
+    return sized, broadcast_if_few(checkpointed(thresholds(sized, totals)).withColumnRenamed("source", "s"))
 
 
 def mix(documents: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def mix(documents: DataFrame) -> DataFrame:
 def mixed(documents: DataFrame) -> DataFrame:
     """The rows of documents, all columns, each as many times as mix() takes it; rows without words are taken with their source's."""
     _, limits = _sized(documents)
-    limits = limits.select(F.col("s").alias("_s"), F.col("times").alias("_times"), F.col("below").alias("_below"))
+    limits = broadcast_if_few(limits.select(F.col("s").alias("_s"), F.col("times").alias("_times"), F.col("below").alias("_below")))
     copies = (F.col("_times") + (hashed(documents.doc_id) < F.col("_below")).cast("long")).cast("int")
     joined = documents.join(limits, documents.source.cast("string").eqNullSafe(limits["_s"])).where(copies > 0)
     return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*(documents[c] for c in documents.columns))

@@ -26,6 +26,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of numbers and short strings, at most, of a table that goes to all tasks.
+FEW_ROWS = 100_000
+
+
+def broadcast_if_few(df: DataFrame) -> DataFrame:
+    """df, computed already, with a broadcast hint if it has at most FEW_ROWS; otherwise a join with it shuffles as Spark plans it."""
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
