@@ -16,6 +16,7 @@ import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 from uuid import uuid4
 
 import numpy as np
@@ -30,7 +31,7 @@ from .shared import shared_folder, shuffle_partitions
 #: Closes every document.
 END_ID = 2
 #: Ids of a block; tokens of a shard, about; words that a worker remembers, at most.
-BLOCK, SHARD, REMEMBERED = 8192, 1 << 20, 1_000_000
+BLOCK, SHARD, REMEMBERED = 8192, 1 << 20, 600_000
 HEADER = struct.Struct("<4sIIIQQ")
 MAGIC = b"HSTK"
 SHARD_SCHEMA = "part int, seq int, first long, n_tokens long, shard binary"
@@ -125,8 +126,8 @@ class WordEncoder:
     def texts(self, texts: list[bytes]) -> list[bytes]:
         """Words are remembered in lower case (A to Z only) where the tokenizer lowers case anyway, but for texts with special tokens."""
         words = [(x if not self.lower or any(m in x.lower() for m in self.marks) else x.lower()).split() for x in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > REMEMBERED:  # words met first are the frequent ones
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
         known = self.known
         new = set().union(*words).difference(known)
         if new:
