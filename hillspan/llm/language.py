@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ PENALTY, MOST = 20.0, 12.0
 #: Share of a language's words in a script from which the script's words have it as a candidate.
 SHARE = 0.01
 #: Words whose scores a worker remembers, at most.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 UNKNOWN = "und"
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, spans array<struct<lang:string,first_word:long,n_words:long>>"
 
@@ -178,8 +179,8 @@ class Labeller:
         found = [words(x or "") for x in texts]
         if not self.model.languages:
             return [(UNKNOWN, 0.0, [])] * len(texts)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > REMEMBERED:  # words met first are the frequent ones
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
         known = self.known
         new = {w for ws in found for w in ws if w not in known}
         if new:
