@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 from .shared import checkpointed
 
 
+def _pairs(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Columns u and v: a row of df gives one for each of pairs."""
+    both = F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs))
+    return df.select(F.explode(both).alias("p")).select("p.u", "p.v").where("u <> v")
+
+
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Every node hands its larger neighbours (small: its smaller ones, and itself) to the least node it knows."""
     if small:
         out = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     else:
-        out = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v")
-    least = out.groupBy("u").agg(F.min("v").alias("m"))
-    joined = out.join(least, "u")
+        out = _pairs(edges, ("u", "v"), ("v", "u"))
+    joined = out.join(out.groupBy("u").agg(F.min("v").alias("m")), "u")
     if small:
-        moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    else:
-        moved = joined.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-    return moved.where("u <> v").distinct()
+        return _pairs(joined, ("v", "m"), ("u", "m")).distinct()
+    return joined.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .rolling import Texts
 from .shared import checkpointed
+from .shingles import SIMILARITY, alike
 
 SHINGLE, RADIUS = 3, 2
 #: Distinct fingerprints, at most, that the shards' tree is fitted on; fingerprints of a shard, about; of a leaf.
@@ -189,10 +190,21 @@ def simhash_components(documents: DataFrame, shingle: int = SHINGLE, radius: int
     return simhash_groups(documents, shingle, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of documents, all columns, that have the smallest doc_id of their group (null ids last; then the smallest hash of the text). Of equal rows one stays."""
-    groups = simhash_groups(documents, shingle, radius)
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("row_hash"))).alias("x"))
+def one_of_each(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of documents, all columns, that have the smallest doc_id of their group (null ids last; then the smallest hash). Of equal rows one stays.
+
+    A group is what links of radius bits or fewer, and of similarity or more on shingles of five words, connect.
+    """
+    key, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    keyed = documents.select(F.xxhash64(key, text).alias("row_hash"), F.xxhash64(text).alias("text_hash"), key.alias("doc_id"), text.alias("text"))
+    groups = checkpointed(simhash_groups(documents, shingle, radius).select("doc_id", "row_hash", "root"))
+    texts = checkpointed(keyed.select("row_hash", "text_hash").distinct())
+    named = checkpointed(groups.join(texts, "row_hash"))
+    near = named.select("root", "text_hash").distinct()
+    star = near.join(near.groupBy("root").agg(F.min("text_hash").alias("u")), "root").where("text_hash <> u").select("u", F.col("text_hash").alias("v"))
+    roots = components(star.union(alike(keyed, similarity)))
+    whole = named.join(roots, F.col("text_hash") == F.col("node"), "left").select("doc_id", "row_hash", F.coalesce(roots["root"], "text_hash").alias("g"))
+    first = whole.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("row_hash"))).alias("x"))
     chosen = checkpointed(first.select(F.col("x.row_hash").alias("_row")))
-    keyed = documents.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return keyed.join(chosen, "_row", "left_semi").dropDuplicates(["_row"]).select(*documents.columns)
+    rows = documents.withColumn("_row", F.xxhash64(key, text))
+    return rows.join(chosen, "_row", "left_semi").dropDuplicates(["_row"]).select(*documents.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 
@@ -20,6 +21,11 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def sets_of(text):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text).split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
 def ids(df):
     return sorted(r.doc_id for r in df.collect())
 
@@ -36,6 +42,7 @@ def test_every_stage_against_brute_force(spark):
     out = corpus_pipeline.language_id(spark, docs, SF)
     assert out.columns == COLUMNS and ids(out) == sorted(r["doc_id"] for r in want) and len(want) == len(rows) - 2
 
+    shingles = [sets_of(r["text"]) for r in want]
     prints = [int.from_bytes(fingerprint((r["text"] or "").encode()), "big") for r in want]
     label = list(range(len(want)))
     changed = True
@@ -43,7 +50,8 @@ def test_every_stage_against_brute_force(spark):
         changed = False
         for i in range(len(want)):
             for j in range(len(want)):
-                if (prints[i] ^ prints[j]).bit_count() <= 2 and label[j] < label[i]:
+                near = (prints[i] ^ prints[j]).bit_count() <= 2 or 10 * len(shingles[i] & shingles[j]) >= 8 * len(shingles[i] | shingles[j])
+                if near and label[j] < label[i]:
                     label[i], changed = label[j], True
     kept = sorted({label[i]: None for i in range(len(want))})
     best = sorted(min(want[i]["doc_id"] for i in range(len(want)) if label[i] == g) for g in kept)
