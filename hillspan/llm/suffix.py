@@ -112,7 +112,7 @@ class _Chunk:
         w, t = self.length - self.half + 1, self.texts
         blank = np.zeros(w - 1, U64)
         reach = sliding(np.concatenate([blank, self.least, blank]), w, np.maximum)
-        at = np.flatnonzero(reach == self.grams) if len(reach) else np.zeros(0, np.int64)
+        at = np.flatnonzero(reach == self.grams) if len(self.grams) else np.zeros(0, np.int64)
         doc = np.searchsorted(t.at, at, side="right") - 1
         lo, hi = np.maximum(t.at[doc], at - (self.length - self.half)), np.minimum(t.at[doc + 1], at + self.length)
         a, b = mix(self.grams[at]), mix(spans(t.buf, lo, hi, 1) + (at - lo).astype(U64))

@@ -6,6 +6,9 @@ import hashlib
 import random
 import re
 
+import pytest
+
+from hillspan.llm import rendezvous
 from hillspan.llm.substring import substring_dedup
 
 
@@ -47,7 +50,10 @@ def rows_for_test():
     return rows
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("chunk_bytes", [500, 20000, 1 << 22])
+def test_equals_brute_force(spark, monkeypatch, chunk_bytes):
+    monkeypatch.setattr(rendezvous, "LEAST", chunk_bytes)
+    monkeypatch.setattr(rendezvous, "ENTRY", 1)
     rows = rows_for_test()
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, chunk string, bucket int").repartition(5)
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(df).collect()), key=str)

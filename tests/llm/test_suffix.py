@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from hillspan.llm import rendezvous
 from hillspan.llm.suffix import LevelFamily, suffix_dedup
 
 
@@ -46,8 +47,10 @@ def rows_for_test(size):
     return rows
 
 
-@pytest.mark.parametrize("length", [40, 400])
-def test_equals_brute_force(spark, length):
+@pytest.mark.parametrize(("length", "chunk_bytes"), [(40, 300), (400, 1500), (400, 1 << 22)])
+def test_equals_brute_force(spark, monkeypatch, length, chunk_bytes):
+    monkeypatch.setattr(rendezvous, "LEAST", chunk_bytes)
+    monkeypatch.setattr(rendezvous, "ENTRY", 1)
     rows = rows_for_test(length)
     df = spark.createDataFrame([(i, t, 1, "y") for i, t in rows], "doc_id long, text string, chunk int, bits string").repartition(5)
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(df, length).collect()), key=str)
