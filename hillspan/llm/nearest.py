@@ -50,7 +50,7 @@ def tile(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndar
     d = np.empty(len(i))
     for at in range(0, len(i), 1 << 16):
         a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-        d[at : at + (1 << 16)] = np.sqrt(((q[a] - r[b]) ** 2).sum(axis=1))
+        d[at : at + (1 << 16)] = np.sqrt(np.add.accumulate((q[a] - r[b]) ** 2, axis=1)[:, -1])  # component by component, as SQL adds
     order = np.lexsort((r_id[j], d, i))
     i, j, d = i[order], j[order], d[order]
     begin = np.searchsorted(i, np.arange(len(q)))
@@ -103,3 +103,16 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, id_column: str = "
 
     found = dealt.groupBy("block", "width").cogroup(asked.groupBy("block", "width")).applyInArrow(tiles, "query_id long, vec_id long, score double")
     return found.groupBy("query_id").applyInArrow(merge, RESULT)
+
+
+SQL = """
+WITH sound AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+v AS (SELECT vec_id, min(e) AS e FROM sound GROUP BY vec_id),
+d AS (
+  SELECT a.vec_id AS query_id, b.vec_id, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM d)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""

@@ -8,9 +8,11 @@ from .html import extract
 from .language import identify
 from .mixing import SQL as MIXING_SQL
 from .mixing import mix
+from .nearest import SQL as NEAREST_SQL
 from .nearest import nearest
 from .pii import find_pii
 from .simhash import simhash_components
+from .substring import SQL as SUBSTRING_SQL
 from .substring import substring_dedup
 from .suffix import suffix_dedup
 from .tiling import contaminated
@@ -24,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"))
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("removed")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +67,4 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_suffix_dedup, op4_benchmark_decontamination, op5_nearest_neighbours, op6_main_text, op7_language_id, op8_mix_sources, op9_personal_data, op10_token_output)}
 
-ORACLES: dict[str, str] = {"op8_mix_sources": MIXING_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op5_nearest_neighbours": NEAREST_SQL, "op8_mix_sources": MIXING_SQL}

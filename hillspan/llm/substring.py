@@ -181,3 +181,17 @@ def _result(c: _Chunk, gone: np.ndarray) -> pa.Table:
         kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
         runs.append(found)
     return pa.table({"doc_id": pa.array(c.ids, pa.int64()), "n_words": pa.array(c.count, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(kept, pa.string()), "removed": pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, s, md5(array_to_string(ws[s : s + 49], ' ')) AS h FROM w, unnest(generate_series(1, len(ws) - 49)) t(s) WHERE len(ws) >= 50),
+m AS (SELECT h, min(doc_id) AS least FROM k GROUP BY h),
+gone AS (SELECT DISTINCT k.doc_id, s + i AS pos FROM k JOIN m ON k.h = m.h, unnest(generate_series(0, 49)) t(i) WHERE least < k.doc_id),
+words AS (SELECT doc_id, pos, ws[pos] AS word FROM w, unnest(generate_series(1, len(ws))) t(pos)),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM words x
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = x.doc_id AND g.pos = x.pos) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""

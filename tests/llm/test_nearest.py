@@ -19,7 +19,7 @@ def brute(rows, every, k):
     out = []
     for i, v in sound.items():
         if i % every == 0:
-            d = sorted((float(np.sqrt(((np.array(v, float) - np.array(w, float)) ** 2).sum())), j) for j, w in sound.items() if j != i and len(w) == len(v))
+            d = sorted((float(np.sqrt(np.add.accumulate((np.array(v, float) - np.array(w, float)) ** 2)[-1])), j) for j, w in sound.items() if j != i and len(w) == len(v))
             out += [(i, n + 1, j, x) for n, (x, j) in enumerate(d[:k])]
     return sorted(out)
 
