@@ -20,11 +20,12 @@ from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rolling import slices
+
 #: Labelled rows to learn from, about (the hash decides each alone); letter groups of the model, at most.
 SAMPLE, FEATURES = 8_000, 60_000
 GROUPS = (3, 4)
@@ -217,8 +218,8 @@ def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
         labeller = Labeller(shared.value)
         for b in batches:
             rows: list = []
-            for at in range(0, len(b), 512):
-                rows += labeller.label(b.column(2).slice(at, 512).to_pylist())
+            for piece in slices(b, 2):
+                rows += labeller.label(piece.column(2).to_pylist())
             lang, score, spans = zip(*rows, strict=True) if rows else ((), (), ())
             kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)], ["doc_id", "held_out", "lang_pred", "score", "spans"])
@@ -229,14 +230,12 @@ def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
 def with_language(documents: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of documents, all columns, whose language is known and has at least a share of least in the text."""
     shared = documents.sparkSession.sparkContext.broadcast(learn(documents))
+    at_text = documents.columns.index("text")
 
-    @F.pandas_udf("boolean")
-    def accepted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
-        for x in texts:
-            out: list[bool] = []
-            for at in range(0, len(x), 512):
-                out += [lang != UNKNOWN and score >= least for lang, score, _ in labeller.label(x.iloc[at : at + 512].tolist())]
-            yield pd.Series(out, dtype=bool)
+        for b in (piece for batch in batches for piece in slices(batch, at_text)):
+            found = labeller.label(b.column(at_text).to_pylist())
+            yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found], pa.bool_()))
 
-    return documents.where(accepted(F.col("text").cast("string")))
+    return documents.mapInArrow(accepted, documents.schema)
