@@ -19,15 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .rolling import Texts
-from .shared import checkpointed
+from .rolling import Texts, slices
+from .shared import checkpointed, unused
 from .shingles import SIMILARITY, alike
 
 SHINGLE, RADIUS = 3, 2
 #: Distinct fingerprints, at most, that the shards' tree is fitted on; fingerprints of a shard, about; of a leaf.
 SAMPLE, SHARD, LEAF = 20_000, 4096, 128
-#: Shingles of a text that are held at a time.
-PIECE = 1 << 16
+#: Shingles of a text that are held at a time; queries that a leaf answers at a time.
+PIECE, QUERIES = 1 << 15, 1 << 13
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> bytes:
@@ -51,7 +51,7 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, row_hash (of doc_id and text) and fp (the 64 bits as a long) of each row; null text: no words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (piece for batch in batches for piece in slices(batch, 2)):
             t = Texts(b.column(2))
             fp = np.frombuffer(b"".join(fingerprint(t.text(i), shingle) for i in range(t.n)), ">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "row_hash", "fp"])
@@ -134,8 +134,8 @@ def links_within(points: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.
     for leaf, at in tree.visits(points, radius):
         inner = tree.leaves[leaf]
         own = number[np.searchsorted(points[number].view(np.int64), inner.view(np.int64))]
-        for lo in range(0, len(at), PIECE):
-            q = at[lo : lo + PIECE]
+        for lo in range(0, len(at), QUERIES):
+            q = at[lo : lo + QUERIES]
             i, j = np.nonzero(distance(points[q][:, None], inner[None, :]) <= radius)
             forest.join(q[i], own[j])
     root = forest.roots(np.arange(len(points)))
@@ -205,6 +205,7 @@ def one_of_each(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADI
     roots = components(star.union(alike(keyed, similarity)))
     whole = named.join(roots, F.col("text_hash") == F.col("node"), "left").select("doc_id", "row_hash", F.coalesce(roots["root"], "text_hash").alias("g"))
     first = whole.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("row_hash"))).alias("x"))
-    chosen = checkpointed(first.select(F.col("x.row_hash").alias("_row")))
-    rows = documents.withColumn("_row", F.xxhash64(key, text))
-    return rows.join(chosen, "_row", "left_semi").dropDuplicates(["_row"]).select(*documents.columns)
+    name = unused(documents, "_row")
+    chosen = checkpointed(first.select(F.col("x.row_hash").alias(name)))
+    rows = documents.withColumn(name, F.xxhash64(key, text))
+    return rows.join(chosen, name, "left_semi").dropDuplicates([name]).select(*documents.columns)
