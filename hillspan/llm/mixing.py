@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_few, checkpointed, word_count
+from .shared import broadcast_if_few, checkpointed, unused, word_count
 
 #: Bits of the hash that a histogram resolves, and the histograms: the hash has BITS * LEVELS bits.
 BITS, LEVELS = 12, 5
@@ -83,10 +83,11 @@ def mix(documents: DataFrame) -> DataFrame:
 def mixed(documents: DataFrame) -> DataFrame:
     """The rows of documents, all columns, each as many times as mix() takes it; rows without words are taken with their source's."""
     _, limits = _sized(documents)
-    limits = broadcast_if_few(limits.select(F.col("s").alias("_s"), F.col("times").alias("_times"), F.col("below").alias("_below")))
-    copies = (F.col("_times") + (hashed(documents.doc_id) < F.col("_below")).cast("long")).cast("int")
-    joined = documents.join(limits, documents.source.cast("string").eqNullSafe(limits["_s"])).where(copies > 0)
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*(documents[c] for c in documents.columns))
+    source, times, below, copy = (unused(documents, x) for x in ("_source", "_times", "_below", "_copy"))
+    limits = broadcast_if_few(limits.select(F.col("s").alias(source), F.col("times").alias(times), F.col("below").alias(below)))
+    copies = (F.col(times) + (hashed(documents.doc_id) < F.col(below)).cast("long")).cast("int")
+    joined = documents.join(limits, documents.source.cast("string").eqNullSafe(limits[source])).where(copies > 0)
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select(*(documents[c] for c in documents.columns))
 
 
 SQL = """

@@ -26,6 +26,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 #: Rows of numbers and short strings, at most, of a table that goes to all tasks.
 FEW_ROWS = 100_000
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import U64, Texts, slices, spans, windows
-from .shared import checkpointed
+from .shared import checkpointed, unused
 
 #: Tokens of a seed and of the shortest tile; share of an item's tokens that its tiles must cover.
 SEED, COVERAGE = 5, 0.6
@@ -186,5 +186,6 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """documents without the contaminated rows, all columns as they were."""
-    hit = checkpointed(contaminated(documents, benchmark, coverage).select("row_hash").distinct()).withColumnRenamed("row_hash", "_hit")
-    return documents.join(hit, F.xxhash64(documents.doc_id.cast("long"), documents.text.cast("string")) == hit["_hit"], "left_anti")
+    name = unused(documents, "_hit")
+    hit = checkpointed(contaminated(documents, benchmark, coverage).select("row_hash").distinct()).withColumnRenamed("row_hash", name)
+    return documents.join(hit, F.xxhash64(documents.doc_id.cast("long"), documents.text.cast("string")) == hit[name], "left_anti")

@@ -15,6 +15,7 @@ from hillspan.llm.mixing import SQL
 from hillspan.llm.simhash import fingerprint
 from hillspan.llm.tiling import tile, tokens_of
 from hillspan.llm.tokens import definition_of
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +93,12 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_keep_clashing_columns(spark):
+    clash = {c: F.lit(7) for c in ("_row", "_HIT", "_times", "_copy", "_source", "fp", "root", "row_hash", "keys", "size", "h", "below")}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").withColumns(clash)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == [*COLUMNS, *clash]
+    assert all(r._row == 7 and r._copy == 7 for r in docs.collect()) and corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
