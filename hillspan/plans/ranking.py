@@ -73,7 +73,7 @@ FEW = 10
 
 
 def few_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of the FEW first suppliers as one group: the reference ranks a bounded set of variants of a city."""
+    """The lines of the FEW first suppliers as one group: a city has a bounded set of variants."""
     return lines(spark, sf_dir).where(F.col("variant") < FEW).withColumn("g", F.lit(0))
 
 
