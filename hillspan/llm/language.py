@@ -34,7 +34,7 @@ PENALTY, MOST = 20.0, 12.0
 #: Share of a language's words in a script from which the script's words have it as a candidate.
 SHARE = 0.01
 #: Words whose scores a worker remembers, at most.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 UNKNOWN = "und"
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, spans array<struct<lang:string,first_word:long,n_words:long>>"
 
@@ -107,7 +107,7 @@ def learn(documents: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (piece for batch in batches for piece in slices(batch, 0)):
             found: Counter = Counter()
             by_lang: dict[str, Counter] = {}
             for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
