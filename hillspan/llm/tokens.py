@@ -31,7 +31,7 @@ from .shared import shared_folder, shuffle_partitions
 #: Closes every document.
 END_ID = 2
 #: Ids of a block; tokens of a shard, about; words that a worker remembers, at most.
-BLOCK, SHARD, REMEMBERED = 8192, 1 << 20, 600_000
+BLOCK, SHARD, REMEMBERED = 8192, 1 << 20, 400_000
 HEADER = struct.Struct("<4sIIIQQ")
 MAGIC = b"HSTK"
 SHARD_SCHEMA = "part int, seq int, first long, n_tokens long, shard binary"
