@@ -5,25 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folder for checkpoints where the session names none; local mode alone may use it.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from ..sources.folders import checkpointed, shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; in local mode without that setting, LOCAL_CHECKPOINTS."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
-    return LOCAL_CHECKPOINTS
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder; its lineage ends there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["FEW_ROWS", "SPACES", "broadcast_if_few", "checkpointed", "shared_folder", "shuffle_partitions", "unused", "word_count"]
 
 
 def unused(df: DataFrame, name: str) -> str:
