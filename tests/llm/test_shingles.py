@@ -62,3 +62,22 @@ def test_one_of_each(spark):
     sets = [(k, sets_of(t)) for k, t in kept if t]
     assert not any(a != b and len(x & y) >= 0.8 * len(x | y) for a, x in sets for b, y in sets)
     assert one_of_each(df.limit(0)).collect() == []
+
+
+def test_edited_copies_meet_their_original(spark):
+    """Every copy is like the original, few are like one another: one text stays."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randint(2, 5)))
+    base = [word() for _ in range(400)]
+    rows = [(500, " ".join(base))]
+    for i in range(120):
+        w = list(base)
+        for at in r.sample(range(0, 400, 8), 8):
+            w[at] = word()
+        rows.append((1000 + i, " ".join(w)))
+    original = sets_of(rows[0][1])
+    sets = [sets_of(t) for _, t in rows[1:]]
+    assert all(len(s & original) >= 0.8 * len(s | original) for s in sets)
+    assert sum(len(a & b) >= 0.8 * len(a | b) for a in sets[:40] for b in sets[:40] if a is not b) < 200
+    out = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [x.doc_id for x in out] == [500]
