@@ -170,3 +170,19 @@ def tiles_of(lon_min: Column, lat_min: Column, lon_max: Column, lat_max: Column)
 def pixel_rows(tiles: DataFrame) -> DataFrame:
     """tile, col, row, z from tiles (tile, z: rows of pixels)."""
     return tiles.select("tile", F.posexplode("z").alias("row", "_r")).select("tile", "row", F.posexplode("_r").alias("col", "z")).select("tile", "col", "row", "z")
+
+
+def looks_like_degrees(nodes: DataFrame, n: int = 1000) -> bool:
+    """Whether the first n nodes lie within the degrees of longitude and latitude: a guard against other units, on the driver."""
+    r = nodes.select("x", "y").limit(n).agg(F.max(F.abs("x")).alias("x"), F.max(F.abs("y")).alias("y")).first()
+    return r.x is not None and r.x <= 180 and r.y <= 90
+
+
+def end_distances(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Arcs (u, v, geometry) with away: the farther of the line's ends from its nodes, in the direction that fits better."""
+    at = lambda k: nodes.select(F.col("node").alias(k), F.col("x").alias(f"_{k}x"), F.col("y").alias(f"_{k}y"))
+    j = arcs.join(at("u"), "u").join(at("v"), "v")
+    first, last = F.element_at("geometry", 1), F.element_at("geometry", -1)
+    d = lambda p, k: F.sqrt((p["x"] - F.col(f"_{k}x")) * (p["x"] - F.col(f"_{k}x")) + (p["y"] - F.col(f"_{k}y")) * (p["y"] - F.col(f"_{k}y")))
+    away = F.least(F.greatest(d(first, "u"), d(last, "v")), F.greatest(d(first, "v"), d(last, "u")))
+    return j.select(*arcs.columns, away.alias("away"))

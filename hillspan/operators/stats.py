@@ -96,3 +96,13 @@ def hexagon(x: Column, y: Column, width: float) -> tuple[Column, Column]:
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; null of two empty ones."""
     return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
+
+
+def pairs_below(df: DataFrame, group: Sequence[str], value: str, low: Column) -> DataFrame:
+    """group, share of pairs of a low and another row in which the low one's value is less, and whether it is in all. A running count by value in place of the pairs."""
+    w = Window.partitionBy(*group)
+    others_upto = F.sum(F.when(~low, 1).otherwise(0)).over(w.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
+    x = df.select(*group, F.col(value).alias("_v"), low.alias("_low"), (F.sum(F.when(~low, 1).otherwise(0)).over(w) - others_upto).alias("_above"))
+    n, m = F.count_if("_low"), F.count_if(~F.col("_low"))
+    share = F.try_divide(F.sum(F.when(F.col("_low"), F.col("_above"))), n * m)
+    return x.groupBy(*group).agg(share.alias("share_below"), (F.max(F.when(F.col("_low"), F.col("_v"))) < F.min(F.when(~F.col("_low"), F.col("_v")))).alias("all_below"))

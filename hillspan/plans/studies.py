@@ -149,3 +149,30 @@ def q93_stops_with_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     stops = points(spark, sf_dir).where("id < 400")
     rides = stops.select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(50.0).alias("length"))
     return T.with_transfers(rides, G.pairs_within(stops, "id", 30.0))
+
+
+@query(f"""
+WITH {LINES}, e AS (SELECT city % 5 AS g, variant, d + {R_AT}::DOUBLE * h AS e, variant % 3 = 0 AS low FROM lines)
+SELECT a.g, count(*) FILTER (WHERE a.e < b.e) / count(*) AS share_below, max(a.e) < min(b.e) AS all_below FROM e a JOIN e b ON a.g = b.g AND a.low AND NOT b.low GROUP BY 1
+""")
+def q94_pairs_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.stats import pairs_below
+
+    rows = observed_lines(spark, sf_dir).select((F.col("city") % 5).alias("g"), (F.col("d") + F.lit(R_AT) * F.col("h")).alias("e"), (F.col("variant") % 3 == 0).alias("low"))
+    return pairs_below(rows, ["g"], "e", F.col("low"))
+
+
+@query("""
+WITH p AS (SELECT c_custkey AS node, CAST((c_custkey * 7919) % 1009 AS DOUBLE) AS x, CAST((c_custkey * 104729) % 997 AS DOUBLE) AS y FROM customer),
+a AS (SELECT u.node AS u, v.node AS v, CASE WHEN u.node % 2 = 0 THEN u.x ELSE v.x END + u.node % 3 AS ax, CASE WHEN u.node % 2 = 0 THEN u.y ELSE v.y END AS ay, CASE WHEN u.node % 2 = 0 THEN v.x ELSE u.x END AS bx, CASE WHEN u.node % 2 = 0 THEN v.y ELSE u.y END AS b_y, u.x AS ux, u.y AS uy, v.x AS vx, v.y AS vy FROM p u JOIN p v ON v.node = u.node + 1),
+d AS (SELECT u, v, least(greatest(sqrt((ax - ux) * (ax - ux) + (ay - uy) * (ay - uy)), sqrt((bx - vx) * (bx - vx) + (b_y - vy) * (b_y - vy))), greatest(sqrt((ax - vx) * (ax - vx) + (ay - vy) * (ay - vy)), sqrt((bx - ux) * (bx - ux) + (b_y - uy) * (b_y - uy)))) AS away FROM a)
+SELECT u, v, away, away <= 1 AS consistent FROM d
+""")
+def q95_line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = points(spark, sf_dir).select(F.col("id").alias("node"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    a, b = (nodes.select(F.col("node").alias(k), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y")) for k in "uv")
+    j = a.join(b, F.col("v") == F.col("u") + 1)
+    even = F.col("u") % 2 == 0
+    pick = lambda p, q: F.when(even, F.col(p)).otherwise(F.col(q))
+    line = F.array(F.struct((pick("ux", "vx") + F.col("u") % 3).alias("x"), pick("uy", "vy").alias("y")), F.struct(pick("vx", "ux").alias("x"), pick("vy", "uy").alias("y")))
+    return G.end_distances(j.select("u", "v", line.alias("geometry")), nodes).select("u", "v", "away", (F.col("away") <= 1).alias("consistent"))
