@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.folders import checkpointed, shared_folder
 
-__all__ = ["FEW_ROWS", "SPACES", "broadcast_if_few", "checkpointed", "shared_folder", "shuffle_partitions", "unused", "word_count"]
+__all__ = ["FEW_ROWS", "SPACES", "broadcast_if_few", "checkpointed", "shared_folder", "shuffle_partitions", "tidy", "unused", "word_count"]
+
+
+def release_memory() -> None:
+    """Gives memory that a worker holds but does not use back to the system: the worker lives on, idle, beside later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work over a task's batches, with release_memory() at the end."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release_memory()
+
+    return run
 
 
 def unused(df: DataFrame, name: str) -> str:

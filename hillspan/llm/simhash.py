@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .rolling import Texts, slices
-from .shared import checkpointed, unused
+from .shared import checkpointed, tidy, unused
 from .shingles import SIMILARITY, alike
 
 SHINGLE, RADIUS = 3, 2
@@ -57,7 +57,7 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "row_hash", "fp"])
 
     key, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return documents.select(key.alias("doc_id"), F.xxhash64(key, text).alias("row_hash"), text.alias("text")).mapInArrow(work, "doc_id long, row_hash long, fp long")
+    return documents.select(key.alias("doc_id"), F.xxhash64(key, text).alias("row_hash"), text.alias("text")).mapInArrow(tidy(work), "doc_id long, row_hash long, fp long")
 
 
 def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -167,7 +167,7 @@ def linked_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         u, v = links_within(fp.view(np.uint64), home, radius) if home.any() else (fp[:0], fp[:0])
         return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
 
-    return distinct.mapInArrow(route, schema).groupBy("shard").applyInArrow(search, "u long, v long")
+    return distinct.mapInArrow(tidy(route), schema).groupBy("shard").applyInArrow(search, "u long, v long")
 
 
 def simhash_groups(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .rolling import Texts
-from .shared import shared_folder, shuffle_partitions
+from .shared import shared_folder, shuffle_partitions, tidy
 
 #: Closes every document.
 END_ID = 2
@@ -220,7 +220,7 @@ def write_tokens(documents: DataFrame, path: str, definition: str, end_id: int =
         if ids:
             yield flush()
 
-    ordered.mapInArrow(work, SHARD_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(tidy(work), SHARD_SCHEMA).write.parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, each: Callable[[Shard, int], pa.RecordBatch], schema: str) -> DataFrame:
@@ -235,7 +235,7 @@ def read_shards(spark: SparkSession, path: str, each: Callable[[Shard, int], pa.
             for part, first, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 yield each(Shard(data.as_py()), base[part] + first)
 
-    return shards.select("part", "first", "shard").mapInArrow(work, schema)
+    return shards.select("part", "first", "shard").mapInArrow(tidy(work), schema)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
