@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from hillspan.llm import shingles
 from hillspan.llm.shingles import alike
 from hillspan.llm.simhash import one_of_each
 
@@ -81,3 +84,28 @@ def test_edited_copies_meet_their_original(spark):
     assert sum(len(a & b) >= 0.8 * len(a | b) for a in sets[:40] for b in sets[:40] if a is not b) < 200
     out = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [x.doc_id for x in out] == [500]
+
+
+@pytest.mark.parametrize("block", [1 << 12, 1 << 19])
+def test_pairs_of_a_frequent_key(spark, monkeypatch, block):
+    """Pairs share 0.8 and more, all texts two thirds of their shingles: every key is frequent, and no pair is missed."""
+    monkeypatch.setattr(shingles, "BLOCK", block, raising=False)
+    r = random.Random(13)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    passage, rows = [word() for _ in range(204)], []
+    for i in range(300):
+        own = [word() for _ in range(51)]
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join([*passage, *own[:26], *(word() for _ in range(25))]))]
+    near = sets_of(rows[0][1]), sets_of(rows[1][1])
+    assert len(near[0] & near[1]) >= 0.8 * len(near[0] | near[1]) and len(near[0] & sets_of(rows[2][1])) < 0.7 * len(near[0] | sets_of(rows[2][1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row_hash": F.xxhash64("doc_id", "text"), "text_hash": F.xxhash64("text")})
+    by_hash = {x.text_hash: x.doc_id for x in df.collect()}
+    assert {tuple(sorted((by_hash[x.u], by_hash[x.v]))) for x in alike(df).collect()} == {(2 * i, 2 * i + 1) for i in range(300)}
+
+
+def test_common_counts():
+    r = np.random.default_rng(14)
+    sets = [np.unique(r.integers(0, n, 60)) for n in (70, 100, 1000, 5000) for _ in range(20)]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    flat = np.concatenate(sets)
+    assert shingles.common_counts(flat, at, flat[: at[9]], at[:10]).tolist() == [[len(np.intersect1d(x, y)) for y in sets[:9]] for x in sets]
