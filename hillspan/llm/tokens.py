@@ -7,12 +7,15 @@ offset the header's numbers give, so any range of tokens is read by unpacking th
 operations on whole blocks.
 
 Encoding goes word by word, each distinct word once while a worker remembers it: the tokenizer that these files are for
-never joins characters across white space, and WordEncoder refuses others.
+never joins characters across white space, nor letters or digits to marks after them (but apostrophes), and WordEncoder
+refuses tokenizers that might. A test holds it against the tokenizer's ids of whole texts around every code point.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -111,6 +114,7 @@ class WordEncoder:
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         config = json.loads(definition)
         special = [x["content"] for x in config["added_tokens"]]
         if config["model"].get("end_of_word_suffix") != "</w>" or any(x["lstrip"] or x["rstrip"] or x["content"].split() != [x["content"]] for x in config["added_tokens"]):
@@ -124,8 +128,7 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
-        """Words are remembered in lower case (A to Z only) where the tokenizer lowers case anyway, but for texts with special tokens."""
-        words = [(x if not self.lower or any(m in x.lower() for m in self.marks) else x.lower()).split() for x in texts]
+        words = [self._words(x) for x in texts]
         if len(self.known) > REMEMBERED:  # words met first are the frequent ones
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
         known = self.known
@@ -134,42 +137,44 @@ class WordEncoder:
             self._learn(new)
         return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
+    def _words(self, text: bytes) -> list[bytes]:
+        """Strings without white space whose ids, one after the other, are the text's.
+
+        Marks after an ASCII letter or digit, up to white space, are a piece of their own, so they come as a string of their
+        own. A to Z come in lower case where the tokenizer lowers case, but where a combining mark might join a small letter
+        and not the capital. Texts with a special token are left as they are.
+        """
+        low = text.lower()
+        if any(m in low for m in self.marks):
+            return text.split()
+        if self.lower and b"\xcc" not in text and b"\xcd" not in text:
+            text = low
+        return _TAIL.sub(rb" \g<0>", text).split()
+
     def _learn(self, words: set[bytes]) -> None:
-        known = self.known
-        missing, ended = set(), []
+        known, ends, other = self.known, self.ends, []
+        plain = []
         for w in words:
-            s = w.decode()
-            body = s.rstrip(_MARKS)
-            if len(body) < len(s) and body and body[-1].isalnum() and not any(m in w for m in self.marks):
-                tail = s[len(body) :]  # a piece of its own
-                ended.append((w, body.encode(), tail.encode()))
-                missing.add(body)
-                missing.add(tail)
-            else:
-                missing.add(s)
-        plain, other = [], []
-        for s in missing:
-            if s.encode() not in known:
-                (plain if s.isalpha() else other).append(s)
-        # a word of letters is one piece with one id that ends a word, so these ids divide a line of words; where a word breaks that the counts differ
+            (plain if _LETTERS.fullmatch(w) else other).append(w)
+        # each of these is one piece, with one id that ends a word, so such ids divide a line of them; should one not be, the counts differ
         lines = [plain[i : i + 64] for i in range(0, len(plain), 64)]
-        for some, x in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+        for some, x in zip(lines, self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False), strict=True):
             ids = np.array(x.ids, "<u4")
-            at = np.flatnonzero(self.ends[ids]) + 1
+            at = np.flatnonzero(ends[ids]) + 1
             if len(at) != len(some):
                 other += some
                 continue
             data, at = ids.tobytes(), (4 * at).tolist()
-            known.update(zip(map(str.encode, some), [data[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True))
+            known.update(zip(some, [data[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True))
         for i in range(0, len(other), 4096):
             some = other[i : i + 4096]
-            known.update((w.encode(), np.array(x.ids, "<u4").tobytes()) for w, x in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
-        for w, body, tail in ended:
-            known[w] = known[body] + known[tail]
+            known.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True))
 
 
-#: Marks that are split off a word's end after a letter or digit: all of ASCII but the apostrophe, which the tokenizer may join to letters.
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: ASCII marks but the apostrophe, which the tokenizer may join to letters, after an ASCII letter or digit and up to white space.
+_TAIL = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[0-9A-Za-z].)[!-&(-/:-@\[-`{-~]*(?=\s|\Z)")
+#: Words of Latin letters that stay one letter each in lower case (U+0130 does not).
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+")
 _ENCODERS: dict[int, WordEncoder] = {}
 
 

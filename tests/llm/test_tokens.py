@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -51,6 +52,44 @@ def test_words_give_the_ids_of_texts(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in e.texts([t.encode() for t in texts])] == direct
 
 
+def test_every_code_point_gives_the_ids_of_whole_texts():
+    """Around each: capitals it may combine with, letters, digits and marks before and after it, and ends of words."""
+    e = _encoder()
+    around = "K{0}. a{0}b, T{0} H{0}!! 9{0} {0} .{0}. {0}, It{0}'s. x.{0} J{0}. W{0}; y{0}"
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    # ideographs, Hangul and what is not assigned neither change case nor join ASCII letters: fewer surroundings, many in a text
+    plain = re.compile("[\u3400-\u9fff\uac00-\ud7a3\ue000-\uf8ff\U00020000-\U0010ffff]")
+    few = [f"K{c}." for c in points if plain.match(c)]
+    every = [around.format(c) for c in points if not plain.match(c)] + [" ".join(few[i : i + 256]) for i in range(0, len(few), 256)]
+    for at in range(0, len(every), 1 << 13):
+        texts = every[at : at + (1 << 13)]
+        direct = e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        got = e.texts([t.encode() for t in texts])
+        wrong = [t for t, x, y in zip(texts, direct, got, strict=True) if np.array(x.ids, "<u4").tobytes() != y]
+        assert not wrong, wrong[:5]
+
+
+ODD = st.sampled_from([*"aKİıǰẖßſΣ", *"HTWYJ", "\u0307", "\u0331", "\u0338", "\u0301", "'", "'s", ".", ",", "<", "!!", " ", "\n", "\u3000", "\u0085", "9", "²", "日", "가", "<|endoftext|>", "<|EndOfText|>", "|>"])
+
+
+@given(st.lists(st.lists(ODD, max_size=14).map("".join), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_words_give_the_ids_of_odd_texts(texts):
+    test_words_give_the_ids_of_texts.hypothesis.inner_test(texts)
+
+
+def test_marks_after_a_letter_of_two_in_lower_case():
+    text = "ANTALYA Kİ. DEVAMI VAR İ, SON"
+    want = _encoder().tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(_encoder().texts([text.encode()])[0], "<u4").tolist() == want
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "x"), (1, "a b", 8, "y"), (None, None, 9, None)], "doc_id long, text string, start long, ids string")
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_output(df, definition_of(NAME)).collect())
+    assert got == [(0, None, 1), (1, 1, 3), (4, 1, 3)]
+
+
 def _encoder(cache=[]):  # noqa: B006
     if not cache:
         cache.append(WordEncoder(definition_of(NAME)))
