@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import U64, mix, slices
+from .rolling import U64, grouped, mix, slices
 from .shared import tidy
 
 #: Labelled rows to learn from, about (the hash decides each alone); times that a letter group occurs in them, at least.
@@ -332,7 +332,7 @@ class Labeller:
         for numbers, joined, ends in self._pieces(texts):
             points = _points(joined)
             start, size, fingerprint = _found(points)
-            _, first, which = np.unique(fingerprint, return_index=True, return_inverse=True)
+            first, which = grouped(fingerprint)
             n = size[first]
             place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[first], n)
             scores.append(self.model.scores(points[place], n)[which])

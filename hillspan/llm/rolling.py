@@ -130,17 +130,34 @@ class Texts:
         return self.buf[self.at[i] : self.at[i + 1]].tobytes()
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Byte starts and ends of all words, and where each text's words begin in them (one more than texts)."""
-        if not len(self.buf):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(self.n + 1, np.int64)
-        inside = ~_SPACE[self.buf]
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        edge = self.at[:-1][self.at[:-1] < len(self.buf)]
-        first[edge] = inside[edge]
-        last = inside.copy()
-        last[:-1] &= ~inside[1:]
-        edge = self.at[1:][self.at[1:] > 0] - 1
-        last[edge] = inside[edge]
-        start = np.flatnonzero(first)
-        return start, np.flatnonzero(last) + 1, np.searchsorted(start, self.at)
+        """words_of() these texts."""
+        return words_of(self.buf, self.at)
+
+
+def words_of(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words of the texts buf[at[i]:at[i + 1]], and where each text's words begin in them (one more than texts)."""
+    if not len(buf):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
+    inside = ~_SPACE[buf]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edge = at[:-1][at[:-1] < len(buf)]
+    first[edge] = inside[edge]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    edge = at[1:][at[1:] > 0] - 1
+    last[edge] = inside[edge]
+    start = np.flatnonzero(first)
+    return start, np.flatnonzero(last) + 1, np.searchsorted(start, at)
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one of each group of equal keys, and the group of each."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which

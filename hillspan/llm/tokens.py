@@ -28,25 +28,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .rolling import Texts
+from .rolling import U64, Texts, grouped, mix, slices, words_of
 from .shared import shared_folder, shuffle_partitions, tidy
 
 #: Closes every document.
 END_ID = 2
-#: Ids of a block; tokens of a shard, about; words that a worker remembers, at most.
-BLOCK, SHARD, REMEMBERED = 8192, 1 << 20, 400_000
+#: Ids of a block; tokens of a shard, about; words that a worker remembers, at most; bytes of a text that are encoded at a time.
+BLOCK, SHARD, REMEMBERED, PIECE = 8192, 1 << 20, 400_000, 4 << 20
 HEADER = struct.Struct("<4sIIIQQ")
 MAGIC = b"HSTK"
 SHARD_SCHEMA = "part int, seq int, first long, n_tokens long, shard binary"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+#: Widths that are numbers of their own.
+_WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}
+
+
 def bits_for(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Eight ids fill bits bytes; byte k of them takes its bits from the ids that reach into it."""
+    if bits in _WHOLE:  # as they lie in memory, with blank ids up to eight
+        return np.concatenate([ids, np.zeros(-len(ids) % 8, np.uint32)]).astype(_WHOLE[bits]).tobytes()
     groups = np.zeros((-(-len(ids) // 8), 8), np.uint32)
     groups.ravel()[: len(ids)] = ids
     out = np.zeros((len(groups), bits), np.uint8)
@@ -58,6 +64,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 
 def unpack(data: memoryview | bytes, n: int, bits: int) -> np.ndarray:
+    if bits in _WHOLE:
+        return np.frombuffer(data, _WHOLE[bits], n).astype(np.uint32)
     packed = np.frombuffer(data, np.uint8).reshape(-1, bits)
     out = np.zeros((len(packed), 8), np.uint32)
     for k in range(bits):
@@ -109,7 +117,7 @@ class Shard:
 
 
 class WordEncoder:
-    """Ids of whole texts, as bytes of little-endian 32-bit integers, by way of their words."""
+    """Ids of whole texts, by way of their words."""
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -125,56 +133,159 @@ class WordEncoder:
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         self.lower = any(x["type"] == "Lowercase" for x in config["normalizer"].get("normalizers", []))
         self.marks = [x.encode() for x in special]
-        self.known: dict[bytes, bytes] = {}
+        # for small letters, which nothing normalises and no pattern divides
+        plain = config | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *(x for x in config["pre_tokenizer"]["pretokenizers"] if x["type"] == "ByteLevel")]}}
+        self.letters = Tokenizer.from_str(json.dumps(plain))
+        #: The place of each word that is remembered, and its ids: pool[begin[place]:begin[place] + count[place]].
+        self.known: dict[bytes, int] = {}
+        self.begin, self.count, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        self.used = 0
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
-        words = [self._words(x) for x in texts]
+        """The ids of each text as bytes of little-endian 32-bit integers."""
+        ids, size = self.encode(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        at = np.cumsum(np.concatenate([[0], size]))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def encode(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts buf[at[i]:at[i + 1]], one after the other, and how many each has.
+
+        A to Z come in lower case where the tokenizer lowers case, but not in texts with a combining mark, which might join a
+        small letter and not the capital, nor in those with a special token, which are split at white space alone.
+        """
+        if len(buf) > PIECE and len(at) == 2:  # a long text in pieces, cut where white space begins
+            cut = [0]
+            while len(buf) - cut[-1] > PIECE:
+                gap = _GAP.search(buf, cut[-1] + PIECE)
+                if not gap:
+                    break
+                cut.append(gap.start())
+            if len(cut) > 1:
+                ids = [self.encode(buf[i:j], np.array([0, j - i]))[0] for i, j in zip(cut, [*cut[1:], len(buf)], strict=True)]
+                return np.concatenate(ids), np.array([sum(map(len, ids))])
+        data = buf.tobytes()
+        low = data.lower()
+        special = np.zeros(len(at) - 1, bool)
+        kept = special.copy()
+        for found, signs in ((special, self.marks), (kept, (b"\xcc", b"\xcd"))):
+            if any(x in low for x in signs):
+                found[:] = [any(x in low[i:j] for x in signs) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        kept |= special
+        if not self.lower:
+            low = data
+        elif kept.any():
+            low = b"".join((data if k else low)[i:j] for i, j, k in zip(at[:-1].tolist(), at[1:].tolist(), kept.tolist(), strict=True))
+        buf = np.frombuffer(low + bytes(8), np.uint8)
+        start, end, first = words_of(buf[: len(low)], at)
+        start, end, first = _tails_apart(buf, start, end, first, special)
+        one, which = _distinct(buf, start, end)
+        place = self._places([low[i:j] for i, j in zip(start[one].tolist(), end[one].tolist(), strict=True)])[which]
+        n = self.count[place]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = self.pool[np.repeat(self.begin[place] - upto[:-1], n) + np.arange(upto[-1])]
+        return ids, np.diff(upto[first])
+
+    def _places(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > REMEMBERED:  # words met first are the frequent ones
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
-        known = self.known
-        new = set().union(*words).difference(known)
-        if new:
-            self._learn(new)
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
-
-    def _words(self, text: bytes) -> list[bytes]:
-        """Strings without white space whose ids, one after the other, are the text's.
-
-        Marks after an ASCII letter or digit, up to white space, are a piece of their own, so they come as a string of their
-        own. A to Z come in lower case where the tokenizer lowers case, but where a combining mark might join a small letter
-        and not the capital. Texts with a special token are left as they are.
-        """
-        low = text.lower()
-        if any(m in low for m in self.marks):
-            return text.split()
-        if self.lower and b"\xcc" not in text and b"\xcd" not in text:
-            text = low
-        return _TAIL.sub(rb" \g<0>", text).split()
-
-    def _learn(self, words: set[bytes]) -> None:
-        known, ends, other = self.known, self.ends, []
-        plain = []
+            last = len(self.known) - 1
+            self.used = int(self.begin[last] + self.count[last])
+        get = self.known.get
+        got = list(map(get, words))
+        if None in got:
+            self._learn([w for w, x in zip(words, got, strict=True) if x is None])
+            got = list(map(get, words))
+        return np.array(got, np.int64)
+
+    def _learn(self, words: list[bytes]) -> None:
+        other, plain = [], []
         for w in words:
             (plain if _LETTERS.fullmatch(w) else other).append(w)
         # each of these is one piece, with one id that ends a word, so such ids divide a line of them; should one not be, the counts differ
         lines = [plain[i : i + 64] for i in range(0, len(plain), 64)]
-        for some, x in zip(lines, self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False), strict=True):
-            ids = np.array(x.ids, "<u4")
-            at = np.flatnonzero(ends[ids]) + 1
-            if len(at) != len(some):
+        for some, x in zip(lines, self.letters.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, np.uint32)
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) == len(some):
+                self._remember(some, ids, np.diff(end, prepend=0))
+            else:
                 other += some
-                continue
-            data, at = ids.tobytes(), (4 * at).tolist()
-            known.update(zip(some, [data[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True))
         for i in range(0, len(other), 4096):
             some = other[i : i + 4096]
-            known.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True))
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
+            self._remember(some, np.array([y for x in found for y in x], np.uint32), np.array([len(x) for x in found]))
+
+    def _remember(self, words: list[bytes], ids: np.ndarray, count: np.ndarray) -> None:
+        n, m = len(self.known), len(self.known) + len(words)
+        self.begin, self.count, self.pool = (_room(x, k) for x, k in ((self.begin, m), (self.count, m), (self.pool, self.used + len(ids))))
+        self.begin[n:m], self.count[n:m] = self.used + np.cumsum(count) - count, count
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.known.update(zip(words, range(n, m), strict=True))
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if len(x) >= n else np.concatenate([x, np.zeros(max(len(x), n - len(x)), x.dtype)])
+
+
+#: ASCII marks but the apostrophe, which the tokenizer may join to letters; ASCII letters and digits.
+_MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'"]] = True
+_ALNUM[[i for i in range(128) if chr(i).isalnum()]] = True
+_GAP = re.compile(rb"\s")
+#: Words of small Latin letters.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def _tails_apart(buf: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words and where texts begin in them, with marks at a word's end, after an ASCII letter or digit, as words of their own: no pattern of the tokenizer spans both. whole: texts whose words stay."""
+    tail = np.flatnonzero(_MARK[buf[end - 1]] & ~np.repeat(whole, np.diff(first))) if len(end) else np.zeros(0, np.int64)
+    at, going = end[tail] - 1, np.arange(len(tail))
+    while len(going):
+        at[going] -= 1
+        going = going[(at[going] >= start[tail[going]]) & _MARK[buf[at[going]]]]
+    ok = (at >= start[tail]) & _ALNUM[buf[at]]
+    tail, at = tail[ok], at[ok] + 1
+    extra = np.zeros(len(start) + 1, np.int64)
+    extra[tail + 1] = 1
+    moved = np.cumsum(extra)
+    new_start, new_end = np.empty((2, len(start) + len(tail)), np.int64)
+    place = np.arange(len(start)) + moved[:-1]
+    new_start[place], new_end[place] = start, end
+    new_end[place[tail] + 1], new_end[place[tail]], new_start[place[tail] + 1] = end[tail], at, at
+    return new_start, new_end, first + moved[first]
+
+
+#: Bytes below each number of a word's last eight that belong to it.
+_KEEP = np.array([(1 << (8 * i)) - 1 for i in range(9)], U64)
+
+
+def _distinct(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A word of each kind, and the kind of each word. Words are compared eight bytes at a time; buf has eight bytes after the last."""
+    eights = np.lib.stride_tricks.as_strided(buf[:8].view(U64), (len(buf) - 7,), (1,))
+    key = (end - start).astype(U64) * U64(0x9E3779B97F4A7C15)
+    left, at = np.arange(len(start)), start
+    while len(left):
+        size = end[left] - at
+        key[left] = mix(key[left] ^ (eights[at] & _KEEP[np.minimum(size, 8)]))
+        more = size > 8
+        left, at = left[more], at[more] + 8
+    one, which = grouped(key)
+    left, at, like = np.arange(len(start)), start, start[one[which]]
+    same = (end - start) == (end - start)[one[which]]
+    while len(left) and same.all():
+        size = end[left] - at
+        same[left] = ((eights[at] ^ eights[like]) & _KEEP[np.minimum(size, 8)]) == 0
+        more = size > 8
+        left, at, like = left[more], at[more] + 8, like[more] + 8
+    if same.all():
+        return one, which
+    data = buf.tobytes()  # two words share a key
+    numbers: dict[bytes, int] = {}
+    which = np.array([numbers.setdefault(data[i:j], len(numbers)) for i, j in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+    return np.unique(which, return_index=True)[1], which
 
 
-#: ASCII marks but the apostrophe, which the tokenizer may join to letters, after an ASCII letter or digit and up to white space.
-_TAIL = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[0-9A-Za-z].)[!-&(-/:-@\[-`{-~]*(?=\s|\Z)")
-#: Words of Latin letters that stay one letter each in lower case (U+0130 does not).
-_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+")
 _ENCODERS: dict[int, WordEncoder] = {}
 
 
@@ -195,34 +306,34 @@ def write_tokens(documents: DataFrame, path: str, definition: str, end_id: int =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(shared.value)
-        bits, close = bits_for(e.vocabulary), np.array([end_id], "<u4").tobytes()
+        bits, close = bits_for(e.vocabulary), np.uint32(end_id)
         part, seq, first = TaskContext.get().partitionId(), 0, 0
-        ids: list = []
-        held: list[bytes] = []
+        numbers: list = []
+        held: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, first
-            lengths = np.array([len(x) // 4 for x in held])
-            data = write_shard(ids, lengths, np.frombuffer(b"".join(held), "<u4"), bits)
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), pa.array([int(lengths.sum())], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "first", "n_tokens", "shard"])
-            seq, first = seq + 1, first + int(lengths.sum())
-            ids.clear()
-            held.clear()
+            size = np.concatenate(lengths)
+            data = write_shard(numbers, size, np.concatenate(held), bits)
+            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), pa.array([int(size.sum())], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "first", "n_tokens", "shard"])
+            seq, first = seq + 1, first + int(size.sum())
+            for x in (numbers, held, lengths):
+                x.clear()
             return out
 
-        size = 0
-        for b in batches:
-            t, numbers = Texts(b.column(1)), b.column(0).to_pylist()
-            for lo in range(0, t.n, 256):
-                some = [t.text(i) for i in range(lo, min(lo + 256, t.n))]
-                for i, x in zip(numbers[lo : lo + 256], e.texts(some), strict=True):
-                    ids.append(i)
-                    held.append(x + close)
-                    size += len(x) // 4 + 1
-                    if size >= SHARD:
-                        yield flush()
-                        size = 0
-        if ids:
+        total = 0
+        for b in (piece for batch in batches for piece in slices(batch, 1)):
+            t = Texts(b.column(1))
+            ids, size = e.encode(t.buf, t.at)
+            numbers += b.column(0).to_pylist()
+            held.append(np.insert(ids, np.cumsum(size), close))
+            lengths.append(size + 1)
+            total += len(ids) + len(size)
+            if total >= SHARD:
+                yield flush()
+                total = 0
+        if numbers:
             yield flush()
 
     ordered.mapInArrow(tidy(work), SHARD_SCHEMA).write.parquet(path)

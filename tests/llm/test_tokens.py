@@ -84,6 +84,20 @@ def test_marks_after_a_letter_of_two_in_lower_case():
     assert np.frombuffer(_encoder().texts([text.encode()])[0], "<u4").tolist() == want
 
 
+def test_long_texts_in_pieces_and_keys_that_clash(monkeypatch):
+    e = _encoder()
+    text = "One two, three. " * 40 + "x" * 300 + "\u0301 É. <|endoftext|>.\n" * 7 + "y" * 90
+    want = e.tokenizer.encode(text, add_special_tokens=False).ids
+    for size in (17, 64, 1000):
+        monkeypatch.setattr(tokens, "PIECE", size)
+        assert np.frombuffer(e.texts([text.encode()])[0], "<u4").tolist() == want
+    monkeypatch.setattr(tokens, "mix", lambda x: x & np.uint64(3))
+    assert np.frombuffer(e.texts([text.encode()])[0], "<u4").tolist() == want
+    monkeypatch.setattr(tokens, "REMEMBERED", 8)
+    for _ in range(3):
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.texts([text.encode(), b"", b"a b new" + str(_).encode()])][0] == want
+
+
 def test_clashing_columns_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b", 7, "x"), (1, "a b", 8, "y"), (None, None, 9, None)], "doc_id long, text string, start long, ids string")
     got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_output(df, definition_of(NAME)).collect())
