@@ -1,14 +1,20 @@
 """Main text of web pages with host suffix arrays (operator 6).
 
-A scanner divides a page into blocks and marks each: in an article or main element, in an element whose tag, role, class
-or id says that it is a menu, header, footer, sidebar, notice, advert, form or comments, or neither. The blocks outside of
-articles are the page's token stream. A host's streams, one after the other, have their suffixes ordered by fingerprint of
-the first RUN tokens; neighbours of equal prefix on distinct pages make a repeated substring, and the tokens that such
-substrings cover are boilerplate. What remains is the main text: the article's blocks if there is one, and otherwise the
-unique runs of the blocks without a cue.
-
-Article text is not in the streams: copies of an article on several pages are no boilerplate. A page without an article
-whose whole stream recurs is a copy of another, and keeps its text.
+A scanner divides a page into blocks and marks each: in an article element, in a main element, in an element whose tag,
+role, class or id says that it is a menu, header, footer, sidebar, notice, advert, form or comments, or in none. All blocks are the
+page's token stream. The streams of a host's pages, one after the other, get a suffix array, ordered by the first RUN
+tokens; suffixes next to each other that share them (a longest common prefix of RUN or more) are one repeated substring,
+and one on PAGES distinct pages or more, and on SHARE of the host's, is boilerplate. A block that such substrings cover
+goes as a whole; unique runs of blocks stay.
+
+What an article element holds stays all the same: nothing but the article is there, and a line that it shares with others
+is its own. Where most of a page's text repeats, the page is a copy and no template, and keeps its blocks. The marks then
+choose among what is left: blocks with a cue go, and an article, or a main element, stands for the page unless it is a
+teaser.
+
+A host's streams are dealt into chunks of a bounded size. A substring on SHARE of a large host's pages is on that share of
+one chunk's pages at least, so the chunks propose what is frequent in them, count what any of them has proposed, and their
+counts add up: exact counts of what matters, and little to move.
 """
 
 from __future__ import annotations
@@ -23,14 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rendezvous import ANSWERED, ASKED, answered, answers, asked, buckets_for, entries
-from .rolling import U64, Texts, mix, spans, windows
-
-#: Tokens of the shortest repeated substring; bytes of a chunk of pages, about.
-RUN, CHUNK = 5, 8 << 20
+from .rolling import U64, Texts, grouped, mix, slices, spans, windows
+from .shared import broadcast_if_few, checkpointed, tidy
+
+#: Tokens of the shortest repeated substring (a power of two); distinct pages, and share of the host's pages, that have one that is boilerplate, at least.
+RUN, PAGES, SHARE = 4, 3, 0.05
+#: Share of a block's tokens that boilerplate covers, from which the block goes; share of a page's tokens without a cue that must be left, or the page is a copy.
+COVERED, LEFT = 0.9, 0.2
+#: Tokens of other blocks to one of the article's or main element's beyond which that is a teaser.
+TEASER = 2
+#: Bytes of a chunk of pages, about.
+CHUNK = 2 << 20
 RESULT = "page_id long, url string, text string, n_chars long"
 #: Marks of blocks.
-ARTICLE, PLAIN, CUED = 0, 1, 2
+ARTICLE, MAIN, PLAIN, CUED = 0, 1, 2, 3
 
 #: Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -68,9 +80,9 @@ def blocks(page: str) -> list[tuple[int, str]]:
     """Marks and texts of the page's blocks in order; empty ones left out."""
     out: list[tuple[int, str]] = []
     held: list[str] = []
-    #: Open containers: name, whether it is an article or main element, whether it is boilerplate.
-    stack: list[tuple[str, bool, bool]] = []
-    articles = cues = links = 0
+    #: Open containers: name, whether it is an article, a main element, boilerplate.
+    stack: list[tuple[str, bool, bool, bool]] = []
+    articles = mains = cues = links = 0
     linked = total = at = 0
 
     def text(piece: str) -> None:
@@ -85,16 +97,17 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if held:
             words = " ".join("".join(held).split())
             if words:
-                mark = CUED if cues else ARTICLE if articles else CUED if linked * 2 > total else PLAIN
+                mark = CUED if cues else ARTICLE if articles else CUED if linked * 2 > total else MAIN if mains else PLAIN
                 out.append((mark, words))
             held.clear()
         linked = total = 0
 
     def pop(to: int) -> None:
-        nonlocal articles, cues
+        nonlocal articles, mains, cues
         while len(stack) > to:
-            _, article, cue = stack.pop()
+            _, article, inside, cue = stack.pop()
             articles -= article
+            mains -= inside
             cues -= cue
 
     end = len(page)
@@ -131,21 +144,22 @@ def blocks(page: str) -> list[tuple[int, str]]:
             m = (_CLOSERS[name] if name != "head" else _HEAD).search(page, at)
             at = end if m is None else m.end() if name != "head" else (m.end() if m[0].startswith("</") else m.start())
             continue
-        article = name in ("article", "main") or (bool(attributes) and 'role="main"' in attributes.lower())
-        cue = _cued(name, attributes, articles > 0)
-        if article and not cue and cues and not articles:
+        article, inside = name == "article", name == "main" or (bool(attributes) and 'role="main"' in attributes.lower())
+        cue = _cued(name, attributes, articles + mains > 0)
+        if (article or inside) and not cue and cues and not articles + mains:
             for i, x in enumerate(stack):  # a menu or form left open does not hold the article
-                if x[2]:
+                if x[3]:
                     if x[0] in ("nav", "form", "header", "footer"):
                         pop(i)
                     break
-        if name in BLOCKS or cue or article:
-            if name == "p" and not cue:
+        if name in BLOCKS or cue or article or inside:
+            if name == "p" and not cue and not inside:
                 continue
             if cue and name not in BLOCKS:
                 flush()
-            stack.append((name, article, cue))
+            stack.append((name, article, inside, cue))
             articles += article
+            mains += inside
             cues += cue
     flush()
     return out
@@ -163,97 +177,174 @@ def _opened(blob: bytes) -> list:
     return json.loads(pa.decompress(blob[:-8], decompressed_size=int.from_bytes(blob[-8:], "little"), codec="zstd", asbytes=True).decode("utf-8", "surrogatepass"))
 
 
+def suffix_array(symbols: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes ordered by their first run symbols, and the class of equal ones for each suffix, by doubling; suffixes shorter than run are left out."""
+    _, rank = grouped(symbols)
+    span = 1
+    while span < run:
+        rank = grouped(rank[:-span] * np.int64(len(symbols)) + rank[span:])[1] if len(rank) > span else np.zeros(0, np.int64)
+        span *= 2
+    return np.argsort(rank, kind="stable"), rank
+
+
+def suffix_array(symbols: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes ordered by their first run symbols, and the class of equal ones for each suffix, by doubling; suffixes shorter than run are left out."""
+    _, rank = grouped(symbols)
+    span = 1
+    while span < run:
+        rank = grouped(rank[:-span] * np.int64(len(symbols)) + rank[span:])[1] if len(rank) > span else np.zeros(0, np.int64)
+        span *= 2
+    return np.argsort(rank, kind="stable"), rank
+
+
 class _Streams:
-    """The token streams of a chunk of pages, in the order of (page_id, url, blob), and their windows of RUN tokens."""
+    """The token streams of a chunk of pages, in the order of (page_id, url, blob), and their suffix array."""
 
     def __init__(self, table: pa.Table):
         table = table.sort_by([("page_id", "ascending"), ("url", "ascending"), ("blob", "ascending")])
         self.table = table
-        self.number = table.column("chunk")[0].as_py()
         self.blocks = [_opened(x) for x in table.column("blob").to_pylist()]
-        streams = ["\n".join(words for mark, words in page if mark != ARTICLE) for page in self.blocks]
-        t = Texts(pa.array(streams, pa.string()))
+        t = Texts(pa.array(["\n".join(words for _, words in page) for page in self.blocks], pa.large_string()))
         start, end, self.first = t.words()
-        page = np.repeat(np.arange(t.n), np.diff(self.first))
-        n = len(page) - RUN + 1
-        self.at = np.flatnonzero(page[:n] == page[RUN - 1 :]) if n > 0 else np.zeros(0, np.int64)
-        self.page = page[self.at]
-        self.size = len(page)
-        host = table.column("host").to_numpy().view(U64)
-        self.key = table.column("page").to_numpy()
-        self.fp = mix(windows(spans(t.buf, start, end, 0), RUN, 0)[self.at] ^ host[self.page]) if n > 0 else np.zeros(0, U64)
-
-    def covered(self, replies: pa.Table, buckets: int) -> np.ndarray:
-        order, begin, bounds = entries(self.fp, None, buckets)
-        yes = np.zeros(len(self.at), bool)
-        yes[order] = np.repeat(answers(replies, bounds), np.diff(np.append(begin, len(order))))
+        self.size = len(start)
+        host, key = (grouped(table.column(c).to_numpy())[1] for c in ("host", "page"))
+        row = np.repeat(np.arange(t.n), np.diff(self.first))
+        tokens = spans(t.buf, start, end, 0)
+        order, rank = suffix_array(mix(tokens ^ mix(host[row].astype(U64))), RUN)
+        inside = row[: len(rank)] == row[RUN - 1 :] if len(rank) else np.zeros(0, bool)
+        #: Suffixes in order, the first of each class, and the class of each.
+        self.order = order[inside[order]]
+        ranks = rank[self.order]
+        self.new = np.concatenate([[True], ranks[1:] != ranks[:-1]])[: len(ranks)]
+        self.begin = np.flatnonzero(self.new)
+        #: Distinct pages of each class: within one, suffixes come in the order of the rows, and rows of one page come together.
+        page = key[row[self.order]]
+        self.pages = np.add.reduceat(self.new | np.concatenate([[True], page[1:] != page[:-1]])[: len(page)], self.begin, dtype=np.int64) if len(page) else np.zeros(0, np.int64)
+        self.host = host[row[self.order[self.begin]]]
+        #: Distinct pages of each host.
+        one = grouped(key)[0]
+        self.of_host = np.bincount(host[one], minlength=int(host.max()) + 1)
+        self.grams = windows(tokens, RUN, 0)[self.order[self.begin]] if len(self.begin) else np.zeros(0, U64)
+
+    def covered(self, classes: np.ndarray) -> np.ndarray:
+        """Whether each token is in a substring of the classes."""
+        at = self.order[np.repeat(classes, np.diff(np.append(self.begin, len(self.order))))]
         change = np.zeros(self.size + 1, np.int64)
-        np.add.at(change, self.at[yes], 1)
-        np.add.at(change, self.at[yes] + RUN, -1)
+        np.add.at(change, at, 1)
+        np.add.at(change, at + RUN, -1)
         return np.cumsum(change[:-1]) > 0
 
 
+def least_pages(pages: np.ndarray, least: int, share: float) -> np.ndarray:
+    """Distinct pages from which a substring is boilerplate, by the host's pages."""
+    return np.maximum(least, np.ceil(pages * share).astype(np.int64))
+
+
 def main_text(page: list, covered: np.ndarray) -> str:
-    """The text of one page's blocks; covered: of each token of its stream whether a repeated substring covers it."""
-    if any(mark == ARTICLE for mark, _ in page):
-        return "\n\n".join(words for mark, words in page if mark == ARTICLE)
-    kept, at, plain = [], 0, []
+    """The text of one page's blocks; covered: whether boilerplate covers each token of its stream."""
+    at, found = 0, []
     for mark, words in page:
-        tokens = words.split(" ")
-        # the stream's words end at ASCII white space, of which a block has single spaces only
-        if mark == PLAIN:
-            plain.append(words)
-            unique = [w for w, c in zip(tokens, covered[at : at + len(tokens)], strict=True) if not c]
-            kept += [" ".join(unique)] if unique else []
-        at += len(tokens)
-    return "\n\n".join(kept or plain)
+        n = words.count(" ") + 1
+        found.append((mark, words, n, mark != ARTICLE and covered[at : at + n].sum() >= COVERED * n))
+        at += n
+    plain = [x for x in found if x[0] != CUED]
+    if sum(n for *_, n, gone in plain if not gone) >= LEFT * sum(x[2] for x in plain):
+        plain = [x for x in plain if not x[3]]
+    for mark in (ARTICLE, MAIN):
+        inside = [x for x in plain if x[0] <= mark]
+        size = sum(x[2] for x in inside)
+        if inside and sum(x[2] for x in plain) - size <= TEASER * size:
+            plain = inside
+            break
+    return "\n\n".join(x[1] for x in plain)
+
+
+def _texts(s: _Streams, classes: np.ndarray) -> pa.Table:
+    covered = s.covered(classes)
+    texts = [main_text(page, covered[s.first[i] : s.first[i + 1]]) for i, page in enumerate(s.blocks)]
+    return pa.table({"page_id": s.table.column("page_id"), "url": s.table.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
+
+
+#: Substrings of hosts that go to all tasks, at most; beyond them they are joined by shuffle.
+FEW_GRAMS = 1 << 20
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """RESULT for each row of pages (page_id, url, html).
+def _to_chunks(chunks: DataFrame, grams: DataFrame) -> DataFrame:
+    """chunk and grams of each row of chunks (chunk, host), from grams (host, grams)."""
+    grams = checkpointed(grams)
+    few = (grams.agg(F.sum(F.size("grams"))).first()[0] or 0) <= FEW_GRAMS
+    return chunks.join(F.broadcast(grams) if few else grams, "host").select("chunk", "grams")
 
-    Null and empty html give an empty text, a null url is a host of its own. Rows with the same page_id and url are one page
-    for the purpose of repeats. No pages: no rows.
+
+def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
+    """RESULT for each row of pages (page_id, url, html; other columns are not looked at).
+
+    least, share: distinct pages, and share of its host's, that have a substring which is boilerplate.
+
+    Null and empty html give an empty text; pages without a host in their url, or with a null one, are one host's. Rows with
+    the same page_id and url are one page for the purpose of repeats, and rows of the result each. A page of any length is
+    read whole. No pages: no rows.
     """
     columns = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    total = columns.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    buckets, chunks = buckets_for(pages.sparkSession), total // CHUNK + 1
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    keyed = columns.select("page_id", "url", F.xxhash64("page_id", "url").alias("page"), F.xxhash64(host).alias("host"), "html")
+    sizes = checkpointed(keyed.groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes")))
+    bins = 2 * (sizes.agg(F.sum("bytes")).first()[0] or 0) // CHUNK + 1
+    large = checkpointed(sizes.where(F.col("bytes") > CHUNK).select("host", F.ceil(F.col("bytes") * 2 / CHUNK).alias("parts")))
+    # small hosts share bins, whole; a large host has chunks of its own
+    dealt = keyed.join(broadcast_if_few(large), "host", "left")
+    chunk = F.when(F.col("parts").isNull(), F.pmod(F.col("host"), F.lit(bins))).otherwise(F.xxhash64("host", F.pmod(F.col("page"), F.col("parts"))))
+    dealt = dealt.select(chunk.alias("chunk"), "page_id", "url", "page", "host", F.col("parts").isNotNull().alias("large"), "html")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array([_packed(x.as_py()) for x in b.column(5)], pa.binary())], ["chunk", "page_id", "url", "page", "host", "blob"])
+        for b in (piece for batch in batches for piece in slices(batch, 6)):
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array([_packed(x.as_py()) for x in b.column(6)], pa.binary())], ["chunk", "page_id", "url", "page", "host", "large", "blob"])
 
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    keyed = columns.select(F.pmod(F.xxhash64("page_id", "url"), F.lit(chunks)).alias("chunk"), "page_id", "url", F.xxhash64("page_id", "url").alias("page"), F.xxhash64(host).alias("host"), "html")
-    parsed = keyed.mapInArrow(parse, "chunk long, page_id long, url string, page long, host long, blob binary")
+    by_chunk = dealt.mapInArrow(tidy(parse), "chunk long, page_id long, url string, page long, host long, large boolean, blob binary").groupBy("chunk")
 
-    def ask(t: pa.Table) -> pa.Table:
+    def whole(t: pa.Table) -> pa.Table:
         s = _Streams(t)
-        order, begin, bounds = entries(s.fp, None, buckets)
-        if not len(order):
-            return asked(s.number, np.zeros(0, U64), np.zeros(0, np.uint8), None, bounds)
-        key = s.key[s.page][order]
-        several = np.minimum.reduceat(key, begin) != np.maximum.reduceat(key, begin)
-        return asked(s.number, s.fp[order[begin]], several.astype(np.uint8), None, bounds)
-
-    def settle(bucket: pa.Table) -> pa.Table:
-        def decide(keys, several, _flags, _sizes):
-            order = np.argsort(keys, kind="stable")
-            new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
-            begin = np.flatnonzero(new)
-            repeated = (np.diff(np.append(begin, len(order))) > 1) | np.logical_or.reduceat(several[order] > 0, begin)
-            out = np.zeros(len(keys), bool)
-            out[order] = repeated[np.cumsum(new) - 1]
-            return out
-
-        return answered(bucket, np.uint64, np.uint8, decide)
-
-    def finish(t: pa.Table, replies: pa.Table) -> pa.Table:
+        return _texts(s, s.pages >= least_pages(s.of_host, least, share)[s.host])
+
+    if not large.limit(1).count():
+        return by_chunk.applyInArrow(whole, RESULT)
+
+    def propose(t: pa.Table) -> pa.Table:
+        """Of a large host's chunk its pages, and the substrings that may be boilerplate on the host."""
+        kind = pa.schema([("chunk", pa.int64()), ("host", pa.int64()), ("pages", pa.int64()), ("grams", pa.list_(pa.int64()))])
+        if not t.column("large")[0].as_py():
+            return kind.empty_table()
+        s = _Streams(t)
+        n = int(s.of_host[0])
+        # a host of fewer pages than least / share has the bound least, of which a chunk may see one page
+        often = s.pages >= (share * n if share * n >= least else 1)
+        return pa.table({"chunk": t.column("chunk")[:1], "host": t.column("host")[:1], "pages": pa.array([n], pa.int64()), "grams": pa.array([s.grams[often].view(np.int64)], pa.list_(pa.int64()))})
+
+    def count(t: pa.Table, asked: pa.Table) -> pa.Table:
+        kind = pa.schema([("host", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
+        if not asked.num_rows:
+            return kind.empty_table()
+        s = _Streams(t)
+        hit = np.isin(s.grams, _asked(asked))
+        return pa.table({"host": pa.array(np.full(int(hit.sum()), t.column("host")[0].as_py()), pa.int64()), "gram": pa.array(s.grams[hit].view(np.int64)), "n": pa.array(s.pages[hit])})
+
+    def finish(t: pa.Table, frequent: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "text": pa.array([], pa.string()), "n_chars": pa.array([], pa.int64())})
+        if not t.column("large")[0].as_py():
+            return whole(t)
         s = _Streams(t)
-        covered = s.covered(replies, buckets)
-        texts = [main_text(page, covered[s.first[i] : s.first[i + 1]]) for i, page in enumerate(s.blocks)]
-        return pa.table({"page_id": s.table.column("page_id"), "url": s.table.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
+        return _texts(s, np.isin(s.grams, _asked(frequent)))
+
+    proposed = checkpointed(by_chunk.applyInArrow(propose, "chunk long, host long, pages long, grams array<long>"))
+    chunks = proposed.select("chunk", "host")
+    candidates = proposed.select("host", F.explode("grams").alias("gram")).groupBy("host").agg(F.collect_set("gram").alias("grams"))
+    counted = by_chunk.cogroup(_to_chunks(chunks, candidates).groupBy("chunk")).applyInArrow(count, "host long, gram long, n long")
+    counted = counted.groupBy("host", "gram").agg(F.sum("n").alias("n")).join(proposed.groupBy("host").agg(F.sum("pages").alias("pages")), "host")
+    frequent = counted.where(F.col("n") >= F.greatest(F.lit(least), F.ceil(F.col("pages") * share))).groupBy("host").agg(F.collect_list("gram").alias("grams"))
+    return by_chunk.cogroup(_to_chunks(chunks, frequent).groupBy("chunk")).applyInArrow(finish, RESULT)
+
 
-    by_chunk = parsed.groupBy("chunk")
-    replies = by_chunk.applyInArrow(ask, ASKED).groupBy("bucket").applyInArrow(settle, ANSWERED)
-    return by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(finish, RESULT)
+def _asked(t: pa.Table) -> np.ndarray:
+    grams = [x.values.to_numpy() for x in t.column("grams")]
+    return np.concatenate(grams).view(U64) if grams else np.zeros(0, U64)

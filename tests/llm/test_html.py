@@ -5,14 +5,15 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 from hillspan.llm import html
-from hillspan.llm.html import ARTICLE, CUED, PLAIN, RUN, blocks, extract
+from hillspan.llm.html import ARTICLE, CUED, MAIN, PLAIN, RUN, blocks, extract, suffix_array
 
 
 def main(page):
-    return "\n\n".join(t for m, t in blocks(page) if m == ARTICLE)
+    return "\n\n".join(t for m, t in blocks(page) if m in (ARTICLE, MAIN))
 
 
 @pytest.mark.parametrize(
@@ -46,55 +47,93 @@ def host(url):
 
 
 def brute(rows):
-    streams = {}
+    """Substrings of RUN words by the pages that have them, in plain Python."""
+    pages, seen = {}, {}
     for i, u, h in rows:
-        b = blocks(h or "")
-        streams.setdefault((host(u), (i, u)), []).append([w for m, t in b if m != ARTICLE for w in t.split(" ")])
-    seen = {}
-    for (h, page), all_words in streams.items():
-        for words in all_words:
-            for s in range(len(words) - RUN + 1):
-                seen.setdefault((h, *words[s : s + RUN]), set()).add(page)
+        pages.setdefault(host(u), set()).add((i, u))
+        words = [w for _, t in blocks(h or "") for w in t.split(" ")]
+        for s in range(len(words) - RUN + 1):
+            seen.setdefault((host(u), *words[s : s + RUN]), set()).add((i, u))
     out = []
     for i, u, h in rows:
-        b = blocks(h or "")
-        if any(m == ARTICLE for m, _ in b):
-            text = "\n\n".join(t for m, t in b if m == ARTICLE)
-        else:
-            words = [w for _, t in b for w in t.split(" ")]
-            covered = [False] * len(words)
-            for s in range(len(words) - RUN + 1):
-                if len(seen[(host(u), *words[s : s + RUN])]) > 1:
-                    covered[s : s + RUN] = [True] * RUN
-            kept, at = [], 0
-            for m, t in b:
-                n = len(t.split(" "))
-                unique = [w for w, c in zip(t.split(" "), covered[at : at + n], strict=True) if not c]
-                if m == PLAIN and unique:
-                    kept.append(" ".join(unique))
-                at += n
-            text = "\n\n".join(kept or [t for m, t in b if m == PLAIN])
+        found = [(m, t, t.split(" ")) for m, t in blocks(h or "")]
+        words = [w for *_, ws in found for w in ws]
+        covered = [False] * len(words)
+        for s in range(len(words) - RUN + 1):
+            n = len(pages[host(u)])
+            if len(seen[(host(u), *words[s : s + RUN])]) >= max(3, -(-n // 20)):
+                covered[s : s + RUN] = [True] * RUN
+        left, at = [], 0
+        for m, t, ws in found:
+            gone = m != ARTICLE and 10 * sum(covered[at : at + len(ws)]) >= 9 * len(ws)
+            at += len(ws)
+            if m != CUED:
+                left.append((m, t, len(ws), gone))
+        if 5 * sum(n for *_, n, gone in left if not gone) >= sum(x[2] for x in left):
+            left = [x for x in left if not x[3]]
+        for marks in ((ARTICLE,), (ARTICLE, MAIN)):
+            inside = [x for x in left if x[0] in marks]
+            if inside and sum(x[2] for x in left) <= 3 * sum(x[2] for x in inside):
+                left = inside
+                break
+        text = "\n\n".join(x[1] for x in left)
         out.append((i, u, text, len(text)))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("chunk", [300, 1 << 22])
+def test_suffix_array_equals_sorted_suffixes():
+    r = random.Random(1)
+    for n in (0, 1, 7, 8, 9, 300):
+        symbols = [r.randrange(3) for _ in range(n)]
+        order, rank = suffix_array(np.array(symbols, np.uint64), 8)
+        assert order.tolist() == sorted(range(max(0, n - 7)), key=lambda i: (symbols[i : i + 8], i))
+        assert all((rank[i] == rank[j]) == (symbols[i : i + 8] == symbols[j : j + 8]) for i in range(len(rank)) for j in range(0, len(rank), 17))
+
+
+@pytest.mark.parametrize("chunk", [300, 3000, 1 << 22])
 def test_repeats_equal_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(html, "CHUNK", chunk)
     r = random.Random(6)
     text = lambda n: " ".join("".join(r.choices("abcdefgé", k=3)) for _ in range(n))
-    notices = [text(n) for n in (5, 8, 30)]
+    notices = [text(n) for n in (5, 8, 11, 30)]
     rows = [(0, None, None), (1, "http://h.x/1", ""), (2, "nohost", "<p>alone</p>")]
-    for i in range(3, 70):
-        h = r.choice(["h.x", "h.x", "H.X", "other.y"])
+    for i in range(3, 110):
+        h = r.choice(["h.x", "h.x", "H.X", "other.y", f"small{i % 5}.z"])
         body = "".join(f"<div>{r.choice([r.choice(notices), text(r.randint(1, 40)), text(4) + ' ' + r.choice(notices)])}</div>" for _ in range(r.randint(1, 5)))
-        rows.append((i, f"https://u@{h}:80/p{i}", body if i % 4 else f"<article><p>{r.choice(notices)}</p></article>" + body))
-    rows += [(5, rows[5][1], rows[5][2]), (80, "https://h.x/c", "<p>" + text(3000) + "</p>"), (None, "https://h.x/n", "<p>" + notices[2] + " tail</p>")]
-    df = spark.createDataFrame([(*x, 1) for x in rows], "page_id long, url string, html string, chunk int").repartition(4)
+        rows.append((i, f"https://u@{h}:80/p{i}", body if i % 4 else f"<{r.choice(['article', 'main'])}><p>{r.choice(notices)}</p><p>{text(r.randint(1, 9))}</p></article>" + body))
+    rows += [(5, rows[5][1], rows[5][2]), (180, "https://h.x/c", "<p>" + text(3000) + "</p>"), (None, "https://h.x/n", "<p>" + notices[3] + " tail</p>")]
+    rows += [(200 + i, f"https://h.x/copy{i}", rows[-2][2]) for i in range(9)]
+    df = spark.createDataFrame([(*x, 1, 2) for x in rows], "page_id long, url string, html string, chunk int, grams int").repartition(4)
     assert sorted((tuple(x) for x in extract(df).collect()), key=str) == brute(rows)
     assert extract(df.limit(0)).collect() == []
 
 
+def test_repeats_decide_without_cues(spark):
+    """Menus, notices and closing lines in plain elements, some inside main; a copied article stays."""
+    r = random.Random(7)
+    text = lambda n: " ".join("".join(r.choices("abcdefgé", k=4)) for _ in range(n))
+    menu, notice, closing = text(12), text(20), text(15)
+    pages, want = [], {}
+    for i in range(60):
+        own = [text(r.randint(3, 60)) for _ in range(4)] if i not in (41, 42, 43, 44) else want[40].split("\n\n")
+        kind = r.choice(["main", "div"])
+        body = f"<div>{menu}</div><{kind}><p>{own[0]}</p><p>{notice}</p>{''.join(f'<p>{x}</p>' for x in own[1:])}<p>{closing}</p></{kind}><div>{closing}</div>"
+        pages.append((i, f"https://plain.example/{i}", body))
+        want[i] = "\n\n".join(own)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in extract(df).collect()}
+    copies = {40, 41, 42, 43, 44}  # everything on these repeats
+    assert {i for i in got if got[i] != want[i]} <= copies and all(want[i].split("\n\n")[1] in got[i] for i in copies)
+    without = {x.page_id: x.text for x in extract(df, least=1 << 40).collect()}
+    assert sum(without[i] != got[i] for i in got) >= 50
+
+
+def test_a_long_page(spark):
+    long = " ".join(str(i) for i in range(120_000))
+    df = spark.createDataFrame([(1, "https://a.b/1", f"<p>{long}</p><p>x</p>")], "page_id long, url string, html string")
+    assert [x.text for x in extract(df).collect()] == [long + "\n\nx"]
+
+
 def test_bundled_pages_give_their_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {x.page_id: x.text for x in extract(pages).collect()}
