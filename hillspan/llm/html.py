@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .rolling import U64, Texts, grouped, mix, slices, spans, windows
@@ -38,8 +38,8 @@ RUN, PAGES, SHARE = 4, 3, 0.05
 COVERED, LEFT = 0.9, 0.2
 #: Tokens of other blocks to one of the article's or main element's beyond which that is a teaser.
 TEASER = 2
-#: Bytes of a chunk of pages, about.
-CHUNK = 2 << 20
+#: Bytes of a chunk of pages, at least and at most, and about a sixteenth of all pages between.
+LEAST_CHUNK, CHUNK = 1 << 20, 8 << 20
 RESULT = "page_id long, url string, text string, n_chars long"
 #: Marks of blocks.
 ARTICLE, MAIN, PLAIN, CUED = 0, 1, 2, 3
@@ -198,7 +198,7 @@ def suffix_array(symbols: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]
 
 
 class _Streams:
-    """The token streams of a chunk of pages, in the order of (page_id, url, blob), and their suffix array."""
+    """The token streams of a chunk of pages, in the order of (page_id, url, blob)."""
 
     def __init__(self, table: pa.Table):
         table = table.sort_by([("page_id", "ascending"), ("url", "ascending"), ("blob", "ascending")])
@@ -206,30 +206,37 @@ class _Streams:
         self.blocks = [_opened(x) for x in table.column("blob").to_pylist()]
         t = Texts(pa.array(["\n".join(words for _, words in page) for page in self.blocks], pa.large_string()))
         start, end, self.first = t.words()
-        self.size = len(start)
-        host, key = (grouped(table.column(c).to_numpy())[1] for c in ("host", "page"))
-        row = np.repeat(np.arange(t.n), np.diff(self.first))
-        tokens = spans(t.buf, start, end, 0)
-        order, rank = suffix_array(mix(tokens ^ mix(host[row].astype(U64))), RUN)
-        inside = row[: len(rank)] == row[RUN - 1 :] if len(rank) else np.zeros(0, bool)
-        #: Suffixes in order, the first of each class, and the class of each.
-        self.order = order[inside[order]]
-        ranks = rank[self.order]
-        self.new = np.concatenate([[True], ranks[1:] != ranks[:-1]])[: len(ranks)]
-        self.begin = np.flatnonzero(self.new)
-        #: Distinct pages of each class: within one, suffixes come in the order of the rows, and rows of one page come together.
-        page = key[row[self.order]]
-        self.pages = np.add.reduceat(self.new | np.concatenate([[True], page[1:] != page[:-1]])[: len(page)], self.begin, dtype=np.int64) if len(page) else np.zeros(0, np.int64)
-        self.host = host[row[self.order[self.begin]]]
-        #: Distinct pages of each host.
-        one = grouped(key)[0]
-        self.of_host = np.bincount(host[one], minlength=int(host.max()) + 1)
-        self.grams = windows(tokens, RUN, 0)[self.order[self.begin]] if len(self.begin) else np.zeros(0, U64)
-
-    def covered(self, classes: np.ndarray) -> np.ndarray:
-        """Whether each token is in a substring of the classes."""
-        at = self.order[np.repeat(classes, np.diff(np.append(self.begin, len(self.order))))]
-        change = np.zeros(self.size + 1, np.int64)
+        self.tokens = spans(t.buf, start, end, 0)
+        self.row = np.repeat(np.arange(t.n), np.diff(self.first))
+        #: Numbers of the row's host and page; rows of one page come together.
+        self.host, self.key = (grouped(table.column(c).to_numpy())[1] for c in ("host", "page"))
+        self.of_host = np.bincount(self.host[grouped(self.key)[0]], minlength=int(self.host.max()) + 1)
+        n = len(self.tokens) - RUN + 1
+        #: Starts of RUN tokens of one page.
+        self.at = np.flatnonzero(self.row[: max(n, 0)] == self.row[RUN - 1 :]) if n > 0 else np.zeros(0, np.int64)
+
+    def classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The suffix array: starts in order, where each class of RUN equal tokens begins in it, and the pages and the host of each."""
+        symbols = mix(self.tokens ^ mix(self.host[self.row].astype(U64)))
+        order, rank = suffix_array(symbols, RUN)
+        inside = np.zeros(len(rank), bool)
+        inside[self.at] = True
+        order = order[inside[order]]
+        if not len(order):
+            return order, order, order, order
+        # neighbours of one rank have RUN tokens or more in common
+        new = np.diff(rank[order], prepend=-1) != 0
+        begin = np.flatnonzero(new)
+        # within a class, suffixes come in the order of the rows
+        other = np.diff(self.key[self.row[order]], prepend=-1) != 0
+        return order, begin, np.add.reduceat(new | other, begin, dtype=np.int64), self.host[self.row[order[begin]]]
+
+    def grams(self, at: np.ndarray) -> np.ndarray:
+        return windows(self.tokens, RUN, 0)[at] if len(at) else np.zeros(0, U64)
+
+    def covered(self, at: np.ndarray) -> np.ndarray:
+        """Whether each token is one of RUN from at on."""
+        change = np.zeros(len(self.tokens) + 1, np.int64)
         np.add.at(change, at, 1)
         np.add.at(change, at + RUN, -1)
         return np.cumsum(change[:-1]) > 0
@@ -259,8 +266,9 @@ def main_text(page: list, covered: np.ndarray) -> str:
     return "\n\n".join(x[1] for x in plain)
 
 
-def _texts(s: _Streams, classes: np.ndarray) -> pa.Table:
-    covered = s.covered(classes)
+def _texts(s: _Streams, at: np.ndarray) -> pa.Table:
+    """The result's rows; at: where boilerplate starts."""
+    covered = s.covered(at)
     texts = [main_text(page, covered[s.first[i] : s.first[i + 1]]) for i, page in enumerate(s.blocks)]
     return pa.table({"page_id": s.table.column("page_id"), "url": s.table.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
 
@@ -289,52 +297,54 @@ def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataF
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     keyed = columns.select("page_id", "url", F.xxhash64("page_id", "url").alias("page"), F.xxhash64(host).alias("host"), "html")
     sizes = checkpointed(keyed.groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes")))
-    bins = 2 * (sizes.agg(F.sum("bytes")).first()[0] or 0) // CHUNK + 1
-    large = checkpointed(sizes.where(F.col("bytes") > CHUNK).select("host", F.ceil(F.col("bytes") * 2 / CHUNK).alias("parts")))
-    # small hosts share bins, whole; a large host has chunks of its own
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    chunk = max(LEAST_CHUNK, min(CHUNK, total // 16))
+    large = checkpointed(sizes.where(F.col("bytes") > chunk).select("host", F.ceil(F.col("bytes") * 2 / chunk).alias("parts")))
     dealt = keyed.join(broadcast_if_few(large), "host", "left")
-    chunk = F.when(F.col("parts").isNull(), F.pmod(F.col("host"), F.lit(bins))).otherwise(F.xxhash64("host", F.pmod(F.col("page"), F.col("parts"))))
-    dealt = dealt.select(chunk.alias("chunk"), "page_id", "url", "page", "host", F.col("parts").isNotNull().alias("large"), "html")
+    # small hosts share bins, whole; a large host has chunks of its own
+    small = dealt.where("parts is null").withColumn("chunk", F.pmod(F.col("host"), F.lit(2 * total // chunk + 1)))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (piece for batch in batches for piece in slices(batch, 6)):
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array([_packed(x.as_py()) for x in b.column(6)], pa.binary())], ["chunk", "page_id", "url", "page", "host", "large", "blob"])
+        for b in (piece for batch in batches for piece in slices(batch, 5)):
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array([_packed(x.as_py()) for x in b.column(5)], pa.binary())], ["chunk", "page_id", "url", "page", "host", "blob"])
 
-    by_chunk = dealt.mapInArrow(tidy(parse), "chunk long, page_id long, url string, page long, host long, large boolean, blob binary").groupBy("chunk")
+    def parsed(df: DataFrame) -> GroupedData:
+        rows = df.select("chunk", "page_id", "url", "page", "host", "html").mapInArrow(tidy(parse), "chunk long, page_id long, url string, page long, host long, blob binary")
+        return rows.groupBy("chunk")
 
     def whole(t: pa.Table) -> pa.Table:
         s = _Streams(t)
-        return _texts(s, s.pages >= least_pages(s.of_host, least, share)[s.host])
+        order, begin, pages, host = s.classes()
+        often = pages >= least_pages(s.of_host, least, share)[host]
+        return _texts(s, order[np.repeat(often, np.diff(np.append(begin, len(order))))])
 
+    out = parsed(small).applyInArrow(whole, RESULT)
     if not large.limit(1).count():
-        return by_chunk.applyInArrow(whole, RESULT)
+        return out
+    by_chunk = parsed(dealt.where("parts is not null").withColumn("chunk", F.xxhash64("host", F.pmod(F.col("page"), F.col("parts")))))
 
     def propose(t: pa.Table) -> pa.Table:
         """Of a large host's chunk its pages, and the substrings that may be boilerplate on the host."""
-        kind = pa.schema([("chunk", pa.int64()), ("host", pa.int64()), ("pages", pa.int64()), ("grams", pa.list_(pa.int64()))])
-        if not t.column("large")[0].as_py():
-            return kind.empty_table()
         s = _Streams(t)
+        order, begin, pages, _ = s.classes()
         n = int(s.of_host[0])
         # a host of fewer pages than least / share has the bound least, of which a chunk may see one page
-        often = s.pages >= (share * n if share * n >= least else 1)
-        return pa.table({"chunk": t.column("chunk")[:1], "host": t.column("host")[:1], "pages": pa.array([n], pa.int64()), "grams": pa.array([s.grams[often].view(np.int64)], pa.list_(pa.int64()))})
+        often = pages >= (share * n if share * n >= least else 1)
+        return pa.table({"chunk": t.column("chunk")[:1], "host": t.column("host")[:1], "pages": pa.array([n], pa.int64()), "grams": pa.array([s.grams(order[begin[often]]).view(np.int64)], pa.list_(pa.int64()))})
 
     def count(t: pa.Table, asked: pa.Table) -> pa.Table:
-        kind = pa.schema([("host", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
-        if not asked.num_rows:
-            return kind.empty_table()
         s = _Streams(t)
-        hit = np.isin(s.grams, _asked(asked))
-        return pa.table({"host": pa.array(np.full(int(hit.sum()), t.column("host")[0].as_py()), pa.int64()), "gram": pa.array(s.grams[hit].view(np.int64)), "n": pa.array(s.pages[hit])})
+        grams = s.grams(s.at)
+        hit = np.isin(grams, _asked(asked))
+        if not hit.any():
+            return pa.schema([("host", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())]).empty_table()
+        found = np.unique(np.stack([grams[hit].view(np.int64), s.key[s.row[s.at[hit]]]]), axis=1)[0]
+        gram, n = np.unique(found, return_counts=True)
+        return pa.table({"host": pa.array(np.full(len(gram), t.column("host")[0].as_py()), pa.int64()), "gram": pa.array(gram, pa.int64()), "n": pa.array(n, pa.int64())})
 
     def finish(t: pa.Table, frequent: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "text": pa.array([], pa.string()), "n_chars": pa.array([], pa.int64())})
-        if not t.column("large")[0].as_py():
-            return whole(t)
         s = _Streams(t)
-        return _texts(s, np.isin(s.grams, _asked(frequent)))
+        return _texts(s, s.at[np.isin(s.grams(s.at), _asked(frequent))])
 
     proposed = checkpointed(by_chunk.applyInArrow(propose, "chunk long, host long, pages long, grams array<long>"))
     chunks = proposed.select("chunk", "host")
@@ -342,7 +352,7 @@ def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataF
     counted = by_chunk.cogroup(_to_chunks(chunks, candidates).groupBy("chunk")).applyInArrow(count, "host long, gram long, n long")
     counted = counted.groupBy("host", "gram").agg(F.sum("n").alias("n")).join(proposed.groupBy("host").agg(F.sum("pages").alias("pages")), "host")
     frequent = counted.where(F.col("n") >= F.greatest(F.lit(least), F.ceil(F.col("pages") * share))).groupBy("host").agg(F.collect_list("gram").alias("grams"))
-    return by_chunk.cogroup(_to_chunks(chunks, frequent).groupBy("chunk")).applyInArrow(finish, RESULT)
+    return out.unionByName(by_chunk.cogroup(_to_chunks(chunks, frequent).groupBy("chunk")).applyInArrow(finish, RESULT))
 
 
 def _asked(t: pa.Table) -> np.ndarray:

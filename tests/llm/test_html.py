@@ -93,6 +93,7 @@ def test_suffix_array_equals_sorted_suffixes():
 @pytest.mark.parametrize("chunk", [300, 3000, 1 << 22])
 def test_repeats_equal_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(html, "CHUNK", chunk)
+    monkeypatch.setattr(html, "LEAST_CHUNK", chunk)
     r = random.Random(6)
     text = lambda n: " ".join("".join(r.choices("abcdefgé", k=3)) for _ in range(n))
     notices = [text(n) for n in (5, 8, 11, 30)]
