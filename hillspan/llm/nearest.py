@@ -1,11 +1,12 @@
 """Exact nearest neighbours by a block matrix join (operator 5).
 
-Vectors are dealt into blocks of BLOCK rows by a hash of their ids, the queries among them into query blocks. Every query
-block meets every candidate block: a stated set of queries against all rows, in tiles. A tile multiplies the vectors
+Vectors are dealt into blocks of BLOCK bytes by a hash of their ids, the queries among them into query blocks of QUERIES
+bytes. Every query block meets every candidate block in a tile of its own: a stated set of queries against all rows, whose
+largest task holds one block of each kind whatever the numbers of either. A tile multiplies the vectors
 rounded to int8; with s the scale of a rounded vector q and e the length of what rounding dropped, the distance of two
 vectors differs from that of s*q and s'*q' by e + e' at most, by the triangle inequality. Candidates whose lower bound
 exceeds the K-th smallest upper bound of their tile are pruned; the others are recomputed in double precision, and the
-tile hands on its K best of each query. A heap of K for each query merges the tiles' rows.
+tile hands on its K best of each query. Heaps of K merge the tiles' rows, for some queries in each task.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from .shared import checkpointed, shuffle_partitions
 
 K = 10
-#: Vectors of a candidate block, about, where there are that many for each shuffle partition, and the least for it to be split further; queries of a tile.
-BLOCK, SMALL, QUERIES = 16384, 512, 128
+#: Bytes of a candidate block and of a query block, about; vectors of a candidate block, at least, where it is split to give all partitions work.
+BLOCK, QUERIES, SMALL = 8 << 20, 4 << 20, 512
+#: Queries that are multiplied at a time; rows of the tiles that a task merges, about.
+SLICE, MERGED = 128, 1 << 18
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -73,36 +76,38 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, id_column: str = "
     x = F.col(vector_column).cast("array<double>")
     sound = vectors.select(F.col(id_column).cast("long").alias("vec_id"), x.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf"))) & F.exists("v", lambda a: a != 0))
     rows = checkpointed(sound.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("width", F.size("v")))
-    counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
-    blocks = max(counts.n // BLOCK + 1, min(shuffle_partitions(vectors.sparkSession), counts.n // SMALL))
-    query_blocks = counts.q // QUERIES + 1
+    counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"), F.coalesce(F.max("width"), F.lit(1)).alias("width")).first()
+    blocks = max(counts.n * 8 * counts.width // BLOCK + 1, min(shuffle_partitions(vectors.sparkSession), counts.n // SMALL))
+    query_blocks = counts.q * 8 * counts.width // QUERIES + 1
     by_hash = F.xxhash64("vec_id")
-    dealt = rows.withColumn("block", F.pmod(by_hash, F.lit(blocks)).cast("int"))
-    # each query row goes to every block of candidates once; rows of a tile come together by key
-    asked = rows.where(F.col("vec_id") % every == 0).withColumn("query_block", F.pmod(by_hash, F.lit(query_blocks)).cast("int"))
-    asked = asked.select("query_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("width").alias("width"), F.col("vec_id").alias("query_id"), F.col("v").alias("query"))
+    grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = rows.select(F.pmod(by_hash, F.lit(blocks)).cast("int").alias("block"), grid(query_blocks).alias("query_block"), "width", "vec_id", "v")
+    asked = rows.where(F.col("vec_id") % every == 0)
+    # the second hash: blocks of queries and of candidates are not to follow one another
+    asked = asked.select(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("query_block"), grid(blocks).alias("block"), "width", F.col("vec_id").alias("query_id"), F.col("v").alias("query"))
 
     def tiles(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if left.num_rows and right.num_rows:
             width = left.column("width")[0].as_py()
-            candidates = _matrix(left, width, "vec_id", "v")
-            number = right.column("query_block").to_numpy()
-            for b in np.unique(number):
-                queries = _matrix(right.filter(pa.array(number == b)), width, "query_id", "query")
-                for at in range(0, len(queries[0]), QUERIES):
-                    out.append(tile((queries[0][at : at + QUERIES], queries[1][at : at + QUERIES]), candidates, k))
+            candidates, (number, queries) = _matrix(left, width, "vec_id", "v"), _matrix(right, width, "query_id", "query")
+            out += [tile((number[at : at + SLICE], queries[at : at + SLICE]), candidates, k) for at in range(0, len(number), SLICE)]
         q, r, d = (np.concatenate(z) for z in zip(*out, strict=True))
         return pa.table({"query_id": pa.array(q), "vec_id": pa.array(r), "score": pa.array(d)})
 
     def merge(t: pa.Table) -> pa.Table:
-        pairs = zip(t.column("score").to_pylist(), t.column("vec_id").to_pylist(), strict=True)
-        best = heapq.nsmallest(k, pairs)
-        query = t.column("query_id")[0].as_py()
-        return pa.table({"query_id": pa.array([query] * len(best), pa.int64()), "rank": pa.array(range(1, len(best) + 1), pa.int32()), "vec_id": pa.array([v for _, v in best], pa.int64()), "score": pa.array([d for d, _ in best], pa.float64())})
-
-    found = dealt.groupBy("block", "width").cogroup(asked.groupBy("block", "width")).applyInArrow(tiles, "query_id long, vec_id long, score double")
-    return found.groupBy("query_id").applyInArrow(merge, RESULT)
+        pairs: dict[int, list[tuple[float, int]]] = {}
+        for query, vec, d in zip(*(t.column(c).to_pylist() for c in ("query_id", "vec_id", "score")), strict=True):
+            heap = pairs.setdefault(query, [])
+            (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, (-d, -vec))
+        best = [(query, n + 1, -vec, -d) for query, heap in pairs.items() for n, (d, vec) in enumerate(sorted(heap, reverse=True))]
+        query, rank, vec, d = zip(*best, strict=True)
+        return pa.table({"query_id": pa.array(query, pa.int64()), "rank": pa.array(rank, pa.int32()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(d, pa.float64())})
+
+    keys = ("block", "query_block", "width")
+    found = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(tiles, "query_id long, vec_id long, score double")
+    parts = counts.q * blocks * k // MERGED + 1
+    return found.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")).applyInArrow(merge, RESULT)
 
 
 SQL = """

@@ -29,18 +29,19 @@ def same(got, want):
     assert np.allclose([x[3] for x in got], [x[3] for x in want], rtol=1e-14, atol=0)
 
 
-@pytest.mark.parametrize("block", [7, 4096])
+@pytest.mark.parametrize("block", [500, 1 << 20])
 def test_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(module, "BLOCK", block)
-    monkeypatch.setattr(module, "SMALL", block)
-    monkeypatch.setattr(module, "QUERIES", 5)
+    monkeypatch.setattr(module, "SMALL", block // 50)
+    monkeypatch.setattr(module, "QUERIES", block)
+    monkeypatch.setattr(module, "MERGED", block)
     r = np.random.default_rng(3)
     v = r.normal(size=(300, 8)).astype(np.float32)
     v[50:90] = v[50]
     v[90:100] = v[50] + np.float32(1e-6)
     rows = [(i, [float(x) for x in y]) for i, y in enumerate(v)]
     rows += [(500, None), (501, []), (502, [0.0] * 8), (503, [1.0] * 7 + [None]), (504, [float("nan")] * 8), (505, [float("inf")] * 8), (None, [1.0] * 8), (20, [float(x) for x in v[5]]), (60, rows[60][1]), (510, [1.0, 2.0]), (520, [1.5, 2.0])]
-    df = spark.createDataFrame([(*x, 0) for x in rows], "vec_id long, embedding array<float>, rank int").repartition(4)
+    df = spark.createDataFrame([(*x, 0, 1, 2) for x in rows], "vec_id long, embedding array<float>, rank int, block int, width int").repartition(4)
     as_float = [(i, None if w is None else [None if x is None else float(np.float32(x)) for x in w]) for i, w in rows]
     same(sorted(tuple(x) for x in nearest(df, every=10).collect()), brute(as_float, 10, 10))
 
