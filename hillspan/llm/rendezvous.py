@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import shuffle_partitions
@@ -24,8 +24,9 @@ from .shared import shuffle_partitions
 U64 = np.uint64
 ASKED = "bucket long, chunk long, keys binary, more binary, bits binary"
 ANSWERED = "chunk long, bucket long, bits binary"
-#: Bytes of text in a chunk, at least and at most; more buckets ask for larger chunks, to keep packed entries long.
-LEAST, MOST, ENTRY = 2 << 20, 128 << 20, 300
+#: Bytes of text in a chunk, at least and at most; bytes of text to a bucket, at least; bytes of text for each row of packed
+#: entries, about: chunks and buckets both grow with the root of all bytes, so that rows keep their size.
+LEAST, MOST, BUCKET, ENTRY = 1 << 20, 64 << 20, 2 << 20, 300
 
 
 @dataclass
@@ -36,17 +37,27 @@ class Plan:
     buckets: int
 
 
-def buckets_for(spark) -> int:
-    return 1 << max(8, (4 * shuffle_partitions(spark) - 1).bit_length())
+def text_bytes(documents: DataFrame, text: str) -> int:
+    return documents.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
 
 
-def plan(documents: DataFrame, columns: list[str]) -> Plan:
-    """Deals documents (columns: an id and a text) into chunks; their number follows the bytes of text."""
+def buckets_for(spark: SparkSession, total: int) -> int:
+    """A power of two, by the bytes of text, and enough for all partitions."""
+    side = max(BUCKET, min(MOST, int((ENTRY * total) ** 0.5)))
+    return 1 << max(8, (max(total // side, 8 * shuffle_partitions(spark)) - 1).bit_length())
+
+
+def deal(documents: DataFrame, columns: list[str], total: int | None = None) -> DataFrame:
+    """chunk, id and text of documents (columns: an id and a text); the number of chunks follows the bytes of text."""
     key, text = columns
-    buckets = buckets_for(documents.sparkSession)
-    total = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    chunks = total // min(MOST, max(LEAST, ENTRY * buckets)) + 1
-    return Plan(documents.select(F.pmod(F.xxhash64(key, text), F.lit(chunks)).alias("chunk"), F.col(key), F.col(text)), buckets)
+    total = text_bytes(documents, text) if total is None else total
+    chunks = total // min(MOST, max(LEAST, int((ENTRY * total) ** 0.5))) + 1
+    return documents.select(F.pmod(F.xxhash64(key, text), F.lit(chunks)).alias("chunk"), F.col(key), F.col(text))
+
+
+def plan(documents: DataFrame, columns: list[str]) -> Plan:
+    total = text_bytes(documents, columns[1])
+    return Plan(deal(documents, columns, total), buckets_for(documents.sparkSession, total))
 
 
 def entries(fp: np.ndarray, second: np.ndarray | None, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,6 +114,15 @@ def answered(bucket: pa.Table, kind: np.dtype, more: np.dtype | None, decide: Ca
     return pa.table({"chunk": chunks.take(pa.array(any_yes)), "bucket": pa.array(np.full(len(any_yes), number), pa.int64()), "bits": pa.array([np.packbits(yes[ends[i] - sizes[i] : ends[i]]).tobytes() for i in any_yes], pa.binary())}).cast(pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())]))
 
 
+def by_owner(bucket: int, owners: np.ndarray, bits: np.ndarray) -> pa.Table:
+    """Rows for ANSWERED, of a bucket's entries in the order of their chunks' own: owners has the chunk of each, bits a row of bits."""
+    order = np.argsort(owners, kind="stable")
+    begin = np.flatnonzero(np.diff(owners[order], prepend=-1))
+    ends = np.append(begin[1:], len(order))
+    full = [(int(owners[order[a]]), np.packbits(bits[order[a:b]]).tobytes()) for a, b in zip(begin, ends, strict=True) if bits[order[a:b]].any()]
+    return pa.table({"chunk": pa.array([c for c, _ in full], pa.int64()), "bucket": pa.array([bucket] * len(full), pa.int64()), "bits": pa.array([x for _, x in full], pa.binary())})
+
+
 def answers(replies: pa.Table, bounds: np.ndarray, wide: int = 1) -> np.ndarray:
     """The bits of each distinct entry of a chunk, wide of them for each."""
     out = np.zeros((bounds[-1], wide), bool)
