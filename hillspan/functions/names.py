@@ -96,8 +96,82 @@ def axis(angle: Column) -> Column:
 
 
 def signed_distance(metres: Column, angle: Column) -> Column:
-    """Along the axis: negative for west and south."""
-    return F.when(F.pmod(angle, F.lit(360)).between(180, 359), -metres).otherwise(metres)
+    """Along the axis: negative for west and south, null for other directions."""
+    a = F.pmod(angle, F.lit(360))
+    return F.when(a.isin(0, 90), metres).when(a.isin(180, 270), -metres)
+
+
+def kind_in(text: Column) -> Column:
+    """original, rotation, translation, scale or other: by a word anywhere in a text."""
+    t = F.lower(text)
+    return F.when(F.contains(t, F.lit("original")), "original").when(F.contains(t, F.lit("rot")), "rotation").when(F.contains(t, F.lit("trans")), "translation").when(F.contains(t, F.lit("scale")), "scale").otherwise("other")
+
+
+def kind_of(name: Column, kind: Column) -> Column:
+    """The same by what a table says of the variant's kind, or by its file's name."""
+    n, k = F.lower(name), F.lower(F.coalesce(kind, F.lit("")))
+    starts, holds = (lambda x: F.startswith(k, F.lit(x))), (lambda x: F.contains(n, F.lit(x)))
+    return F.when((k == "original") | holds("original"), "original").when(starts("rotation") | holds("rot_"), "rotation").when(starts("scale") | holds("scale_"), "scale").when(starts("translation") | starts("translate") | holds("trans_"), "translation").otherwise("other")
+
+
+def kind_of_row(variant: Column, kind: Column) -> Column:
+    """The same of a row of statistics: its type and its variant's beginning."""
+    v, k = F.lower(F.coalesce(variant, F.lit(""))), F.lower(F.coalesce(kind, F.lit("")))
+    of = lambda a, b: F.startswith(k, F.lit(a)) | F.startswith(v, F.lit(b))
+    return F.when((k == "original") | (v == "original"), "original").when(of("translate", "trans_"), "translation").when(of("rotate", "rot_"), "rotation").when(of("scale", "scale_"), "scale").otherwise("other")
+
+
+def growth(name: Column, more: str = "expansion", less: str = "contraction", moved: str = "translation", turned: str = "rotation") -> Column:
+    """Scalings as expansions or contractions, moved and turned ones, and original for the rest."""
+    n = bare(name)
+    return F.when(F.startswith(n, F.lit("trans")), moved).when(F.startswith(n, F.lit("rot")), turned).when(scale_factor(name) > 1, more).when(scale_factor(name).isNotNull(), less).otherwise("original")
+
+
+def scale_axis(text: Column) -> Column:
+    """ns or ew of the ways to write them; null of others."""
+    t = F.lower(F.trim(text))
+    return F.when(t.isin("ns", "north-south", "north_south"), "ns").when(t.isin("ew", "east-west", "east_west"), "ew")
+
+
+def metres_in(text: Column) -> Column:
+    """The length in a text that names a translation, with or without decimals."""
+    return F.nullif(F.regexp_extract(text, r"trans_(\d+(?:\.\d+)?)m", 1), F.lit("")).cast("double")
+
+
+def one_sided(axis: Column, values: Column) -> Column:
+    """northward, southward, eastward or westward if all values (an array of signed lengths, nulls and zeros aside) have one sign; null otherwise."""
+    signs = F.array_distinct(F.transform(F.filter(values, lambda v: v.isNotNull() & (F.abs(v) > 1e-9)), lambda v: F.signum(v).cast("int")))
+    up = F.element_at(signs, 1) > 0
+    one = F.size(signs) == 1
+    return F.when(one & (axis == "ns"), F.when(up, "northward").otherwise("southward")).when(one & (axis == "ew"), F.when(up, "eastward").otherwise("westward"))
+
+
+def canonical(name: Column) -> Column:
+    """A variant's name with its numbers in one form: whole degrees and factors with a point become the forms of rotation_name() and scale_name()."""
+    n = bare(name)
+    sign, whole = (F.regexp_extract(n, r"^rot_([+-])(\d+)deg$", g) for g in (1, 2))
+    axis_, a, b = (F.regexp_extract(n, r"^scale_(ns|ew)_(\d+)[.p](\d+)$", g) for g in (1, 2, 3))
+    turned = F.concat(F.lit("rot_"), sign, F.lpad(whole, 2, "0"), F.lit("p00deg"))
+    return F.when(whole != "", turned).when(axis_ != "", F.concat(F.lit("scale_"), axis_, F.lit("_"), a, F.lit("p"), F.rpad(F.regexp_replace(b, "0+$", ""), 2, "0"))).otherwise(n)
+
+
+def plain_number(hundredths: Column) -> Column:
+    """A number of hundredths as text without trailing zeros."""
+    whole, rest = F.floor(F.abs(hundredths) / 100).cast("long"), F.abs(hundredths) % 100
+    end = F.regexp_replace(F.lpad(rest.cast("string"), 2, "0"), "0+$", "")
+    return F.concat(F.when(hundredths < 0, "-").otherwise(""), whole.cast("string"), F.when(end != "", F.concat(F.lit("."), end)).otherwise(""))
+
+
+def unit_of(pct: Column) -> Column:
+    """The unit in which a change (in %) is shown: %, ‰, ppm or ppb by its size."""
+    a = F.abs(pct)
+    return F.when(a.isNull() | (a >= 1), "%").when(a >= 0.1, "‰").when(a >= 0.0001, "ppm").otherwise("ppb")
+
+
+def decimals_of(value: Column) -> Column:
+    """Decimals that a value is shown with: fewer for larger ones; 3 for none."""
+    a = F.abs(value)
+    return F.when(a >= 100, 1).when(a >= 10, 2).otherwise(3)
 
 
 def normalised_angles(angles: Column) -> Column:

@@ -168,8 +168,9 @@ def tiles_of(lon_min: Column, lat_min: Column, lon_max: Column, lat_max: Column)
 
 
 def pixel_rows(tiles: DataFrame) -> DataFrame:
-    """tile, col, row, z from tiles (tile, z: rows of pixels)."""
-    return tiles.select("tile", F.posexplode("z").alias("row", "_r")).select("tile", "row", F.posexplode("_r").alias("col", "z")).select("tile", "col", "row", "z")
+    """Tiles' columns with col, row and z in place of z: rows of pixels."""
+    keep = [c for c in tiles.columns if c != "z"]
+    return tiles.select(*keep, F.posexplode("z").alias("row", "_r")).select(*keep, "row", F.posexplode("_r").alias("col", "z"))
 
 
 def looks_like_degrees(nodes: DataFrame, n: int = 1000) -> bool:

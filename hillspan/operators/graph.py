@@ -5,14 +5,15 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.folders import checkpointed
 
-#: Arcs, at most, of a network that shortest_paths() sends to its tasks.
-MOST_ARCS = 5_000_000
+#: Arcs, at most, of a network that shortest_paths() sends to its tasks: 8 bytes for the head and for each value, so some 50 MB.
+MOST_ARCS = 2_000_000
 
 
 def representative_arcs(arcs: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -30,57 +31,46 @@ def _swapped(arcs: DataFrame, names: dict[str, str]) -> DataFrame:
     return arcs.select(*(F.col(names.get(c, c)).alias(c) for c in arcs.columns))
 
 
-def all_pairs(arcs: DataFrame, carried: Sequence[str] = (), most_arcs: int = 64) -> DataFrame:
-    """i, j, w and sums of carried along the shortest path, of all pairs that a path of at most most_arcs arcs joins. Ties: the least sums.
-
-    Squares the matrix of shortest paths by min and plus: a round joins on the middle node and doubles the arcs of a path. For networks
-    whose pairs are to be stored anyway; shortest_paths() is for few origins in a large one.
-    """
-    cols = ["w", *carried]
-    base = arcs.select(F.col("u").alias("i"), F.col("v").alias("j"), *cols)
-    nodes = base.select("i").union(base.select("j")).distinct()
-    zero = nodes.select("i", F.col("i").alias("j"), *(F.lit(0).cast(arcs.schema[c].dataType).alias(c) for c in cols))
-    least = lambda df: df.groupBy("i", "j").agg(F.min(F.struct(*cols)).alias("_x")).select("i", "j", *(F.col(f"_x.{c}").alias(c) for c in cols))
-    d = least(base.unionByName(zero))
-    reach = 1
-    while reach < most_arcs:
-        d = checkpointed(d)
-        b = d.select(F.col("i").alias("_m"), F.col("j").alias("_j"), *(F.col(c).alias(f"_{c}") for c in cols))
-        d = least(d.join(b, F.col("j") == F.col("_m")).select("i", F.col("_j").alias("j"), *((F.col(c) + F.col(f"_{c}")).alias(c) for c in cols)))
-        reach *= 2
-    return d
+def nodes_of(arcs: DataFrame) -> DataFrame:
+    """node: all ends of arcs."""
+    return arcs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
 
 def shortest_paths(arcs: DataFrame, origins: DataFrame, carried: Sequence[str] = (), most_arcs: int = MOST_ARCS) -> DataFrame:
     """i, j, w and sums of carried from each origin (i) to all nodes in reach: Dijkstra's algorithm for each origin in parallel, ties by the least sums.
 
-    The network goes to all tasks if it has at most most_arcs arcs; a larger one is searched by all_from() in rounds.
+    The network goes to all tasks, as arrays of numbers, if it has at most most_arcs arcs; a larger one is searched by
+    all_from() in rounds.
     """
     cols = ["w", *carried]
     if arcs.count() > most_arcs:
         return all_from(arcs, origins, carried)
-    table = arcs.select("u", "v", *cols).toPandas()
-    near: dict[int, list[tuple]] = {}
-    for row in table.itertuples(index=False):
-        near.setdefault(row[0], []).append((row[1], tuple(row[2:])))
-    shared = arcs.sparkSession.sparkContext.broadcast(near)
+    table = arcs.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), *cols).toArrow()
+    u, v = (table.column(c).to_numpy() for c in ("u", "v"))
+    order = np.argsort(u, kind="stable")
+    tails, begin = np.unique(u[order], return_index=True)
+    shared = arcs.sparkSession.sparkContext.broadcast((tails, np.append(begin, len(u)), v[order], [table.column(c).to_numpy()[order] for c in cols]))
     schema = ", ".join(["i long", "j long", *(f"{c} {arcs.schema[c].dataType.simpleString()}" for c in cols)])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near = shared.value
+        tails, begin, heads, values = shared.value
         for batch in batches:
-            for i in batch["i"]:
+            for i in batch["i"].tolist():
                 best: dict[int, tuple] = {}
-                heap = [((0,) * len(cols), int(i))]
+                heap = [((0,) * len(cols), i)]
                 while heap:
                     d, u = heapq.heappop(heap)
                     if u in best:
                         continue
                     best[u] = d
-                    for v, x in near.get(u, ()):
+                    k = int(np.searchsorted(tails, u))
+                    if k == len(tails) or tails[k] != u:
+                        continue
+                    arcs_of = slice(int(begin[k]), int(begin[k + 1]))
+                    for v, *x in zip(heads[arcs_of].tolist(), *(y[arcs_of].tolist() for y in values), strict=True):
                         if v not in best:
                             heapq.heappush(heap, (tuple(a + b for a, b in zip(d, x, strict=True)), v))
-                yield pd.DataFrame([(int(i), v, *d) for v, d in best.items()], columns=["i", "j", *cols])
+                yield pd.DataFrame([(i, v, *d) for v, d in best.items()], columns=["i", "j", *cols])
 
     return origins.select(F.col("i").cast("long").alias("i")).distinct().mapInPandas(search, schema)
 

@@ -68,33 +68,23 @@ def q01_classify_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interval.join(ranked, "city").select("city", "n_alternatives", "lo", "hi", "rank", "regret", status.alias("status"), R.share_of(F.col("lo"), F.col("hi"), R_LOW, R_HIGH).alias("share"))
 
 
-#: The first lines of a city, about: pairs of lines are formed within it.
-FEW = 10
+_POINTS = "points AS (SELECT DISTINCT a.city, (b.d - a.d) / nullif(a.h - b.h, 0) AS r FROM lines a JOIN lines b ON a.city = b.city AND a.variant < b.variant WHERE (b.d - a.d) / nullif(a.h - b.h, 0) > 0)"
 
 
-def few_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of the FEW first suppliers as one group: a city has a bounded set of variants."""
-    return lines(spark, sf_dir).where(F.col("variant") < FEW).withColumn("g", F.lit(0))
-
-
-_FEW = f"few AS (SELECT variant, d, h FROM lines WHERE variant < {FEW})"
-_POINTS = "points AS (SELECT DISTINCT (b.d - a.d) / nullif(a.h - b.h, 0) AS r FROM few a JOIN few b ON a.variant < b.variant WHERE (b.d - a.d) / nullif(a.h - b.h, 0) > 0)"
-
-
-@query(f"WITH {LINES}, {_FEW}, {_POINTS} SELECT r FROM points")
+@query(f"WITH {LINES}, {_POINTS} SELECT city, r FROM points")
 def q16_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.breakpoints(few_lines(spark, sf_dir), ["g"], "variant").select("r")
+    return R.breakpoints(lines(spark, sf_dir), ["city"], "variant")
 
 
 @query(f"""
-WITH {LINES}, {_FEW}, {_POINTS}, starts AS (SELECT 0.0::DOUBLE AS lo UNION ALL SELECT r FROM points),
-b AS (SELECT lo, coalesce(lead(lo) OVER (ORDER BY lo), 'Infinity'::DOUBLE) AS hi FROM starts),
-e AS (SELECT lo, hi, variant, d + (CASE WHEN isinf(hi) THEN lo + 1.0 ELSE 0.5 * (lo + hi) END) * h AS e FROM b, few)
-SELECT lo, hi, string_agg(CAST(variant AS VARCHAR), ',' ORDER BY e, variant) AS variants FROM e GROUP BY lo, hi
+WITH {LINES}, {_POINTS}, starts AS (SELECT DISTINCT city, 0.0::DOUBLE AS lo FROM lines UNION ALL SELECT city, r FROM points),
+b AS (SELECT city, lo, coalesce(lead(lo) OVER (PARTITION BY city ORDER BY lo), 'Infinity'::DOUBLE) AS hi FROM starts),
+e AS (SELECT b.city, lo, hi, variant, d + (CASE WHEN isinf(hi) THEN lo + 1.0 ELSE 0.5 * (lo + hi) END) * h AS e FROM b JOIN lines ON b.city = lines.city)
+SELECT city, lo, hi, string_agg(CAST(variant AS VARCHAR), ',' ORDER BY e, variant) AS variants FROM e GROUP BY city, lo, hi
 """)
 def q17_ranking_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = R.ranking_intervals(few_lines(spark, sf_dir), ["g"], "variant")
-    return out.select("lo", "hi", F.array_join(F.transform("order", lambda x: x.cast("string")), ",").alias("variants"))
+    out = R.ranking_intervals(lines(spark, sf_dir), ["city"], "variant")
+    return out.select("city", "lo", "hi", F.array_join(F.transform("order", lambda x: x.cast("string")), ",").alias("variants"))
 
 
 @query(f"WITH {LINES} SELECT a.city, a.variant AS better, b.variant AS worse FROM lines a JOIN lines b ON a.city = b.city AND a.variant <> b.variant WHERE a.d <= b.d AND a.h <= b.h")
@@ -153,14 +143,14 @@ def q21_box_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_mktsegment AS segment, 9.81::DOUBLE * CAST(sum(CAST(share * mass * 6 / 10 AS DECIMAL(18,4))) AS DOUBLE) / CAST(sum(CAST(share * lam AS DECIMAL(18,4))) AS DOUBLE) AS r_eff
+SELECT c_mktsegment AS segment, 9.81::DOUBLE * CAST(sum(share * mass * 6) AS DOUBLE) / CAST(sum(share * lam * 10) AS DOUBLE) AS r_eff
 FROM (SELECT c_mktsegment, c_custkey % 5 AS share, 1000 + c_custkey % 400 AS mass, 500 + c_custkey % 100 AS lam FROM customer) GROUP BY 1
 """)
 def q22_mixture_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recovery of four tenths, as whole tenths, so that all sums are exact."""
     k = F.col("c_custkey")
-    exact = lambda c: F.sum(c.cast("decimal(18,4)")).cast("double")
-    climb, length = exact((k % 5) * (1000 + k % 400) * 6 / F.lit(10)), exact((k % 5) * (500 + k % 100))
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg((F.lit(9.81) * climb / length).alias("r_eff"))
+    ratio = R.mixture_ratio(k % 5, 1000 + k % 400, 500 + k % 100, F.lit(4), 9.81, F.lit(10))
+    return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(ratio.alias("r_eff"))
 
 
 @query(f"""

@@ -97,21 +97,22 @@ def q88_regret_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {PLACES}, {PAIRS}, {ARCS}, {PATHS}, w AS (SELECT i, j, m_j / (100.0::DOUBLE + d2) AS w FROM od), c AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS p FROM w WHERE i < 20)
+WITH {PLACES}, {PAIRS}, {ARCS}, {PATHS}, w AS (SELECT i, j, m_j / (100.0::DOUBLE + d2) AS w FROM od), c AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS p FROM w)
 SELECT c.i, count(*) AS n_routed, CAST(floor(sum(p * (a.w + b.w)) / sum(p) * 1e6) AS BIGINT) AS length_millionths, CAST(floor(sum(p * (a.g + b.g)) / sum(p) * 1e6) AS BIGINT) AS climb_millionths FROM c JOIN p5 a ON c.i = a.i AND c.j = a.j JOIN p5 b ON c.i = b.j AND c.j = b.i GROUP BY 1
 """)
 def q89_densification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    choice = D.destination_choice(pairs(spark, sf_dir).where("i < 20"), F.col("m_j") / (100.0 + F.col("d2")), -1.0).select("i", "j", "p")
-    s = T.densification(choice, N.all_pairs(arcs(spark, sf_dir), ["g"], 32))
+    choice = D.destination_choice(pairs(spark, sf_dir), F.col("m_j") / (100.0 + F.col("d2")), -1.0).select("i", "j", "p")
+    a = arcs(spark, sf_dir)
+    s = T.densification(choice, N.shortest_paths(a, N.nodes_of(a).withColumnRenamed("node", "i"), ["g"]))
     return s.select("i", "n_routed", F.floor(F.col("length") * 1e6).alias("length_millionths"), F.floor(F.col("climb") * 1e6).alias("climb_millionths"))
 
 
-_ROADS = "roads AS (SELECT l_suppkey % 50 AS u, l_partkey % 50 AS v, l_orderkey % 3 AS way, l_quantity AS length, CASE l_linenumber % 4 WHEN 0 THEN 'primary' WHEN 1 THEN 'residential' WHEN 2 THEN 'path' ELSE 'motorway' END AS class FROM lineitem WHERE l_orderkey % 20 = 0)"
+_ROADS = "roads AS (SELECT l_suppkey % 50 AS u, l_partkey % 50 AS v, l_orderkey % 3 AS way, l_quantity AS length, CASE l_linenumber % 4 WHEN 0 THEN 'primary' WHEN 1 THEN 'residential' WHEN 2 THEN 'path' ELSE 'motorway' END AS class FROM lineitem)"
 
 
 def _roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, ("primary", "residential", "path", "motorway"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select((F.col("l_suppkey") % 50).alias("u"), (F.col("l_partkey") % 50).alias("v"), (F.col("l_orderkey") % 3).alias("way"), F.col("l_quantity").alias("length"), kind.alias("class"))
+    return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("u"), (F.col("l_partkey") % 50).alias("v"), (F.col("l_orderkey") % 3).alias("way"), F.col("l_quantity").alias("length"), kind.alias("class"))
 
 
 @query(f"WITH {_ROADS} SELECT u, v, way, length FROM roads QUALIFY row_number() OVER (PARTITION BY least(u, v), greatest(u, v), way ORDER BY u, v, length) = 1")
@@ -142,11 +143,11 @@ def q92_stop_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT c_custkey AS id, (c_custkey * 7919) % 1009 AS x, (c_custkey * 104729) % 997 AS y FROM customer WHERE c_custkey < 400), w AS (SELECT a.id AS u, b.id AS v, sqrt(CAST((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS DOUBLE)) AS length FROM p a JOIN p b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 900)
+WITH p AS (SELECT c_custkey AS id, (c_custkey * 7919) % 1009 AS x, (c_custkey * 104729) % 997 AS y FROM customer), w AS (SELECT a.id AS u, b.id AS v, sqrt(CAST((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS DOUBLE)) AS length FROM p a JOIN p b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 900)
 SELECT id AS u, id + 1 AS v, 50.0::DOUBLE AS length, 50.0::DOUBLE AS weight, true AS ride FROM p UNION ALL SELECT u, v, length, 3.0::DOUBLE * length, false FROM w
 """)
 def q93_stops_with_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stops = points(spark, sf_dir).where("id < 400")
+    stops = points(spark, sf_dir)
     rides = stops.select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(50.0).alias("length"))
     return T.with_transfers(rides, G.pairs_within(stops, "id", 30.0))
 

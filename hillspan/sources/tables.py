@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,14 +115,49 @@ def lat_lon_box(text: Column) -> Column:
     return F.transform(F.from_json(text, "array<array<double>>"), lambda p: F.struct(p[1].alias("x"), p[0].alias("y")))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is at path, in whatever store it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def existing_or(spark: SparkSession, path: str, fallback: str, columns: T.StructType) -> DataFrame:
-    """The table at path if it is there, and the other otherwise."""
-    from pyspark.errors import AnalysisException
+    """The table at path if it is there, and the other otherwise. A table that is there but cannot be read fails."""
+    return read_results(spark, path if exists(spark, path) else fallback, columns)
+
+
+def flows_of(spark: SparkSession, folder: str, source: str) -> DataFrame:
+    """origin, dest, flow of a city's named source of trips in its folder: geolocated (working days and holidays, summed), or mitma, with a suffix for what was left out of it."""
+    columns = schema(cell_origin=_S, cell_destination=_S, count=_S)
+    if source == "geolocated":
+        return summed_flows(*(read_results(spark, f"{folder}/od_{kind}", columns) for kind in ("work", "holiday")))
+    if not source.startswith("mitma"):
+        raise ValueError(f"no source of trips is called {source}")
+    return flows(read_results(spark, f"{folder}/od_weekday{source.removeprefix('mitma')}", columns))
+
+
+def write_graph(nodes: DataFrame, arcs: DataFrame, path: str) -> None:
+    """A network as two tables."""
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    arcs.write.mode("overwrite").parquet(f"{path}/arcs")
 
-    try:
-        return read_results(spark, path, columns)
-    except AnalysisException:
-        return read_results(spark, fallback, columns)
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/arcs")
+
+
+def cell_polygons(cells: DataFrame, to_metric: Callable[[Column, Column], tuple[Column, Column]]) -> DataFrame:
+    """cell, ring, cent_x, cent_y in metres of normalised_cells(): corners by to_metric(lon, lat), and their mean."""
+    corners = [("lon_min", "lat_min"), ("lon_max", "lat_min"), ("lon_max", "lat_max"), ("lon_min", "lat_max")]
+    at = [to_metric(F.col(a), F.col(b)) for a, b in corners]
+    ring = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in at))
+    mean = lambda k: F.aggregate(F.transform("ring", lambda p: p[k]), F.lit(0.0), lambda t, v: t + v) / 4.0
+    return cells.select("cell", ring.alias("ring")).select("cell", "ring", mean("x").alias("cent_x"), mean("y").alias("cent_y"))
+
+
+def box_ring(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """A box as a closed ring, counter-clockwise from its lower left corner."""
+    return F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((west, south), (east, south), (east, north), (west, north), (west, south))))
 
 
 def overwrite_partitions(df: DataFrame, path: str, keys: Sequence[str]) -> None:
@@ -141,12 +176,36 @@ def summary_json(df: DataFrame, group: Sequence[str], order: Column) -> DataFram
     return df.groupBy(*group).agg(F.to_json(F.transform(rows, lambda x: x["row"])).alias("json"))
 
 
+def _placemark(name: Column, description: Column, geometry: Column) -> Column:
+    from ..functions.names import escaped_xml
+
+    return F.concat(F.lit("<Placemark><name>"), escaped_xml(name), F.lit("</name><description>"), escaped_xml(description), F.lit("</description>"), geometry, F.lit("</Placemark>"))
+
+
+def _coordinates(points: Column) -> Column:
+    text = F.array_join(F.transform(points, lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"))), " ")
+    return F.concat(F.lit("<coordinates>"), text, F.lit("</coordinates>"))
+
+
 def kml(name: Column, ring: Column, description: Column) -> Column:
     """A placemark of a ring."""
+    return _placemark(name, description, F.concat(F.lit("<Polygon><outerBoundaryIs><LinearRing>"), _coordinates(ring), F.lit("</LinearRing></outerBoundaryIs></Polygon>")))
+
+
+def kml_line(name: Column, points: Column, description: Column) -> Column:
+    return _placemark(name, description, F.concat(F.lit("<LineString>"), _coordinates(points), F.lit("</LineString>")))
+
+
+def kml_point(name: Column, x: Column, y: Column, description: Column) -> Column:
+    return _placemark(name, description, F.concat(F.lit("<Point>"), _coordinates(F.array(F.struct(x.alias("x"), y.alias("y")))), F.lit("</Point>")))
+
+
+def kml_folders(placemarks: DataFrame, group: str, order: str, text: str) -> DataFrame:
+    """group and kml: one folder for each group with its placemarks in order."""
     from ..functions.names import escaped_xml
 
-    points = F.array_join(F.transform(ring, lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"))), " ")
-    return F.concat(F.lit("<Placemark><name>"), escaped_xml(name), F.lit("</name><description>"), escaped_xml(description), F.lit("</description><Polygon><outerBoundaryIs><LinearRing><coordinates>"), points, F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>"))
+    inside = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "")
+    return placemarks.groupBy(group).agg(inside.alias("_k")).select(group, F.concat(F.lit("<Folder><name>"), escaped_xml(F.col(group).cast("string")), F.lit("</name>"), "_k", F.lit("</Folder>")).alias("kml"))
 
 
 def transit_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
