@@ -53,7 +53,7 @@ def outside_after(nodes: DataFrame, variants: DataFrame, ring: Column) -> DataFr
     return kept.groupBy("variant").agg(F.count("*").alias("n"), F.count_if(~in_ring(F.col("mx"), F.col("my"), ring)).alias("n_outside"))
 
 
-def _cut(ring: Column, ax: float, ay: float, bx: float, by: float) -> Column:
+def _cut(ring: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """The part of a ring to the left of a line."""
     side = lambda p: (bx - ax) * (p["y"] - ay) - (by - ay) * (p["x"] - ax)
 
@@ -69,12 +69,11 @@ def _cut(ring: Column, ax: float, ay: float, bx: float, by: float) -> Column:
     return F.flatten(F.transform(F.filter(pairs, lambda e: (side(e["p"]) >= 0) | (side(e["q"]) >= 0)), kept))
 
 
-def clipped(df: DataFrame, ring: str, clip: Sequence[tuple[float, float]], out: str) -> DataFrame:
-    """df with out: the part of its ring inside of a convex ring, counter-clockwise; an empty array where they are apart. One edge of clip after the other cuts."""
-    df = df.withColumn(out, F.col(ring))
-    for (ax, ay), (bx, by) in zip(clip, [*clip[1:], clip[0]], strict=True):
-        df = df.withColumn(out, _cut(F.col(out), ax, ay, bx, by))
-    return df
+def clipped(ring: Column, clip: Sequence[tuple[float, float]]) -> Column:
+    """The part of a ring (of doubles) inside of a convex one, counter-clockwise; an empty array where they are apart. One edge of clip after the other cuts."""
+    lines = F.array(*(F.struct(*(F.lit(float(v)).alias(n) for v, n in zip((*p, *q), ("ax", "ay", "bx", "by"), strict=True))) for p, q in zip(clip, [*clip[1:], clip[0]], strict=True)))
+    kind = "array<struct<x:double,y:double>>"
+    return F.aggregate(lines, ring.cast(kind), lambda r, e: _cut(r, e["ax"], e["ay"], e["bx"], e["by"]).cast(kind))
 
 
 def read_areas(spark: SparkSession, path: str, west: float, south: float, east: float, north: float) -> DataFrame:
@@ -85,8 +84,7 @@ def read_areas(spark: SparkSession, path: str, west: float, south: float, east:
 def overlapping(areas: DataFrame, ring: str, west: float, south: float, east: float, north: float) -> DataFrame:
     """Areas whose ring shares area with a box, with it as overlap."""
     box = [(west, south), (east, south), (east, north), (west, north)]
-    cut = clipped(areas, ring, box, "_part").withColumn("overlap", ring_area(F.col("_part"))).drop("_part")
-    return cut.where("overlap > 0")
+    return areas.withColumn("overlap", ring_area(clipped(F.col(ring), box))).where("overlap > 0")
 
 
 def largest_named(areas: DataFrame, name: str, ring: str, wanted: str) -> DataFrame:

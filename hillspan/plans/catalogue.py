@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import demand, networks, ranking, relational, sources, studies, terrain  # noqa: F401
+from . import demand, networks, ranking, relational, reports, sources, studies, terrain, transit  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -171,7 +171,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PLACES}, {_BOXES} SELECT k, greatest(0, least(x2, 600) - greatest(x1, 100)) * greatest(0, least(y2, 500) - greatest(y1, 52)) AS area FROM b")
 def q106_clipped_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     clip = [(100.0, 52.0), (600.0, 52.0), (600.0, 500.0), (100.0, 500.0)]
-    return L.clipped(boxes(spark, sf_dir), "ring", clip, "part").select("k", L.ring_area(F.col("part")).alias("area"))
+    return boxes(spark, sf_dir).select("k", L.ring_area(L.clipped(F.col("ring"), clip)).alias("area"))
 
 
 @query(f"WITH {PLACES}, {_BOXES} SELECT k, x1 AS x_min, y2 AS y_max FROM b WHERE x1 <= 500 AND x2 >= 200 AND y1 <= 400 AND y2 >= 100")
