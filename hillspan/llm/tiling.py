@@ -2,7 +2,10 @@
 
 Seeds are runs of SEED tokens. A filter of a fixed size over the benchmark's seeds goes to all tasks and leaves few
 documents; the seeds that pass are joined with the benchmark's. A pair of document and item can reach COVERAGE only with
-a share of the item's seeds, so pairs below that share end there. The others are tiled by running Karp-Rabin: the longest
+a share of the item's seeds. So a document of such a pair has one of the seeds that are left when as many of the item's
+most frequent ones as that share are put aside: the join is on these alone, and a phrase that a third of all documents
+share joins nothing but items that consist of it. The pairs it finds are counted in full, and those below the share end
+there. The others are tiled by running Karp-Rabin: the longest
 matches that touch no token marked before are marked, then shorter ones, down to SEED tokens. A document is contaminated
 if the tiles of an item, in any order, cover COVERAGE of its tokens.
 """
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rolling import U64, Texts, slices, spans, windows
@@ -138,7 +141,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
     """RESULT for each pair of a row of documents (doc_id, text) and an item of benchmark (item_id, text) whose tiles cover coverage of the item.
 
     row_hash is xxhash64(doc_id, text) of the row. Items of fewer tokens than a seed, null and empty ones match nothing; rows
-    of equal ids are rows apart, and items of equal ids and texts count once. Empty tables: no rows.
+    of equal ids are rows apart, and items of equal ids and texts count once. Texts of any length are tiled whole. Empty
+    tables: no rows.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item")).distinct()
     items = checkpointed(items.withColumn("item_key", F.xxhash64("item_id", "item")))
@@ -166,9 +170,18 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("row_hash"))
     kept = checkpointed(docs.mapInArrow(tidy(keep), "row long, doc_id long, row_hash long, tokens string, seeds array<long>"))
-    index = items.select("item_key", "item").mapInArrow(tidy(item_seeds), "item_key long, seed long, place long, size long")
-    shared = kept.select("row", F.explode("seeds").alias("seed")).join(index, "seed").groupBy("row", "item_key", "size").agg(F.count("place").alias("n"))
-    pairs = shared.where(F.col("n") * seed >= F.col("size") * coverage).select("row", "item_key")
+    index = checkpointed(items.select("item_key", "item").mapInArrow(tidy(item_seeds), "item_key long, seed long, place long, size long"))
+    found = kept.select("row", F.explode("seeds").alias("seed"))
+    often = found.groupBy("seed").agg(F.count("*").alias("often"))
+    # of n places of an item, need or more are a document's: one is among the n - need + 1 rarest
+    need = F.greatest(F.ceil(F.col("size") * coverage / seed), F.lit(1))
+    ranked = index.join(often, "seed", "left").withColumn("rank", F.row_number().over(Window.partitionBy("item_key").orderBy(F.coalesce("often", F.lit(0)), "seed", "place")))
+    rare = ranked.where(F.col("often").isNotNull() & (F.col("rank") <= F.col("size") - seed + 1 - need + 1)).select("seed", "item_key").distinct()
+    pairs = checkpointed(found.join(rare, "seed").select("row", "item_key").distinct())
+    whole = index.groupBy("item_key").agg(F.collect_list("seed").alias("item_seeds"), F.first("size").alias("size"))
+    shared = pairs.join(kept.select("row", "seeds"), "row").join(whole, "item_key")
+    n = F.size(F.filter("item_seeds", lambda x: F.array_contains("seeds", x)))
+    pairs = checkpointed(shared.where(n * seed >= F.col("size") * coverage).select("row", "item_key"))
     joined = pairs.join(kept.drop("seeds"), "row").join(items, "item_key").select("doc_id", "item_id", "row_hash", "tokens", "item")
 
     def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
