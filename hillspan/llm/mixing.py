@@ -50,7 +50,7 @@ def thresholds(sized: DataFrame, totals: DataFrame) -> DataFrame:
     ordered = Window.partitionBy("s").orderBy("bucket")
     for level in range(LEVELS):
         left = BITS * (LEVELS - level - 1)
-        bounds = state.select(F.col("source").alias("s"), "prefix", "rest")
+        bounds = broadcast_if_few(checkpointed(state.select(F.col("source").alias("s"), "prefix", "rest")))
         inside = sized.join(bounds, sized.source.eqNullSafe(bounds.s) & (F.shiftright("h", left + BITS) == F.col("prefix")))
         histogram = inside.groupBy("s", "rest", F.shiftright("h", left).alias("bucket")).agg(F.sum("size").alias("words"))
         upto = histogram.withColumn("upto", F.sum("words").over(ordered))
@@ -59,7 +59,9 @@ def thresholds(sized: DataFrame, totals: DataFrame) -> DataFrame:
         state = state.select("source", F.col("x.bucket").alias("prefix"), (F.col("x.rest") - (F.col("x.upto") - F.col("x.words"))).alias("rest"), F.col("x.words").alias("words"))
     # documents of one hash go together: they go if that brings the sum nearer
     found = state.select(F.col("source").alias("s"), (F.col("prefix") + (F.col("words") / 2 <= F.col("rest")).cast("long")).alias("found"))
-    return with_target.join(found, with_target.source.eqNullSafe(found.s), "left").select("source", "source_size", "target", "times", F.coalesce("found", F.lit(1 << (BITS * LEVELS))).alias("below"))
+    # a source at its stop gives nothing more, not even documents without words
+    below = F.when(F.col("times") >= TIMES, F.lit(0).cast("long")).otherwise(F.coalesce("found", F.lit(1 << (BITS * LEVELS))))
+    return with_target.join(found, with_target.source.eqNullSafe(found.s), "left").select("source", "source_size", "target", "times", below.alias("below"))
 
 
 def _sized(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +83,7 @@ def mix(documents: DataFrame) -> DataFrame:
 
 
 def mixed(documents: DataFrame) -> DataFrame:
-    """The rows of documents, all columns, each as many times as mix() takes it; rows without words are taken with their source's."""
+    """The rows of documents, all columns, each as many times as mix() takes it, TIMES at most; rows without words are taken with their source's."""
     _, limits = _sized(documents)
     source, times, below, copy = (unused(documents, x) for x in ("_source", "_times", "_below", "_copy"))
     limits = broadcast_if_few(limits.select(F.col("s").alias(source), F.col("times").alias(times), F.col("below").alias(below)))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rolling import slices
 from .shared import tidy
 
 #: The base kinds in the order of their digest, then the added ones.
@@ -169,11 +170,12 @@ def joined(found: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> s
 def find_pii(documents: DataFrame) -> DataFrame:
     """RESULT for each row of documents (doc_id, text): counts and digest of the base kinds, spans of all.
 
-    Null text counts as empty: no spans and the hash of the empty string. No documents: no rows.
+    Null text counts as empty: no spans and the hash of the empty string. Rows with the same id are rows apart. A text of
+    any length is read whole, some texts at a time. No documents: no rows.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (piece for batch in batches for piece in slices(batch, 1)):
             rows = []
             for x in b.column(1):
                 found = personal_data(x.as_py() or "")
