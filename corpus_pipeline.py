@@ -13,6 +13,7 @@ from hillspan.llm.shared import shared_folder
 from hillspan.llm.simhash import one_of_each
 from hillspan.llm.tiling import decontaminate
 from hillspan.llm.tokens import definition_of, token_output
+from hillspan.sources.folders import removed
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over documents. Every stage's output is a Parquet folder in the shared one, which the next one reads."""
+    """The last stage's rows over documents. Every stage's output is a Parquet folder in the shared one, which the next one reads; only the last one stays."""
     folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if read:
+            removed(spark, read)
+        read = f"{folder}/{name}"
     return docs

@@ -29,3 +29,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder; its lineage ends there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder, in whatever store it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
