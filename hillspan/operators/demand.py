@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.physics import unit_interval
+from .relational import broadcast_if_few
 
 
 def distances(places: DataFrame, key: str = "k") -> DataFrame:
@@ -121,7 +122,7 @@ def thinning_threshold(flows: DataFrame, most: int, group: Sequence[str] = ()) -
 
 def thinned(flows: DataFrame, tau: DataFrame, draw: Column, group: Sequence[str] = ()) -> DataFrame:
     """Flows of tau or more as they are; the others with chance f / tau, at tau. draw: a number in [0, 1) of each pair."""
-    joined = flows.join(F.broadcast(tau), list(group)) if group else flows.crossJoin(F.broadcast(tau))
+    joined = flows.join(broadcast_if_few(tau), list(group)) if group else flows.crossJoin(F.broadcast(tau))  # one row without a group
     kept = joined.where((F.col("flow") >= F.col("tau")) | (draw * F.col("tau") < F.col("flow")))
     return kept.withColumn("kept", F.greatest(F.col("flow").cast("double"), F.col("tau"))).drop("tau")
 

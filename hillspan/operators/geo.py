@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.physics import EARTH_RADIUS_M
 from ..sources.folders import checkpointed
+from .relational import broadcast_if_few
 
 #: Fixed value: radius of the sphere of web maps (m).
 MAP_RADIUS_M = 6_378_137.0
@@ -40,9 +41,8 @@ def to_web_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
 
 
 def moved(nodes: DataFrame, variants: DataFrame) -> DataFrame:
-    """Every node in every variant: x' = a x - b y + dx, y' = b' x + a' y + dy about the frame's origin. variants: a broadcast table of a, b, c, e, dx, dy."""
-    v = F.broadcast(variants)
-    return nodes.crossJoin(v).withColumns({"mx": F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("dx"), "my": F.col("c") * F.col("x") + F.col("e") * F.col("y") + F.col("dy")})
+    """Every node in every variant: x' = a x - b y + dx, y' = b' x + a' y + dy about the frame's origin. variants: a, b, c, e, dx, dy."""
+    return nodes.crossJoin(broadcast_if_few(variants)).withColumns({"mx": F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("dx"), "my": F.col("c") * F.col("x") + F.col("e") * F.col("y") + F.col("dy")})
 
 
 def moved_line(geometry: Column, a: Column, b: Column, c: Column, e: Column, dx: Column, dy: Column) -> Column:

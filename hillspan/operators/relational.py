@@ -7,6 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import checkpointed
+
+
+#: Rows of numbers and short strings, at most, of a table that goes to all tasks.
+FEW_ROWS = 100_000
+
+
+def broadcast_if_few(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has at most FEW_ROWS (one job counts up to there); otherwise a join with it is as Spark plans it."""
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+
+
+def numbered(df: DataFrame, order: Sequence[Column], out: str, group: Sequence[str] = ()) -> DataFrame:
+    """Rows with their number from 1 in an order, which must be total: within each group by a window, of the whole table by ranges, each of which adds the rows before it."""
+    if group:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    placed = checkpointed(df.orderBy(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    here = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return placed.join(F.broadcast(before), "_p").withColumn(out, here + F.col("_b")).drop("_p", "_b")
+
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Of rows with equal keys the last in order. The order must be total for the result to be one."""
@@ -49,8 +71,9 @@ def compared(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str,
 
 def evenly_spaced(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """n rows of each group at even steps of its order, first and last among them; all of a group with n or fewer."""
-    w = Window.partitionBy(*group)
-    ranked = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_size", F.count("*").over(w))
+    sizes = df.groupBy(*group).agg(F.count("*").alias("_size"))
+    ranked = numbered(df, order, "_i", group).withColumn("_i", F.col("_i") - 1)
+    ranked = ranked.join(sizes, list(group)) if group else ranked.crossJoin(F.broadcast(sizes))  # one row
     step = F.floor(F.col("_i") * (n - 1) / F.greatest(F.col("_size") - 1, F.lit(1)))
     before = F.floor((F.col("_i") - 1) * (n - 1) / F.greatest(F.col("_size") - 1, F.lit(1)))
     return ranked.where((F.col("_size") <= n) | (F.col("_i") == 0) | (step > before)).drop("_i", "_size")
@@ -58,7 +81,7 @@ def evenly_spaced(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 def chunked(df: DataFrame, order: Sequence[Column], size: int, group: Sequence[str] = ()) -> DataFrame:
     """Rows with the number of their part of size rows (within each group)."""
-    return df.withColumn("part", F.floor((F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1) / size))
+    return numbered(df, order, "_i", group).withColumn("part", F.floor((F.col("_i") - 1) / size)).drop("_i")
 
 
 def in_band(value: Column, excluded: Sequence[str]) -> Column:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import broadcast_if_few
 from .selection import greedy_spaced
 from .studies import NEGLIGIBLE_PCT
 
@@ -161,9 +162,9 @@ def pair_order(terms: DataFrame, low: DataFrame, high: DataFrame, group: Sequenc
     """group, n_pairs, n_failing, worst, holds: whether every place of high costs at least as much as every one of low, for all parameters in a box.
 
     terms: group, cell, vehicle, vertex (null: the central parameters), term. A pair's worst case adds up the least
-    difference of each vehicle over the vertices of its box. low and high are a few chosen cells, broadcast.
+    difference of each vehicle over the vertices of its box. low and high are a few chosen cells.
     """
-    side = lambda chosen, n: terms.join(F.broadcast(chosen.select("cell")), "cell").select(*group, "vehicle", "vertex", F.col("cell").alias(n), F.col("term").alias(f"_{n}"))
+    side = lambda chosen, n: terms.join(broadcast_if_few(chosen.select("cell")), "cell").select(*group, "vehicle", "vertex", F.col("cell").alias(n), F.col("term").alias(f"_{n}"))
     a, b = side(low, "cheap"), side(high, "dear")
     same = [a[c] == b[c] for c in (*group, "vehicle")] + [a.vertex.eqNullSafe(b.vertex)]
     d = a.join(b, same).select(*(a[c] for c in (*group, "vehicle", "vertex", "cheap")), "dear", (F.col("_dear") - F.col("_cheap")).alias("d"))
@@ -176,7 +177,7 @@ def scenario_grid(e: DataFrame, dimensions: Sequence[str], key: str, families: C
     """dimensions, family, n_alternatives, is_minimum, rank, regret_pct, margin_pct, best: the observed row against each family's rows (families: an array of the families that a row counts for; the observed one counts for all)."""
     x = e.withColumn("_o", observed)
     names = x.where(~F.col("_o")).select(F.explode(families).alias("family")).distinct()  # a few families
-    rows = x.where(~F.col("_o")).withColumn("family", F.explode(families)).unionByName(x.where("_o").crossJoin(F.broadcast(names)))
+    rows = x.where(~F.col("_o")).withColumn("family", F.explode(families)).unionByName(x.where("_o").crossJoin(broadcast_if_few(names)))
     e_0, best = F.max(F.when(F.col("_o"), F.col("e"))), F.min(F.when(~F.col("_o"), F.struct("e", F.col(key).alias("k"))))
     s = rows.withColumn("_e0", F.max(F.when(F.col("_o"), F.col("e"))).over(Window.partitionBy(*dimensions, "family")))
     s = s.groupBy(*dimensions, "family").agg(e_0.alias("_e"), best.alias("_b"), F.count_if(~F.col("_o")).alias("n_alternatives"), (1 + F.count_if(~F.col("_o") & (F.col("e") < F.col("_e0")))).alias("rank"))
@@ -185,10 +186,10 @@ def scenario_grid(e: DataFrame, dimensions: Sequence[str], key: str, families: C
 
 
 def breakdown(sums: DataFrame, parameters: DataFrame, group: Sequence[str], shares: DataFrame) -> DataFrame:
-    """group, e, e_per_metre and the share of each mode's energy in the mix: sums (group, mode, length, climb), parameters and shares by mode (a few rows, broadcast)."""
+    """group, e, e_per_metre and the share of each mode's energy in the mix: sums (group, mode, length, climb), parameters and shares by mode (a few rows)."""
     from ..functions.physics import mode_energy
 
-    j = sums.join(F.broadcast(parameters), "mode").join(F.broadcast(shares.select("mode", "share")), "mode")
+    j = sums.join(broadcast_if_few(parameters), "mode").join(broadcast_if_few(shares.select("mode", "share")), "mode")
     c = F.col
     e = mode_energy(c("mass"), c("recovery"), c("lam"), c("occupancy"), c("length"), c("climb")) * c("share")
     return j.select(*group, "mode", e.alias("e"), (c("length") * c("share")).alias("_l")).select(*group, "mode", "e", F.try_divide("e", "_l").alias("e_per_metre"), F.try_divide(c("e"), F.sum("e").over(Window.partitionBy(*group).orderBy("mode").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("e_share"))

@@ -13,6 +13,13 @@ def sample_or_population_sd(x: Column) -> Column:
     return F.when(F.count(x) > 1, F.stddev_samp(x)).otherwise(F.stddev_pop(x))
 
 
+def exact_deviations(n: Column, total: Column, squares: Column) -> tuple[Column, Column]:
+    """Deviations of a sample (0 of one value) and of a population from the number of whole numbers, their sum and their squares' sum: n * squares - total^2 is exact, where a difference of means cancels."""
+    d = lambda c: c.cast("decimal(19,0)")
+    spread = (d(n) * d(squares) - d(total) * d(total)).cast("double")
+    return F.when(n > 1, F.sqrt(spread / F.nullif((n * (n - 1)).cast("double"), F.lit(0.0)))).otherwise(F.lit(0.0)), F.sqrt(spread / (n * n).cast("double"))
+
+
 def weighted_mean(x: Column, w: Column) -> Column:
     return F.sum(x * w) / F.sum(w)
 

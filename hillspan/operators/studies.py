@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import family, in_main_ensemble, parameter, rotation_name, scale_name, translation_name
 from ..functions.physics import TIE, path_energy
-from .relational import keep_last
+from .relational import broadcast_if_few, keep_last
 
 #: Change of energy (%) below which the best variant is a tie in summaries; excess (share) that counts as near the lowest.
 NEGLIGIBLE_PCT, NEAR_LOWEST = 0.05, 0.01
@@ -90,7 +90,7 @@ def matched(places: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
     """Of each wanted name (wanted) the places that fit best: equal in any case, or holding it, or held by it; two equal ones fail."""
     a, b = F.lower(name), F.lower("wanted")
     level = F.when(a == b, 1).when(F.contains(a, b), 2).when(F.contains(b, a), 3)
-    j = places.crossJoin(F.broadcast(wanted)).withColumn("level", level).where("level is not null")
+    j = places.crossJoin(broadcast_if_few(wanted)).withColumn("level", level).where("level is not null")
     w = Window.partitionBy("wanted")
     j = j.withColumn("_least", F.min("level").over(w)).where("level = _least").withColumn("_n", F.count("*").over(w))
     return j.where(F.when((F.col("level") == 1) & (F.col("_n") > 1), F.raise_error(F.lit("several places have this name")).cast("boolean")).otherwise(True)).drop("_least", "_n")

@@ -106,14 +106,14 @@ def q07_od_two_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {FLOWS}, k AS (SELECT origin, draw, count(*) AS n FROM flows GROUP BY 1, 2), s AS (SELECT origin, count(*) AS m, CAST(sum(n) AS DOUBLE) AS a, CAST(sum(n * n) AS DOUBLE) AS b FROM k GROUP BY 1)
-SELECT origin, a / m AS mean, CASE WHEN m > 1 THEN sqrt((b - a * a / m) / (m - 1)) ELSE 0.0 END AS sd_sample, sqrt((b - a * a / m) / m) AS sd_population FROM s
+WITH {FLOWS}, k AS (SELECT origin, draw, count(*) AS n FROM flows GROUP BY 1, 2), s AS (SELECT origin, count(*) AS m, CAST(sum(n) AS DOUBLE) AS a, CAST(sum(n) AS HUGEINT) AS a2, CAST(sum(n * n) AS HUGEINT) AS b2 FROM k GROUP BY 1)
+SELECT origin, a / m AS mean, CASE WHEN m > 1 THEN sqrt(CAST(m * b2 - a2 * a2 AS DOUBLE) / CAST(m * (m - 1) AS DOUBLE)) ELSE 0.0 END AS sd_sample, sqrt(CAST(m * b2 - a2 * a2 AS DOUBLE) / CAST(m * m AS DOUBLE)) AS sd_population FROM s
 """)
 def q08_sd_over_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The draws' counts are integers: sums of squares are exact, and the deviations follow from them."""
-    s = flows(spark, sf_dir).groupBy("origin", "draw").agg(F.count("*").alias("n")).groupBy("origin").agg(F.count("*").alias("m"), F.sum("n").cast("double").alias("a"), F.sum(F.col("n") * F.col("n")).cast("double").alias("b"))
-    square = F.col("b") - F.col("a") * F.col("a") / F.col("m")
-    return s.select("origin", (F.col("a") / F.col("m")).alias("mean"), F.when(F.col("m") > 1, F.sqrt(square / F.nullif(F.col("m") - 1, F.lit(0)))).otherwise(F.lit(0.0)).alias("sd_sample"), F.sqrt(square / F.col("m")).alias("sd_population"))
+    s = flows(spark, sf_dir).groupBy("origin", "draw").agg(F.count("*").alias("n")).groupBy("origin").agg(F.count("*").alias("m"), F.sum("n").alias("a"), F.sum(F.col("n") * F.col("n")).alias("b"))
+    sample, population = S.exact_deviations(F.col("m"), F.col("a"), F.col("b"))
+    return s.select("origin", (F.col("a").cast("double") / F.col("m")).alias("mean"), sample.alias("sd_sample"), population.alias("sd_population"))
 
 
 @query("""

@@ -230,3 +230,20 @@ def test_documents_of_maps_and_parameters(spark, tmp_path):
 def test_flows_of_text(spark):
     df = spark.createDataFrame([("a", "b", "2.5"), ("a", "c", "x"), ("b", "a", None), ("b", "a", "0"), ("a", "b", "1")], "o string, d string, n string")
     assert {(r.origin, r.dest): r.flow for r in T.summed_flows(df, df).collect()} == {("a", "b"): 7.0}
+
+
+def test_numbers_of_a_whole_table(spark):
+    rows = [(i * 7919 % 5003,) for i in range(5003)]
+    df = spark.createDataFrame(rows, "id long").repartition(6)
+    got = sorted((r.id, r.n) for r in A.numbered(df, [F.col("id")], "n").collect())
+    assert got == [(i, i + 1) for i in range(5003)]
+    assert sorted(r.id for r in A.evenly_spaced(df, [], [F.col("id")], 3).collect()) == [0, 2501, 5002]
+    assert {(r.id, r.part) for r in A.chunked(df, [F.col("id")], 100).collect()} == {(i, i // 100) for i in range(5003)}
+
+
+def test_deviations_do_not_cancel(spark):
+    values = [10**9 + x for x in (1, 2, 3, 4)]
+    df = spark.createDataFrame([(v,) for v in values], "v long").agg(F.count("*").alias("n"), F.sum("v").alias("a"), F.sum(F.col("v") * F.col("v")).alias("b"))
+    s, p = S.exact_deviations(F.col("n"), F.col("a"), F.col("b"))
+    r = df.select(s.alias("s"), p.alias("p")).first()
+    assert r.s == pytest.approx(math.sqrt(5 / 3), rel=1e-12) and r.p == pytest.approx(math.sqrt(1.25), rel=1e-12)
