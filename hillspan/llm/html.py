@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .rolling import U64, Texts, grouped, mix, slices, spans, windows
-from .shared import broadcast_if_few, checkpointed, tidy
+from .shared import broadcast_if_few, checkpointed, in_arrow
 
 #: Tokens of the shortest repeated substring (a power of two); distinct pages, and share of the host's pages, that have one that is boilerplate, at least.
 RUN, PAGES, SHARE = 4, 3, 0.05
@@ -309,7 +309,7 @@ def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataF
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array([_packed(x.as_py()) for x in b.column(5)], pa.binary())], ["chunk", "page_id", "url", "page", "host", "blob"])
 
     def parsed(df: DataFrame) -> GroupedData:
-        rows = df.select("chunk", "page_id", "url", "page", "host", "html").mapInArrow(tidy(parse), "chunk long, page_id long, url string, page long, host long, blob binary")
+        rows = df.select("chunk", "page_id", "url", "page", "host", "html").transform(in_arrow, parse, "chunk long, page_id long, url string, page long, host long, blob binary")
         return rows.groupBy("chunk")
 
     def whole(t: pa.Table) -> pa.Table:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import U64, grouped, mix, slices
-from .shared import tidy
+from .shared import in_arrow
 
 #: Labelled rows to learn from, about (the hash decides each alone); times that a letter group occurs in them, at least.
 SAMPLE, LEAST = 8_000, 2
@@ -216,7 +216,7 @@ def learn(documents: DataFrame, sample: int = SAMPLE) -> Model:
             lang, group, kind = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(group, pa.string()), pa.array(kind, pa.string()), pa.array(found.values(), pa.int64())], ["lang", "grp", "script", "n"])
 
-    counted = chosen.select(F.col("text").cast("string"), "lang").mapInArrow(tidy(count), "lang string, grp string, script string, n long")
+    counted = chosen.select(F.col("text").cast("string"), "lang").transform(in_arrow, count, "lang string, grp string, script string, n long")
     pivoted = counted.groupBy("grp", "script").agg(*(F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(F.lit(0))).alias(f"n{i}") for i, k in enumerate(languages)), F.sum("n").alias("total"))
     rows = pivoted.where((F.col("grp") == "") | (F.col("total") >= LEAST)).collect()
     features = sorted((r for r in rows if r.grp), key=lambda r: r.grp)
@@ -398,7 +398,7 @@ def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
             kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)], ["doc_id", "held_out", "lang_pred", "score", "spans"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(work), RESULT)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).transform(in_arrow, work, RESULT)
 
 
 def with_language(documents: DataFrame, least: float = 0.5) -> DataFrame:
@@ -412,4 +412,4 @@ def with_language(documents: DataFrame, least: float = 0.5) -> DataFrame:
             found = labeller.label(b.column(at_text).to_pylist())
             yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found], pa.bool_()))
 
-    return documents.mapInArrow(tidy(accepted), documents.schema)
+    return documents.transform(in_arrow, accepted, documents.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import slices
-from .shared import tidy
+from .shared import in_arrow
 
 #: The base kinds in the order of their digest, then the added ones.
 BASE = ("email", "ip", "card", "phone")
@@ -184,7 +184,7 @@ def find_pii(documents: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [x.split()[0] for x in RESULT.split(", ")])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(work), RESULT)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(in_arrow, work, RESULT)
 
 
 def masked(text: str) -> str:

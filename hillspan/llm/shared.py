@@ -10,10 +10,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..operators.relational import FEW_ROWS, broadcast_if_few
 from ..sources.folders import checkpointed, shared_folder
 
-__all__ = ["FEW_ROWS", "SPACES", "broadcast_if_few", "checkpointed", "shared_folder", "shuffle_partitions", "tidy", "unused", "word_count"]
+__all__ = ["FEW_ROWS", "SPACES", "broadcast_if_few", "checkpointed", "in_arrow", "shared_folder", "shuffle_partitions", "tidy", "unused", "word_count"]
 
 
 def release_memory() -> None:
@@ -38,6 +40,18 @@ def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return run
 
 
+#: Bytes of a batch between the JVM and Python, about, and the setting's own default, which is what a user has not chosen.
+BATCH_BYTES, DEFAULT_BYTES = "8m", "67108864b"
+
+
+def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df through work, tidied, in batches of about BATCH_BYTES (a setting of the session): texts make rows large."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, DEFAULT_BYTES) == DEFAULT_BYTES:
+        conf.set(name, BATCH_BYTES)
+    return df.mapInArrow(tidy(work), schema)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, with underscores before it until df has no such column in any case."""
     have = {c.lower() for c in df.columns}
@@ -46,15 +60,6 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Rows of numbers and short strings, at most, of a table that goes to all tasks.
-FEW_ROWS = 100_000
-
-
-def broadcast_if_few(df: DataFrame) -> DataFrame:
-    """df, computed already, with a broadcast hint if it has at most FEW_ROWS; otherwise a join with it shuffles as Spark plans it."""
-    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

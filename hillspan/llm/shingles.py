@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .rolling import U64, Texts, mix, slices, spans, windows
-from .shared import broadcast_if_few, checkpointed, release_memory, tidy
+from .shared import broadcast_if_few, checkpointed, in_arrow, release_memory
 
 WORDS, SIMILARITY = 5, 0.8
 #: Two texts of similarity s share a key with chance 1 - (1 - s^ROWS)^BANDS: 0.998 at 0.8.
@@ -74,7 +74,7 @@ def with_keys(documents: DataFrame, words: int = WORDS) -> DataFrame:
             rows = pa.array(np.flatnonzero(np.diff(at) > 0))
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))], ["text_hash", "keys"])
 
-    return documents.select("text_hash", "text").mapInArrow(tidy(work), "text_hash long, keys array<long>")
+    return documents.select("text_hash", "text").transform(in_arrow, work, "text_hash long, keys array<long>")
 
 
 def _within(x: np.ndarray, begin: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -217,7 +217,7 @@ def alike(documents: DataFrame, similarity: float = SIMILARITY, words: int = WOR
             sets = [np.unique(fp[i:j]).view(np.int64) for i, j in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["text_hash", "shingles"])
 
-    sets = chosen.mapInArrow(tidy(work), "text_hash long, shingles array<long>").dropDuplicates(["text_hash"])
+    sets = chosen.transform(in_arrow, work, "text_hash long, shingles array<long>").dropDuplicates(["text_hash"])
     sets = checkpointed(sets)
     a, b = (sets.select(F.col("text_hash").alias(k), F.col("shingles").alias(f"_{k}")) for k in "uv")
     common = F.size(F.array_intersect("_u", "_v"))

@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .rolling import Texts, slices
-from .shared import checkpointed, tidy, unused
+from .shared import checkpointed, in_arrow, unused
 from .shingles import SIMILARITY, alike
 
 SHINGLE, RADIUS = 3, 2
 #: Distinct fingerprints, at most, that the shards' tree is fitted on; fingerprints of a shard, about; of a leaf.
 SAMPLE, SHARD, LEAF = 20_000, 4096, 128
-#: Shingles of a text that are held at a time; queries that a leaf answers at a time.
-PIECE, QUERIES = 1 << 15, 1 << 13
+#: Shingles of a text that are held at a time; queries that a leaf answers at a time; fingerprints that are dealt to shards at a time.
+PIECE, QUERIES, ROUTED = 1 << 15, 1 << 13, 1 << 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> bytes:
@@ -57,7 +57,7 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "row_hash", "fp"])
 
     key, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return documents.select(key.alias("doc_id"), F.xxhash64(key, text).alias("row_hash"), text.alias("text")).mapInArrow(tidy(work), "doc_id long, row_hash long, fp long")
+    return documents.select(key.alias("doc_id"), F.xxhash64(key, text).alias("row_hash"), text.alias("text")).transform(in_arrow, work, "doc_id long, row_hash long, fp long")
 
 
 def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -143,6 +143,19 @@ def links_within(points: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.
     return points[linked], points[root[linked]]
 
 
+def _joined(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[np.ndarray]:
+    """The first column of batches, least rows or more at a time."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b.column(0).to_numpy(zero_copy_only=False))
+        size += b.num_rows
+        if size >= least:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if size:
+        yield np.concatenate(held)
+
+
 def linked_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (u, v) that connect all of distinct (fp) that lie within radius of one another, directly or through others."""
     n = distinct.count()
@@ -151,8 +164,7 @@ def linked_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     schema = "shard int, fp long, home boolean"
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False)
+        for fp in _joined(batches, ROUTED):
             q = fp.view(np.uint64)
             own = np.zeros(len(q), np.int32)
             for leaf, at in tree.visits(q, 0):
@@ -167,7 +179,7 @@ def linked_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         u, v = links_within(fp.view(np.uint64), home, radius) if home.any() else (fp[:0], fp[:0])
         return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
 
-    return distinct.mapInArrow(tidy(route), schema).groupBy("shard").applyInArrow(search, "u long, v long")
+    return distinct.transform(in_arrow, route, schema).groupBy("shard").applyInArrow(search, "u long, v long")
 
 
 def simhash_groups(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

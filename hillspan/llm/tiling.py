@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rolling import U64, Texts, slices, spans, windows
-from .shared import checkpointed, tidy, unused
+from .shared import checkpointed, in_arrow, unused
 
 #: Tokens of a seed and of the shortest tile; share of an item's tokens that its tiles must cover.
 SEED, COVERAGE = 5, 0.6
@@ -73,7 +73,7 @@ def _filter(benchmark: DataFrame, seed: int) -> np.ndarray:
             out |= _opened(x.as_py())
         return pa.table({"g": pa.array([0], pa.int32()), "bits": pa.array([_squeezed(out)], pa.binary())})
 
-    made = benchmark.select(F.col("text").cast("string")).mapInArrow(tidy(make), "g int, bits binary")
+    made = benchmark.select(F.col("text").cast("string")).transform(in_arrow, make, "g int, bits binary")
     rows = made.groupBy("g").applyInArrow(unite, "g int, bits binary").groupBy("g").applyInArrow(unite, "g int, bits binary").collect()
     return _opened(bytes(rows[0].bits)) if rows else np.zeros((1 << FILTER_BITS) // 8, np.uint8)
 
@@ -169,8 +169,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(fp.view(np.int64)), pa.array(place), pa.array(size[doc])], ["item_key", "seed", "place", "size"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("row_hash"))
-    kept = checkpointed(docs.mapInArrow(tidy(keep), "row long, doc_id long, row_hash long, tokens string, seeds array<long>"))
-    index = checkpointed(items.select("item_key", "item").mapInArrow(tidy(item_seeds), "item_key long, seed long, place long, size long"))
+    kept = checkpointed(docs.transform(in_arrow, keep, "row long, doc_id long, row_hash long, tokens string, seeds array<long>"))
+    index = checkpointed(items.select("item_key", "item").transform(in_arrow, item_seeds, "item_key long, seed long, place long, size long"))
     found = kept.select("row", F.explode("seeds").alias("seed"))
     often = found.groupBy("seed").agg(F.count("*").alias("often"))
     # of n places of an item, need or more are a document's: one is among the n - need + 1 rarest
@@ -194,7 +194,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
             share, n, size = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(share, pa.float64()), pa.array(n, pa.int64()), pa.array(size, pa.int64()), b.column(2)], [x.split()[0] for x in RESULT.split(", ")])
 
-    return joined.mapInArrow(tidy(tiled), RESULT).where(F.col("coverage") >= coverage)
+    return joined.transform(in_arrow, tiled, RESULT).where(F.col("coverage") >= coverage)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .rolling import U64, Texts, grouped, mix, slices, words_of
-from .shared import shared_folder, shuffle_partitions, tidy
+from .shared import in_arrow, shared_folder, shuffle_partitions
 
 #: Closes every document.
 END_ID = 2
 #: Ids of a block; tokens of a shard, about; words that a worker remembers, at most; bytes of a text that are encoded at a time.
-BLOCK, SHARD, REMEMBERED, PIECE = 8192, 1 << 20, 400_000, 4 << 20
+BLOCK, SHARD, REMEMBERED, PIECE = 8192, 1 << 20, 300_000, 4 << 20
 HEADER = struct.Struct("<4sIIIQQ")
 MAGIC = b"HSTK"
 SHARD_SCHEMA = "part int, seq int, first long, n_tokens long, shard binary"
@@ -323,7 +323,7 @@ def write_tokens(documents: DataFrame, path: str, definition: str, end_id: int =
             return out
 
         total = 0
-        for b in (piece for batch in batches for piece in slices(batch, 1)):
+        for b in (piece for batch in batches for piece in slices(batch, 1, 1 << 20)):
             t = Texts(b.column(1))
             ids, size = e.encode(t.buf, t.at)
             numbers += b.column(0).to_pylist()
@@ -336,7 +336,7 @@ def write_tokens(documents: DataFrame, path: str, definition: str, end_id: int =
         if numbers:
             yield flush()
 
-    ordered.mapInArrow(tidy(work), SHARD_SCHEMA).write.parquet(path)
+    ordered.transform(in_arrow, work, SHARD_SCHEMA).write.parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, each: Callable[[Shard, int], pa.RecordBatch], schema: str) -> DataFrame:
@@ -351,7 +351,7 @@ def read_shards(spark: SparkSession, path: str, each: Callable[[Shard, int], pa.
             for part, first, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 yield each(Shard(data.as_py()), base[part] + first)
 
-    return shards.select("part", "first", "shard").mapInArrow(tidy(work), schema)
+    return shards.select("part", "first", "shard").transform(in_arrow, work, schema)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
