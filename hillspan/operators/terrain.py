@@ -64,14 +64,6 @@ def raster_runs(cells: DataFrame) -> DataFrame:
     return p.withColumn("_g", gap).groupBy("row", "value", "_g").agg(F.min("col").alias("first"), F.max("col").alias("last")).drop("_g")
 
 
-def net_rise(flows: DataFrame, heights: DataFrame, group: Sequence[str]) -> DataFrame:
-    """group, net_rise (sum of flow times the rise from origin to destination), flow_used, pairs_missing: of flows (origin, dest, flow) over heights (node, z; null where invalid)."""
-    at = lambda end: heights.select(F.col("node").alias(end), F.col("z").alias(f"_z_{end}"))
-    j = flows.join(at("origin"), "origin", "left").join(at("dest"), "dest", "left").withColumn("_rise", F.col("_z_dest") - F.col("_z_origin"))
-    there = F.col("_rise").isNotNull()
-    return j.groupBy(*group).agg(F.sum(F.col("flow") * F.col("_rise")).alias("net_rise"), F.sum(F.when(there, F.col("flow"))).alias("flow_used"), F.count_if(~there).alias("pairs_missing"))
-
-
 def straight_gains(arcs: DataFrame, heights: DataFrame) -> DataFrame:
     """Arcs (u, v) with up and down of the straight line between the heights of their ends (node, z): a network that has heights at nodes alone."""
     at = lambda end: heights.select(F.col("node").alias(end), F.col("z").alias(f"_z_{end}"))

@@ -179,9 +179,32 @@ def q51_candidate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.candidates(cells(spark, sf_dir), 120).select("cell", "pop")
 
 
-@query()
+def scans(n_low: int, n_high: int, distance: float) -> str:
+    """CTEs la and lb: of the table c (city, cell, x, y, climb) and the table rel (r: relaxations) the cells p that a scan in order picks, cheapest first and then dearest first, each far enough from all before."""
+    cell = "STRUCT(cell BIGINT, x BIGINT, y BIGINT, climb BIGINT)[]"
+    near = "len(list_filter({held}, lambda q: sqrt(CAST((q.x - o.x) * (q.x - o.x) + (q.y - o.y) * (q.y - o.y) AS DOUBLE)) < {d} * s.r)) = 0"
+    step = "CASE WHEN len(s.p) < {n} AND (s.r = 0 OR " + near + ") THEN list_append(s.p, {{'cell': o.cell, 'x': o.x, 'y': o.y, 'climb': o.climb}}) ELSE s.p END"
+    return f"""
+lo AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY climb, cell) AS i FROM c), hi AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY climb DESC, cell) AS i FROM c), sz AS (SELECT city, count(*) AS n FROM c GROUP BY 1),
+sa(city, r, i, p) AS (SELECT city, r, CAST(0 AS BIGINT), CAST([] AS {cell}) FROM sz, rel UNION ALL SELECT s.city, s.r, s.i + 1, {step.format(n=n_low, held="s.p", d=f"{distance!r}::DOUBLE")} FROM sa s JOIN lo o ON o.city = s.city AND o.i = s.i + 1),
+la AS (SELECT sa.city, r, p FROM sa JOIN sz ON sz.city = sa.city AND i = n),
+sb(city, r, i, h, p) AS (SELECT city, r, CAST(0 AS BIGINT), p, CAST([] AS {cell}) FROM la UNION ALL SELECT s.city, s.r, s.i + 1, s.h, {step.format(n=n_high, held="list_concat(s.h, s.p)", d=f"{distance!r}::DOUBLE")} FROM sb s JOIN hi o ON o.city = s.city AND o.i = s.i + 1),
+lb AS (SELECT sb.city, r, p FROM sb JOIN sz ON sz.city = sb.city AND i = n)"""
+
+
+_TOLERANCES = (0.05, 0.1, 0.15, 0.2, 0.3)
+
+
+@query(f"""
+WITH RECURSIVE {CELLS}, m AS (SELECT *, median(flat) OVER (PARTITION BY city) AS m FROM cells), k AS (SELECT *, {", ".join(f"count(*) FILTER (WHERE flat BETWEEN m * (1 - {t}::DOUBLE) AND m * (1 + {t}::DOUBLE)) OVER (PARTITION BY city) AS n{i}" for i, t in enumerate(_TOLERANCES))} FROM m),
+t AS (SELECT *, CASE {" ".join(f"WHEN n{i} >= 20 THEN {t}::DOUBLE" for i, t in enumerate(_TOLERANCES))} END AS tolerance FROM k), c AS (SELECT city, CAST(cell AS BIGINT) AS cell, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(climb AS BIGINT) AS climb FROM t WHERE tolerance IS NULL OR flat BETWEEN m * (1 - tolerance) AND m * (1 + tolerance)),
+rel(r) AS (VALUES (1.0::DOUBLE), (0.75), (0.5), (0.25), (0.0)), {scans(3, 2, 300.0)},
+ok AS (SELECT la.city, max(la.r) AS r FROM la JOIN lb ON la.city = lb.city AND la.r = lb.r WHERE len(la.p) = 3 AND len(lb.p) = 2 GROUP BY 1),
+u AS (SELECT la.city, la.r, 'favourable' AS kind, unnest(la.p) AS q FROM la JOIN ok ON ok.city = la.city AND ok.r = la.r UNION ALL SELECT lb.city, lb.r, 'unfavourable', unnest(lb.p) FROM lb JOIN ok ON ok.city = lb.city AND ok.r = lb.r)
+SELECT city, q.cell AS cell, kind, row_number() OVER (PARTITION BY city ORDER BY q.climb, q.cell) AS rank, 300.0::DOUBLE * r AS distance_used FROM u
+""")
 def q52_spaced_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scan in order; tests hold it against plain Python."""
+    """A scan in order; tests hold it against plain Python as well."""
     close = L.comparable(cells(spark, sf_dir), ["city"], [0.05, 0.1, 0.15, 0.2, 0.3], 20)
     return L.spaced(close, ["city"], 3, 2, 300.0)
 

@@ -17,7 +17,7 @@ from ..operators import studies as T
 from ..sources import tables as X
 from ..sources.folders import new_folder
 from .demand import PLACES, places
-from .networks import _CENTRAL_SQL, _SUMS, CELLS, cells, central, sums
+from .networks import _CENTRAL_SQL, _SUMS, CELLS, cells, central, scans, sums
 from .ranking import LINES, R_AT, observed_lines
 from .registry import query, table
 from .relational import _NAMED, FLOWS, _named, flows
@@ -258,10 +258,16 @@ def q149_long_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(spark, sf_dir).where(~short).select("p_partkey", "name")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {CELLS}, m AS (SELECT *, median(flat) OVER (PARTITION BY city) AS m FROM cells), c AS (SELECT city, CAST(cell AS BIGINT) AS cell, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(climb AS BIGINT) AS climb FROM m WHERE abs(flat - m) <= 0.1::DOUBLE * m),
+rel(r) AS (VALUES (1.0::DOUBLE)), {scans(2, 2, 150.0)}, j AS (SELECT la.city, n, la.p AS a, lb.p AS b, len(la.p) = 2 AND len(lb.p) = 2 AS f FROM la JOIN lb ON la.city = lb.city JOIN sz ON sz.city = la.city)
+SELECT city, n AS n_comparable, f AS feasible, CASE WHEN f THEN array_to_string(list_transform(a, lambda q: q.cell), ' ') ELSE '' END AS favourable, CASE WHEN f THEN array_to_string(list_transform(b, lambda q: q.cell), ' ') ELSE '' END AS unfavourable FROM j
+""")
 def q150_fixed_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scan in order; tests hold it against plain Python."""
-    return R.fixed_selection(cells(spark, sf_dir), ["city"], 0.1, 150.0, 2, 2)
+    """A scan in order; tests hold it against plain Python as well."""
+    s = R.fixed_selection(cells(spark, sf_dir), ["city"], 0.1, 150.0, 2, 2)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
+    return s.select("city", "n_comparable", "feasible", text("favourable"), text("unfavourable"))
 
 
 _TIE = E.TIE_FACTOR
@@ -569,3 +575,144 @@ def q178_hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "hourly-in")
     table(spark, sf_dir, "events").write.parquet(f"{folder}/day")
     return hourly(spark, folder).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(f"""
+WITH {PLACES}, r AS (SELECT k, radians(x / 10.0::DOUBLE) AS lon, radians(y / 10.0::DOUBLE) AS lat, radians(5.0::DOUBLE) AS lon0, radians(4.0::DOUBLE) AS lat0 FROM places),
+c AS (SELECT *, acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, sin(lat0) * sin(lat) + cos(lat0) * cos(lat) * cos(lon - lon0)))) AS c FROM r)
+SELECT c.k, CAST(floor(6371000.0::DOUBLE * (CASE WHEN sin(c) = 0 THEN 1.0 ELSE c / sin(c) END) * cos(lat) * sin(lon - lon0) / 10) AS BIGINT) AS east_dam, CAST(floor(x * 1000.0 + 0.5) AS BIGINT) AS lon_e4, CAST(floor(y * 1000.0 + 0.5) AS BIGINT) AS lat_e4 FROM c JOIN places p ON p.k = c.k
+""")
+def q179_metric_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees to metres about a centre and back."""
+    lon0, lat0 = F.lit(5.0), F.lit(4.0)
+    x, y = G.to_metric(F.col("x") / 10.0, F.col("y") / 10.0, lon0, lat0)
+    m = places(spark, sf_dir).select("k", x.alias("mx"), y.alias("my"))
+    lon, lat = G.to_lonlat(F.col("mx"), F.col("my"), lon0, lat0)
+    return m.select("k", F.floor(F.col("mx") / 10).alias("east_dam"), F.floor(lon * 10000 + 0.5).alias("lon_e4"), F.floor(lat * 10000 + 0.5).alias("lat_e4"))
+
+
+@query(f"""
+WITH {LINES}, s AS (SELECT city, list(variant) FILTER (WHERE d < d_0) AS a, list(variant) FILTER (WHERE h < h_0) AS b FROM pairs GROUP BY 1), t AS (SELECT city, coalesce(a, []) AS a, coalesce(b, []) AS b FROM s)
+SELECT city, len(list_intersect(a, b)) / nullif(CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 0) AS jaccard FROM t
+""")
+def q180_common_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants that are shorter, and those that climb less: how much the two choices have in common."""
+    of = lambda c: F.collect_list(F.when(F.col(c) < F.col(f"{c}_0"), F.col("variant")))
+    s = observed_lines(spark, sf_dir).groupBy("city").agg(of("d").alias("a"), of("h").alias("b"))
+    return s.select("city", S.jaccard(F.col("a"), F.col("b")).alias("jaccard"))
+
+
+@query(f"""
+WITH {_CENTRAL_SQL}, f(factor) AS (VALUES (1.0::DOUBLE), (1.5), (2.0)) SELECT factor, mode, CASE WHEN mode IN ('bus', 'rail') THEN mass * factor ELSE mass END AS mass, CASE WHEN mode IN ('bus', 'rail') THEN lam * factor ELSE lam END AS lam, CASE mode WHEN 'bus' THEN 12.5::DOUBLE ELSE occupancy END AS occupancy FROM central, f
+""")
+def q181_scaled_and_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters with a measured value in place of a default, and public modes scaled."""
+    low, high = F.col("occupancy") / 2, F.col("occupancy") * 2
+    measured = spark.createDataFrame([("bus", 12.5)], "mode string, occupancy double")
+    p = C.overridden(central(spark).withColumns({"low": low, "high": high}), measured, ["mode"], "occupancy").withColumn("factor", F.explode(F.array(F.lit(1.0), F.lit(1.5), F.lit(2.0))))
+    return C.scaled(p, ["bus", "rail"], F.col("factor")).select("factor", "mode", "mass", "lam", "occupancy")
+
+
+_LOOPS = "e AS (SELECT DISTINCT u, v FROM (SELECT l_suppkey % 97 AS u, l_partkey % 89 AS v FROM lineitem UNION ALL SELECT CAST(n_nationkey AS BIGINT) + 200, (CAST(n_nationkey AS BIGINT) + 1) % 25 + 200 FROM nation UNION ALL SELECT CAST(300 AS BIGINT), CAST(200 AS BIGINT)) WHERE u <> v)"
+
+
+@query(f"""
+WITH RECURSIVE {_LOOPS}, n AS (SELECT u AS k FROM e UNION SELECT v FROM e), r(a, b) AS (SELECT k, k FROM n UNION SELECT r.a, e.v FROM r JOIN e ON r.b = e.u),
+c AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1), b AS (SELECT component FROM c GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)
+SELECT u, v FROM e WHERE u IN (SELECT node FROM c WHERE component = (SELECT component FROM b)) AND v IN (SELECT node FROM c WHERE component = (SELECT component FROM b))
+""")
+def q182_largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.graph import largest_component
+
+    k = F.col("n_nationkey").cast("long")
+    a = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 97).alias("u"), (F.col("l_partkey") % 89).alias("v"))
+    ring = table(spark, sf_dir, "nation").select((k + 200).alias("u"), ((k + 1) % 25 + 200).alias("v"))
+    more = spark.createDataFrame([(300, 200)], "u long, v long")
+    return largest_component(a.unionByName(ring).unionByName(more).where("u <> v").distinct())
+
+
+@query(f"""
+WITH {PLACES}, l AS (SELECT p.k, p.x AS ux, p.y AS uy, CASE WHEN p.k % 2 = 0 THEN q.x ELSE p.x END AS ax, CASE WHEN p.k % 2 = 0 THEN q.y ELSE p.y END AS ay, p.x + 3 AS mx, p.y + 4 AS my, CASE WHEN p.k % 2 = 0 THEN p.x ELSE q.x END AS bx, CASE WHEN p.k % 2 = 0 THEN p.y ELSE q.y END AS b_y FROM places p JOIN places q ON q.k = p.k + 1)
+SELECT k, CASE WHEN (ax - ux) * (ax - ux) + (ay - uy) * (ay - uy) <= (bx - ux) * (bx - ux) + (b_y - uy) * (b_y - uy) THEN ax ELSE bx END AS first_x, sqrt(CAST((mx - ax) * (mx - ax) + (my - ay) * (my - ay) AS DOUBLE)) + sqrt(CAST((bx - mx) * (bx - mx) + (b_y - my) * (b_y - my) AS DOUBLE)) AS length FROM l
+""")
+def q183_polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that begin at either end, turned to begin at u, and their lengths."""
+    from ..operators import profile as P
+
+    at = lambda n: places(spark, sf_dir).select(F.col("k").alias(n), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    j = at("u").join(at("v"), F.col("v") == F.col("u") + 1)
+    c = F.col
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    u, m, v = p(c("xu"), c("yu")), p(c("xu") + 3, c("yu") + 4), p(c("xv"), c("yv"))
+    g = F.when(c("u") % 2 == 0, F.array(v, m, u)).otherwise(F.array(u, m, v))
+    lines = j.select(c("u").alias("k"), "xu", "yu", g.alias("g"))
+    return lines.select("k", F.element_at(P.from_u(c("g"), c("xu"), c("yu")), 1)["x"].alias("first_x"), P.polyline_length(c("g")).alias("length"))
+
+
+@query("SELECT 'm' || n_nationkey AS mode, 'mass_kg' AS parameter, n_nationkey * 1.0::DOUBLE AS low, n_nationkey * 2.0::DOUBLE AS central, n_nationkey * 4.0::DOUBLE AS high FROM nation")
+def q184_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configuration of parameters as one JSON document, written and read."""
+    k = F.col("n_nationkey").cast("string")
+    n = F.col("n_nationkey")
+    one = F.concat(F.lit('"m'), k, F.lit('": {"mass_kg": ['), n.cast("string"), F.lit(", "), (n * 2).cast("string"), F.lit(", "), (n * 4).cast("string"), F.lit('], "note": "x"}'))
+    doc = table(spark, sf_dir, "nation").agg(F.concat(F.lit('{"modes": {'), F.array_join(F.sort_array(F.collect_list(one)), ", "), F.lit("}}")).alias("value"))
+    path = new_folder(spark, "parameters")
+    doc.coalesce(1).write.text(path)
+    return X.read_parameters(spark, path)
+
+
+@query("""
+SELECT 'way ' || k AS part, CAST(k % 3 AS BIGINT) AS position, k + 100 + k % 3 AS node, k % 4 = 0 AND k % 5 <> 0 AS grounded FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation) WHERE k % 3 < 2 AND k % 3 = 0
+UNION ALL SELECT 'way ' || k, 1, k + 101, k % 4 = 0 AND k % 5 <> 0 FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation) WHERE k % 3 = 0
+UNION ALL SELECT 'member', 0, k, false FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation) WHERE k % 3 = 1
+UNION ALL SELECT 'node', 0, k, false FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation) WHERE k % 3 = 2
+""")
+def q185_map_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, ways and members of routes from one JSON document; which ways lie on the ground."""
+    n = F.col("n_nationkey")
+    k = n.cast("string")
+    tags = F.concat(F.lit('{"layer": "'), F.when(n % 4 == 0, "0").otherwise("1"), F.lit('", "tunnel": "'), F.when(n % 5 == 0, "yes").otherwise("no"), F.lit('"}'))
+    way = F.concat(F.lit('{"type": "way", "id": '), k, F.lit(', "nodes": ['), (n + 100).cast("string"), F.lit(", "), (n + 101).cast("string"), F.lit('], "tags": '), tags, F.lit("}"))
+    route = F.concat(F.lit('{"type": "relation", "id": '), k, F.lit(', "tags": {"route": "tram"}, "members": [{"type": "way", "ref": '), k, F.lit(', "role": ""}]}'))
+    node = F.concat(F.lit('{"type": "node", "id": '), k, F.lit(', "lon": 2.5, "lat": 41.5}'))
+    one = F.when(n % 3 == 0, way).when(n % 3 == 1, route).otherwise(node)
+    doc = table(spark, sf_dir, "nation").agg(F.concat(F.lit('{"elements": ['), F.array_join(F.collect_list(one), ", "), F.lit("]}")).alias("value"))
+    path = new_folder(spark, "elements")
+    doc.coalesce(1).write.text(path)
+    nodes, ways, members = X.transit_parts(spark, path)
+    out = ways.select(F.concat(F.lit("way "), F.col("id").cast("string")).alias("part"), F.col("position").cast("long").alias("position"), "node", X.on_terrain(F.col("tags")).alias("grounded"))
+    flat = lambda df, part, c: df.select(F.lit(part).alias("part"), F.lit(0).cast("long").alias("position"), F.col(c).alias("node"), F.lit(False).alias("grounded"))
+    return out.unionByName(flat(members, "member", "member")).unionByName(flat(nodes, "node", "id"))
+
+
+@query("""
+WITH a AS (SELECT p_partkey, [p_partkey % 720 - 360.0::DOUBLE, p_size * 90.0::DOUBLE, 181.0::DOUBLE, -179.0::DOUBLE] AS l FROM part), m AS (SELECT p_partkey, list_transform(l, lambda x: x - 360 * floor(x / 360)) AS l FROM a)
+SELECT p_partkey, array_to_string(list_transform(list_sort(list_distinct(list_transform(l, lambda x: CASE WHEN x > 180 THEN x - 360 ELSE x END))), lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS angles FROM m
+""")
+def q186_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Angles in one turn, distinct and ascending."""
+    a = F.array((F.col("p_partkey") % 720 - 360).cast("double"), F.col("p_size") * 90.0, F.lit(181.0), F.lit(-179.0))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(N.normalised_angles(a), lambda x: x.cast("long").cast("string")), ",").alias("angles"))
+
+
+@query(r"SELECT n_nationkey, regexp_replace(n_name || ' & 5% #1 {a_b}', '([&%$#_{}])', '\\\1', 'g') AS tex, '&lt;' || n_name || '&gt; &amp; &quot;x&quot;' AS xml FROM nation")
+def q187_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("n_name")
+    return table(spark, sf_dir, "nation").select("n_nationkey", N.escaped_tex(F.concat(name, F.lit(" & 5% #1 {a_b}"))).alias("tex"), N.escaped_xml(F.concat(F.lit("<"), name, F.lit('> & "x"'))).alias("xml"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def q188_checked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that must keep a rule: it does."""
+    return A.require(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), F.col("o_totalprice") >= 0, "negative price")
+
+
+@query("""
+WITH w AS (SELECT CAST(c_nationkey AS VARCHAR) AS o, CAST(o_orderkey % 25 AS VARCHAR) AS d, CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey % 3 AS VARCHAR) END AS n FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT o AS origin, d AS dest, sum(coalesce(TRY_CAST(n AS DOUBLE), 0)) AS flow FROM w GROUP BY 1, 2 HAVING sum(coalesce(TRY_CAST(n AS DOUBLE), 0)) > 0
+""")
+def q189_cleaned_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows of text: what is no number is none, and only positive ones stay."""
+    n = F.when(F.col("o_orderkey") % 5 == 0, "n/a").when(F.col("o_orderkey") % 7 == 0, F.lit(None).cast("string")).otherwise((F.col("o_orderkey") % 3).cast("string"))
+    w = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").cast("string").alias("o"), (F.col("o_orderkey") % 25).cast("string").alias("d"), n.alias("n"))
+    return X.summed_flows(w.where("o < '2'"), w.where("o >= '2'"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.physics import descent
+from ..operators import demand as D
 from ..operators import geo as G
 from ..operators import land as L
 from ..operators import profile as P
@@ -90,7 +91,7 @@ SELECT draw, CAST(sum(flow * rise) AS BIGINT) AS net_rise, CAST(sum(flow) FILTER
 """)
 def q101_net_rise(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = flows(spark, sf_dir).groupBy("origin", "dest", "draw").agg(F.count("*").alias("flow"))
-    return T.net_rise(f, heights(spark, sf_dir), ["draw"])
+    return D.net_rise(f, heights(spark, sf_dir), ["draw"]).withColumnsRenamed({"rise": "net_rise", "n_missing": "pairs_missing"})
 
 
 @query(f"""

@@ -87,7 +87,7 @@ def test_fixed_selection_equals_a_scan(spark):
         low = scan(sorted(near, key=lambda r: (r.climb, r.cell)), [])
         high = scan(sorted(near, key=lambda r: (-r.climb, r.cell)), low)
         assert got.feasible == (len(low) == len(high) == 2)
-        assert got.favourable == ([r.cell for r in low] if got.feasible else []) and got.unfavourable == ([r.cell for r in high] if got.feasible else [])
+        assert got.favourable == (" ".join(str(r.cell) for r in low) if got.feasible else "") and got.unfavourable == (" ".join(str(r.cell) for r in high) if got.feasible else "")
 
 
 def test_missing_rows_and_moved_nodes_fail(spark):
