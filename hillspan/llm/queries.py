@@ -14,6 +14,7 @@ from .pii import find_pii
 from .simhash import simhash_components
 from .substring import SQL as SUBSTRING_SQL
 from .substring import substring_dedup
+from .suffix import SQL as SUFFIX_SQL
 from .suffix import suffix_dedup
 from .tiling import contaminated
 from .tokens import definition_of, token_output
@@ -67,4 +68,4 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_suffix_dedup, op4_benchmark_decontamination, op5_nearest_neighbours, op6_main_text, op7_language_id, op8_mix_sources, op9_personal_data, op10_token_output)}
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op5_nearest_neighbours": NEAREST_SQL, "op8_mix_sources": MIXING_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op3_suffix_dedup": SUFFIX_SQL, "op5_nearest_neighbours": NEAREST_SQL, "op8_mix_sources": MIXING_SQL}

@@ -394,3 +394,17 @@ def _result(c: _Chunk, gone: np.ndarray) -> pa.Table:
         for k, v in zip(out, (hi - lo, total[hi] - total[lo], len(found), hashlib.sha256(text.tobytes()).hexdigest(), found), strict=True):
             out[k].append(v if isinstance(v, str | list) else int(v))
     return pa.table({"doc_id": pa.array(c.ids, pa.int64())} | {k: pa.array(v, kind) for (k, v), kind in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), strict=True)})
+
+
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT r, s, md5(substr(h, 2 * s + 1, 800)) AS k FROM d, unnest(generate_series(0, n - 400)) t(s) WHERE n >= 400),
+c AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+i AS (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 400 THEN 0 ELSE 1 END AS new FROM s WHERE k IN (SELECT k FROM c)),
+j AS (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS g FROM i),
+x AS (SELECT r, min(s) AS a, max(s) + 400 AS b FROM j GROUP BY r, g),
+p AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM x UNION ALL SELECT d.r, coalesce(max(b), 0), n FROM d LEFT JOIN x ON d.r = x.r GROUP BY d.r, n),
+k AS (SELECT p.r, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept FROM p JOIN d ON d.r = p.r GROUP BY p.r),
+m AS (SELECT r, sum(b - a) AS removed, count(*) AS spans FROM x GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN k ON d.r = k.r LEFT JOIN m ON d.r = m.r
+"""
