@@ -157,3 +157,37 @@ def route_arcs(stops: DataFrame, route: Sequence[str], order: str) -> DataFrame:
 def directed_terms(arcs: DataFrame, up: str = "up", down: str = "down") -> DataFrame:
     """Arcs in both directions, the way back with ascent and descent exchanged."""
     return arcs.unionByName(_swapped(arcs, {"u": "v", "v": "u", up: down, down: up}))
+
+
+def consolidated(nodes: DataFrame, arcs: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, x, y) and arcs (u, v, length) with all nodes that steps of radius or less join made one: the least number, in the middle of them, with their number n. Arcs between joined nodes go; of parallel ones the shortest stays."""
+    from .geo import pairs_within
+
+    near = pairs_within(nodes, "node", radius).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    joined = checkpointed(strong_components(near.unionByName(reversed_arcs(near).select("u", "v"))))
+    named = nodes.join(joined, "node", "left").withColumn("_to", F.coalesce("component", "node"))
+    out = named.groupBy(F.col("_to").alias("node")).agg(F.count("*").alias("n"), (F.sum("x") / F.count("*")).alias("x"), (F.sum("y") / F.count("*")).alias("y"))
+    of = lambda end: named.select(F.col("node").alias(end), F.col("_to").alias(f"_{end}"))
+    moved = arcs.join(of("u"), "u").join(of("v"), "v").where("_u <> _v")
+    return out, moved.groupBy(F.col("_u").alias("u"), F.col("_v").alias("v")).agg(F.min("length").alias("length"))
+
+
+def simplified(arcs: DataFrame) -> DataFrame:
+    """u, v, length, n: arcs (u, v, length; both directions of each street) with nodes that join just two others taken out, each chain as one arc.
+
+    A chain's arcs hand over sums by doubling: a round joins every stretch with the one that follows it, so the longest
+    chain takes the logarithm of its length in rounds. Rings without a crossing have no end and are left out.
+    """
+    a = checkpointed(arcs.where("u <> v").groupBy("u", "v").agg(F.min("length").alias("length")))
+    inner = checkpointed(a.groupBy(F.col("u").alias("_m")).agg(F.count("*").alias("_k")).where("_k = 2").select("_m"))
+    after = a.select(F.col("u").alias("v"), F.col("v").alias("_w"))
+    following = a.join(inner, F.col("v") == F.col("_m")).join(after, "v").where("_w <> u").select("u", "v", "_w")
+    state = a.join(following, ["u", "v"], "left").select("u", "v", F.col("v").alias("end"), "length", F.lit(1).cast("long").alias("n"), F.when(F.col("_w").isNotNull(), F.col("v")).alias("nu"), F.col("_w").alias("nv"))
+    starts = lambda s: s.join(inner, F.col("u") == F.col("_m"), "left_anti")
+    while True:
+        state = checkpointed(state)
+        if starts(state).where("nu is not null").isEmpty():
+            return starts(state).select("u", F.col("end").alias("v"), "length", "n")
+        nxt = state.select(F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("end").alias("_e"), F.col("length").alias("_l"), F.col("n").alias("_n"), F.col("nu").alias("_nu"), F.col("nv").alias("_nv"))
+        j = state.join(nxt, ["nu", "nv"], "left")
+        state = j.select("u", "v", F.coalesce("_e", "end").alias("end"), (F.col("length") + F.coalesce("_l", F.lit(0))).alias("length"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.col("_nu").alias("nu"), F.col("_nv").alias("nv"))

@@ -149,3 +149,32 @@ def q124_evaluated_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = arcs(spark, sf_dir).withColumn("variant", F.explode(F.array(*(F.lit(i) for i in range(3)))))
     a = a.select("variant", "u", "v", F.col("w").alias("l2"), (F.col("w") + F.col("g") * F.col("variant") % 5).alias("l3"), (F.col("g") * (F.col("variant") + 1)).alias("gain"))
     return X.evaluated(a, flows(spark, sf_dir).withColumn("flow", F.lit(1).cast("long")), "variant", ["draw"])
+
+
+@query(f"""
+WITH RECURSIVE {POINTS}, e AS (SELECT a.id AS u, b.id AS v FROM points a JOIN points b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 100), r(a, b) AS (SELECT id, id FROM points UNION SELECT r.a, e.v FROM r JOIN e ON r.b = e.u), c AS (SELECT a AS id, min(b) AS node FROM r GROUP BY 1),
+m AS (SELECT x.node AS u, y.node AS v, min(p.id % 13 + 1) AS length FROM points p JOIN c x ON x.id = p.id JOIN c y ON y.id = p.id + 1 WHERE x.node <> y.node GROUP BY 1, 2)
+SELECT m.u, m.v, length, n, px, py FROM m JOIN (SELECT node, count(*) AS n, sum(x) / CAST(count(*) AS DOUBLE) AS px, sum(y) / CAST(count(*) AS DOUBLE) AS py FROM c JOIN points ON points.id = c.id GROUP BY 1) ON node = m.u
+""")
+def q190_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crossings of several nodes as one, and the arcs between them."""
+    nodes = points(spark, sf_dir).withColumnRenamed("id", "node")
+    ways = nodes.select(F.col("node").alias("u"), (F.col("node") + 1).alias("v"), (F.col("node") % 13 + 1).alias("length"))
+    n, a = N.consolidated(nodes, ways, 10.0)
+    return a.join(n.select(F.col("node").alias("u"), "n", F.col("x").alias("px"), F.col("y").alias("py")), "u").select("u", "v", "length", "n", "px", "py")
+
+
+_STREETS = "st AS (SELECT c_custkey AS a, c_custkey + 1 AS b, c_custkey % 13 + 1 AS length FROM customer WHERE c_custkey % 9 <> 0 UNION ALL SELECT c_custkey, c_custkey * 3 % 1499 + 1, 5 FROM customer WHERE c_custkey % 50 = 0), a AS (SELECT u, v, min(length) AS length FROM (SELECT a AS u, b AS v, length FROM st UNION ALL SELECT b, a, length FROM st) WHERE u <> v GROUP BY 1, 2)"
+
+
+@query(f"""
+WITH RECURSIVE {_STREETS}, i AS (SELECT u AS m FROM a GROUP BY 1 HAVING count(*) = 2),
+w(u, p, v, length, n) AS (SELECT u, u, v, CAST(length AS BIGINT), CAST(1 AS BIGINT) FROM a WHERE u NOT IN (SELECT m FROM i) UNION ALL SELECT w.u, w.v, a.v, w.length + a.length, w.n + 1 FROM w JOIN i ON i.m = w.v JOIN a ON a.u = w.v AND a.v <> w.p)
+SELECT u, v, length, n FROM w WHERE v NOT IN (SELECT m FROM i)
+""")
+def q191_simplified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streets without the nodes that are no crossings."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer")
+    one = c.where("c_custkey % 9 <> 0").select(k.alias("u"), (k + 1).alias("v"), (k % 13 + 1).alias("length")).unionByName(c.where("c_custkey % 50 = 0").select(k.alias("u"), (k * 3 % 1499 + 1).alias("v"), F.lit(5).alias("length")))
+    return N.simplified(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"), "length")))
