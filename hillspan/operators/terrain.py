@@ -77,3 +77,11 @@ def graph_statistics(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     n = nodes.agg(F.count("*").alias("num_nodes"), F.coalesce(F.avg("z"), F.lit(0.0)).alias("z_mean"), F.coalesce(F.min("z"), F.lit(0.0)).alias("z_min"), F.coalesce(F.max("z"), F.lit(0.0)).alias("z_max"), F.count_if(F.col("z") == 0).alias("n_missing"))
     e = arcs.agg(F.count("*").alias("num_edges"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("edge_len_mean"))
     return n.crossJoin(e)  # a row each
+
+
+def prepared(tiles: DataFrame, people: DataFrame, config: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A study's inputs from its configuration, one row of west, south, east, north and margin: the heights in its box, and the runs of pixels with people there (col, row, z)."""
+    c = config.first()
+    heights = dem_window(tiles, c.west, c.south, c.east, c.north, c.margin)
+    inside = heights.select("col", "row")
+    return heights, raster_runs(people.join(inside, ["col", "row"], "left_semi"))

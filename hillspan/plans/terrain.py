@@ -245,3 +245,19 @@ def q114_map_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, x, y = F.col("k"), F.col("x").cast("double"), F.col("y").cast("double")
     bounds, zoom = R.map_extent(x, y, x + (k + 1) / 8.0, y + (k % 4 + 1) / 4.0, 0.25)
     return places(spark, sf_dir).select("k", *(b.alias(n) for b, n in zip(bounds, ("west", "south", "east", "north"), strict=True)), zoom.alias("zoom"))
+
+
+@query(f"""
+WITH {_PIXELS}, w AS (SELECT col, row, z FROM px WHERE (col + 0.5) * 0.125 BETWEEN 0.5 AND 4.5 AND -(row + 0.5) * 0.125 BETWEEN 1.5 AND 5.5),
+v AS (SELECT col, row, CAST((col // 4 * 3 - row // 2) % 5 AS BIGINT) AS value FROM w), g AS (SELECT *, col - row_number() OVER (PARTITION BY row, value ORDER BY col) AS g FROM v WHERE value <> 0)
+SELECT row, value, min(col) AS first, max(col) AS last FROM g GROUP BY row, value, g
+""")
+def q192_prepared_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box from a JSON configuration, the heights in it, and its people as runs of pixels."""
+    path = new_folder(spark, "config")
+    spark.createDataFrame([('{"west": 1.0, "south": 2.0, "east": 4.0, "north": 5.0, "margin": 0.5}',)], "value string").coalesce(1).write.text(path)
+    config = spark.read.json(path)
+    t = tiles(spark, sf_dir)
+    whole = T.dem_window(t, -10.0, -10.0, 20.0, 20.0)
+    people = whole.select("col", "row", ((F.floor(F.col("col") / 4) * 3 + F.floor(-F.col("row") / 2)) % 5).cast("double").alias("z"))
+    return T.prepared(t, people, config)[1]
