@@ -25,7 +25,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: Two texts of similarity s share a key with chance 1 - (1 - s^ROWS)^BANDS: 0.998 at 0.8.
 BANDS, ROWS = 12, 4
 #: Texts before a text in its key's order that it is compared with; texts of a key that are put in order together, about.
-NEXT, TOGETHER = 3, 5000
+NEXT, TOGETHER = 3, 1000
 #: Shingles of a block, about; what a text counts as at least; shingles in a piece of a matrix, pairs counted at a time.
 BLOCK, LEAST, WIDE, COUNTED = 1 << 18, 256, 1024, 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -200,7 +200,8 @@ def alike(documents: DataFrame, similarity: float = SIMILARITY, words: int = WOR
     shared = checkpointed(keyed.join(least, "key"))
     met = shared.groupBy("text_hash").agg(F.sum(F.col("n") - 1).alias("met"))
     hubs = shared.select("key", "text_hash", "order").join(met, "text_hash").groupBy("key").agg(F.max_by("text_hash", F.struct("met", "order")).alias("hub"))
-    grouped = shared.join(hubs, "key").withColumn("part", F.pmod("order", F.floor(F.col("n") / TOGETHER) + 1))
+    # a shuffle of its own: after a join on the key alone a window would find its parts together, a frequent key's all in one task
+    grouped = shared.join(hubs, "key").withColumn("part", F.pmod("order", F.floor(F.col("n") / TOGETHER) + 1)).repartition("key", "part")
     w = Window.partitionBy("key", "part").orderBy("order")
     partners = F.array("hub", "least", *(F.lag("text_hash", i).over(w) for i in range(1, NEXT + 1)))
     pairs = grouped.select(partners.alias("partners"), F.col("text_hash").alias("b")).select(F.explode("partners").alias("a"), "b").where("a <> b")
