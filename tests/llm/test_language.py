@@ -66,3 +66,19 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "a b", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in identify(df).collect()] == [UNKNOWN]
     assert identify(df.limit(0)).collect() == []
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    """A text that is scored in pieces, cut between words, has the words and spans of the whole one."""
+    from hillspan.llm import language
+    from hillspan.llm.language import Labeller
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = learn(docs)
+    some = [r.text for r in docs.where("length(text) > 400").orderBy("doc_id").limit(30).collect()]
+    texts = [" ".join(some), "x" * 5000 + " " + some[0], None, some[1], "", "a" * 3000]
+    whole = Labeller(model).label(texts)
+    for size in (100, 1000, 4096):
+        monkeypatch.setattr(language, "AT_ONCE", size)
+        assert Labeller(model).label(texts) == whole
+    assert whole[0][2] and sum(s["n_words"] for s in whole[0][2]) == len(words(texts[0]))
