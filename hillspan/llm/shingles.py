@@ -199,8 +199,8 @@ def alike(documents: DataFrame, similarity: float = SIMILARITY, words: int = WOR
     least = keyed.groupBy("key").agg(F.min_by("text_hash", "order").alias("least"), F.count("*").alias("n")).where("n > 1")
     shared = checkpointed(keyed.join(least, "key"))
     met = shared.groupBy("text_hash").agg(F.sum(F.col("n") - 1).alias("met"))
-    hubs = shared.select("key", "text_hash", "order").join(met, "text_hash").groupBy("key").agg(F.max_by("text_hash", F.struct("met", "order")).alias("hub"))
-    # a shuffle of its own: after a join on the key alone a window would find its parts together, a frequent key's all in one task
+    hubs = checkpointed(shared.select("key", "text_hash", "order").join(met, "text_hash").groupBy("key").agg(F.max_by("text_hash", F.struct("met", "order")).alias("hub")))
+    # the hubs are computed, so that Spark can split a frequent key's rows in the join; and the window has a shuffle of its own, or else it would find its parts where the join on the key alone has put them, in one task
     grouped = shared.join(hubs, "key").withColumn("part", F.pmod("order", F.floor(F.col("n") / TOGETHER) + 1)).repartition("key", "part")
     w = Window.partitionBy("key", "part").orderBy("order")
     partners = F.array("hub", "least", *(F.lag("text_hash", i).over(w) for i in range(1, NEXT + 1)))
