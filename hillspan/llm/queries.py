@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .html import extract
 from .language import identify
+from .merkle import SQL as MERKLE_SQL
+from .merkle import manifest
 from .mixing import SQL as MIXING_SQL
 from .mixing import mix
 from .nearest import SQL as NEAREST_SQL
@@ -66,6 +68,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), definition_of(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_suffix_dedup, op4_benchmark_decontamination, op5_nearest_neighbours, op6_main_text, op7_language_id, op8_mix_sources, op9_personal_data, op10_token_output)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op3_suffix_dedup": SUFFIX_SQL, "op5_nearest_neighbours": NEAREST_SQL, "op8_mix_sources": MIXING_SQL}
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_suffix_dedup, op4_benchmark_decontamination, op5_nearest_neighbours, op6_main_text, op7_language_id, op8_mix_sources, op9_personal_data, op10_token_output, op13_merkle_manifest)}
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op3_suffix_dedup": SUFFIX_SQL, "op5_nearest_neighbours": NEAREST_SQL, "op8_mix_sources": MIXING_SQL, "op13_merkle_manifest": MERKLE_SQL}
