@@ -20,6 +20,8 @@ from .suffix import SQL as SUFFIX_SQL
 from .suffix import suffix_dedup
 from .tiling import contaminated
 from .tokens import definition_of, token_output
+from .trie import SQL as TRIE_SQL
+from .trie import prefix_trie
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -68,10 +70,14 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), definition_of(TOKENIZER))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_suffix_dedup, op4_benchmark_decontamination, op5_nearest_neighbours, op6_main_text, op7_language_id, op8_mix_sources, op9_personal_data, op10_token_output, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_suffix_dedup, op4_benchmark_decontamination, op5_nearest_neighbours, op6_main_text, op7_language_id, op8_mix_sources, op9_personal_data, op10_token_output, op11_prefix_trie, op13_merkle_manifest)}
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op3_suffix_dedup": SUFFIX_SQL, "op5_nearest_neighbours": NEAREST_SQL, "op8_mix_sources": MIXING_SQL, "op13_merkle_manifest": MERKLE_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op3_suffix_dedup": SUFFIX_SQL, "op5_nearest_neighbours": NEAREST_SQL, "op8_mix_sources": MIXING_SQL, "op11_prefix_trie": TRIE_SQL, "op13_merkle_manifest": MERKLE_SQL}
