@@ -12,6 +12,8 @@ from .mixing import SQL as MIXING_SQL
 from .mixing import mix
 from .nearest import SQL as NEAREST_SQL
 from .nearest import nearest
+from .ngram import SQL as NGRAM_SQL
+from .ngram import jaccard_components
 from .pii import find_pii
 from .simhash import simhash_components
 from .substring import SQL as SUBSTRING_SQL
@@ -74,10 +76,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_suffix_dedup, op4_benchmark_decontamination, op5_nearest_neighbours, op6_main_text, op7_language_id, op8_mix_sources, op9_personal_data, op10_token_output, op11_prefix_trie, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_suffix_dedup, op4_benchmark_decontamination, op5_nearest_neighbours, op6_main_text, op7_language_id, op8_mix_sources, op9_personal_data, op10_token_output, op11_prefix_trie, op12_jaccard_join, op13_merkle_manifest)}
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op3_suffix_dedup": SUFFIX_SQL, "op5_nearest_neighbours": NEAREST_SQL, "op8_mix_sources": MIXING_SQL, "op11_prefix_trie": TRIE_SQL, "op13_merkle_manifest": MERKLE_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op3_suffix_dedup": SUFFIX_SQL, "op5_nearest_neighbours": NEAREST_SQL, "op8_mix_sources": MIXING_SQL, "op11_prefix_trie": TRIE_SQL, "op12_jaccard_join": NGRAM_SQL, "op13_merkle_manifest": MERKLE_SQL}

@@ -26,4 +26,4 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_there_is_a_query_for_each_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
