@@ -1,6 +1,6 @@
 """Set similarity join on word shingles, by prefixes of single shingles and of combinations of frequent ones.
 
-All shingles have one order: by class of frequency, rare first, then by hash. Of a set of n that shares m or more with any
+All shingles have one order: by powers of two of their frequency, rare first, then by hash. Of a set of n that shares m or more with any
 partner, the first n - m + 1 in this order, the prefix, hold a shared one, so these are its keys. A frequent shingle alone
 would be a key of many sets: shingles of class k are keys only k at a time, among those of one group (a hash of the
 shingle). Of the c shingles of a group in the prefix, k - 1 may be shared without a key in common, so they count as
@@ -30,8 +30,10 @@ from .shingles import NEXT, shingle_sets
 from .shingles import _left as left_links
 
 WORDS, PERCENT = 3, 90
-#: Sets that have a shingle, beyond which it is of class 2 and of class 3. Counts of a chunk end at 255: this decides a class, not a pair.
-FREQUENT = (32, 1024)
+#: Rarity is a power of two: 0 of shingles that one set has, r of those that up to 2^r have, at most MOST_RARITY. Counts of a chunk end at 255: this decides the order, not a pair.
+MOST_RARITY, BITS = 15, 4
+#: Rarities from which shingles are of class 2 and of class 3.
+FREQUENT = (6, 11)
 #: A group of a class for each so many shingles of a set.
 GROUPED = 12
 _KINDS = np.random.Generator(np.random.PCG64(0x96A7)).integers(1, 2**62, 8, dtype=np.uint64) * U64(2) + U64(1)
@@ -79,19 +81,23 @@ def _combined(fp: np.ndarray, groups: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def signature(fp: np.ndarray, classes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Keys of a set (fp, without repeats; classes 1 to 3): any two sets of which 100 * shared >= percent * all have one in common, if they differ."""
+def signature(fp: np.ndarray, rarity: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Keys of a set (fp, without repeats; rarity 0 to MOST_RARITY): any two sets of which 100 * shared >= percent * all have one in common, if they differ. Shingles of rarity 0 count and are no keys."""
     n = len(fp)
     partner = -(-percent * n // 100)  # shingles that a partner shares at least
     if n - partner == 0 and 100 * n < percent * (n + 1):
         return fp[:0]  # only an equal set is that similar
     need = n - partner + 1
+    alone = rarity == 0
+    if int(alone.sum()) >= need:
+        return fp[:0]
     hashed = mix(fp ^ _KINDS[3])
-    rare = classes == 1
-    if int(rare.sum()) >= need:
-        return mix(fp[rare][np.argpartition(hashed[rare], need - 1)[:need]] ^ _KINDS[4])
-    order = np.lexsort((hashed, classes))
-    fp, classes, hashed = fp[order], classes[order].astype(np.int64), hashed[order]
+    order = np.lexsort((hashed, rarity))
+    fp, hashed, rarity = fp[order], hashed[order], rarity[order]
+    classes = 1 + sum((rarity >= r).astype(np.int64) for r in FREQUENT)
+    own = lambda x, r: mix(x[r > 0] ^ _KINDS[4])
+    if classes[need - 1] == 1:
+        return own(fp[:need], rarity[:need])
     # sets of one band have as many groups; a set that may have partners in the band below has keys for that one, too
     band = n.bit_length() - 1
     out = []
@@ -102,10 +108,10 @@ def signature(fp: np.ndarray, classes: np.ndarray, percent: int = PERCENT) -> np
         groups = np.where(kinds == 1, -1 - np.arange(n), kinds * count + (hashed % U64(max(count, 1))).astype(np.int64))
         counted = np.cumsum((kinds == 1) | (_places(groups) >= kinds - 1))
         end = int(np.searchsorted(counted, need)) + 1
-        own, head, kinds = groups[:end], fp[:end], kinds[:end]
-        out.append(mix(head[kinds == 1] ^ _KINDS[4]))
+        head, groups, kinds = fp[:end], groups[:end], kinds[:end]
+        out.append(own(head[kinds == 1], rarity[:end][kinds == 1]))
         for k in (2, 3):
-            out.append(mix(_combined(head[kinds == k], own[kinds == k], k) + U64(int(_KINDS[2 + k]) * max(count, 1) % (1 << 64))))
+            out.append(mix(_combined(head[kinds == k], groups[kinds == k], k) + U64(int(_KINDS[2 + k]) * max(count, 1) % (1 << 64))))
     return np.unique(np.concatenate(out))
 
 
@@ -155,27 +161,28 @@ def signed(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         return out
 
     def settle(bucket: pa.Table) -> pa.Table:
-        def classes(keys: np.ndarray, times: np.ndarray, flags: None, sizes: np.ndarray) -> np.ndarray:
+        def rarity(keys: np.ndarray, times: np.ndarray, flags: None, sizes: np.ndarray) -> np.ndarray:
             order = np.argsort(keys, kind="stable")
             begin = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
             total = np.add.reduceat(times[order].astype(np.int64), begin)
             out = np.empty(len(keys), np.int64)
             out[order] = np.repeat(total, np.diff(np.append(begin, len(keys))))
-            return np.stack([out > x for x in FREQUENT], axis=1)
+            power = np.minimum(np.ceil(np.log2(out)).astype(np.int64), MOST_RARITY)
+            return (power[:, None] >> np.arange(BITS) & 1).astype(bool)
 
-        return answered(bucket, np.uint32, np.uint8, classes)
+        return answered(bucket, np.uint32, np.uint8, rarity)
 
     def finish(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(t):
             return pa.Table.from_pylist([], pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("set_id", pa.int64()), ("n_shingles", pa.int64()), ("keys", pa.list_(pa.int64()))]))
         c = _Chunk(t, words, percent, buckets)
-        classes = np.empty(len(c.fp), np.int8)
-        classes[c.order] = np.repeat(answers(replies, c.bounds, 2).sum(axis=1).astype(np.int8) + 1, c.times)
-        found = iter(signature(c.fp[i:j], classes[i:j], percent).view(np.int64) for i, j in zip(c.at[:-1].tolist(), c.at[1:].tolist(), strict=True))
+        rarity = np.empty(len(c.fp), np.int8)
+        rarity[c.order] = np.repeat(answers(replies, c.bounds, BITS).astype(np.int8) @ (1 << np.arange(BITS, dtype=np.int8)), c.times)
+        found = iter(signature(c.fp[i:j], rarity[i:j], percent).view(np.int64) for i, j in zip(c.at[:-1].tolist(), c.at[1:].tolist(), strict=True))
         keys = pa.array([next(found) if new else None for new in c.first], pa.list_(pa.int64()))
         column = lambda parts: pa.chunked_array([pa.concat_arrays([x.cast(pa.int64()) for x in parts])])
         out = pa.table({"doc_id": column(c.ids), "row_hash": column(c.rows), "set_id": np.concatenate(c.names), "n_shingles": np.concatenate(c.sizes), "keys": keys})
-        del t, c, classes
+        del t, c, rarity
         release_memory()
         return out
 
