@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.folders import checkpointed
-
-#: Arcs, at most, of a network that shortest_paths() sends to its tasks: 8 bytes for the head and for each value, so some 50 MB.
-MOST_ARCS = 2_000_000
+from .routing import MOST_ARCS, batches_of, network_of, path_schema
 
 
 def representative_arcs(arcs: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -43,36 +40,29 @@ def shortest_paths(arcs: DataFrame, origins: DataFrame, carried: Sequence[str] =
     all_from() in rounds.
     """
     cols = ["w", *carried]
-    if arcs.count() > most_arcs:
+    network = network_of(arcs, cols, most_arcs)
+    if network is None:
         return all_from(arcs, origins, carried)
-    table = arcs.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), *cols).toArrow()
-    u, v = (table.column(c).to_numpy() for c in ("u", "v"))
-    order = np.argsort(u, kind="stable")
-    tails, begin = np.unique(u[order], return_index=True)
-    shared = arcs.sparkSession.sparkContext.broadcast((tails, np.append(begin, len(u)), v[order], [table.column(c).to_numpy()[order] for c in cols]))
-    schema = ", ".join(["i long", "j long", *(f"{c} {arcs.schema[c].dataType.simpleString()}" for c in cols)])
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tails, begin, heads, values = shared.value
-        for batch in batches:
-            for i in batch["i"].tolist():
-                best: dict[int, tuple] = {}
-                heap = [((0,) * len(cols), i)]
-                while heap:
-                    d, u = heapq.heappop(heap)
-                    if u in best:
-                        continue
-                    best[u] = d
-                    k = int(np.searchsorted(tails, u))
-                    if k == len(tails) or tails[k] != u:
-                        continue
-                    arcs_of = slice(int(begin[k]), int(begin[k + 1]))
-                    for v, *x in zip(heads[arcs_of].tolist(), *(y[arcs_of].tolist() for y in values), strict=True):
-                        if v not in best:
-                            heapq.heappush(heap, (tuple(a + b for a, b in zip(d, x, strict=True)), v))
-                yield pd.DataFrame([(i, v, *d) for v, d in best.items()], columns=["i", "j", *cols])
-
-    return origins.select(F.col("i").cast("long").alias("i")).distinct().mapInPandas(search, schema)
+    shared = arcs.sparkSession.sparkContext.broadcast(network)
+    schema = path_schema(arcs, cols)
+    kind = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        zero = (0,) * len(cols)
+
+        def found(i: int) -> Iterator[tuple]:
+            k = net.place(i)
+            if k < 0:
+                yield i, i, *zero
+            else:
+                best = net.search(k)
+                for j, d in zip(net.nodes[list(best)].tolist(), best.values(), strict=True):
+                    yield i, j, *d
+
+        yield from batches_of((x for b in batches for i in b.column(0).to_pylist() for x in found(i)), kind)
+
+    return origins.select(F.col("i").cast("long").alias("i")).distinct().mapInArrow(run, schema)
 
 
 def all_from(arcs: DataFrame, origins: DataFrame, carried: Sequence[str] = ()) -> DataFrame:

@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import checkpointed
 from .geo import nearest_node
-from .graph import nodes_of, shortest_paths
+from .graph import nodes_of
+from .relational import numbered
+from .routing import paths_between
 from .studies import straight_enough
 
 #: Fixed value: least weight of an arc that is searched; a weight of 0 would be no arc.
@@ -33,23 +36,21 @@ def on_track(stops: DataFrame, track: DataFrame, size: float) -> DataFrame:
     return j.join(near, ["route", "stop"], "left").select(*stops.columns, F.when(F.col("_on"), F.col("stop")).otherwise(F.col("_near")).alias("track"))
 
 
-def grouped_paths(arcs: DataFrame, origins: DataFrame, group: str, carried: Sequence[str] = ()) -> DataFrame:
-    """shortest_paths() within each group: arcs (group, u, v, w, carried), origins (group, i). Nodes are not negative; groups are numbered, and a node's number includes its group's."""
-    from ..sources.folders import checkpointed
-
-    numbers = checkpointed(arcs.select(group).union(origins.select(group)).distinct().withColumn("_g", F.row_number().over(Window.orderBy(group)) - 1))  # a row a group
+def grouped_paths(arcs: DataFrame, pairs: DataFrame, group: str, carried: Sequence[str] = ()) -> DataFrame:
+    """paths_between() within each group: arcs (group, u, v, w, carried), pairs (group, i, j). Nodes are not negative; groups are numbered, and a node's number includes its group's."""
+    numbers = checkpointed(numbered(arcs.select(group).union(pairs.select(group)).distinct(), [F.col(group)], "_g"))
     most = nodes_of(arcs).agg(F.max("node")).first()[0]
     size = (most if most is not None else 0) + 1
     coded = arcs.join(numbers, group).select((F.col("_g") * size + F.col("u")).alias("u"), (F.col("_g") * size + F.col("v")).alias("v"), "w", *carried)
-    starts = origins.join(numbers, group).where(F.col("i") < size).select((F.col("_g") * size + F.col("i")).alias("i"))
-    p = shortest_paths(coded, starts, carried)
+    asked = pairs.join(numbers, group).where((F.col("i") < size) & (F.col("j") < size)).select((F.col("_g") * size + F.col("i")).alias("i"), (F.col("_g") * size + F.col("j")).alias("j"))
+    p = paths_between(coded, asked, carried)
     return p.withColumn("_g", F.floor(F.col("i") / size)).join(numbers, "_g").select(group, (F.col("i") % size).alias("i"), (F.col("j") % size).alias("j"), "w", *carried)
 
 
 def tracks_between(pairs: DataFrame, arcs: DataFrame) -> DataFrame:
     """pairs (route, u, v: stops; tu, tv: their nodes on the track; lu, lv: ways from stop to track; straight) with length and fallback: along the route's track (arcs route, u, v, w; both directions), or the straight line where the track has a gap."""
     both = arcs.unionByName(arcs.select("route", F.col("v").alias("u"), F.col("u").alias("v"), "w"))
-    found = grouped_paths(both, pairs.select("route", F.col("tu").alias("i")), "route").select("route", F.col("i").alias("tu"), F.col("j").alias("tv"), F.col("w").alias("_w"))
+    found = grouped_paths(both, pairs.select("route", F.col("tu").alias("i"), F.col("tv").alias("j")), "route").select("route", F.col("i").alias("tu"), F.col("j").alias("tv"), F.col("w").alias("_w"))
     j = pairs.join(found, ["route", "tu", "tv"], "left")
     return j.select(*pairs.columns, F.coalesce(F.col("lu") + F.col("_w") + F.col("lv"), F.col("straight")).alias("length"), F.col("_w").isNull().alias("fallback"))
 
@@ -82,10 +83,10 @@ def evaluated(arcs: DataFrame, flows: DataFrame, group: str, draw: Sequence[str]
     end where they begin, and those without a way, do not count.
     """
     od = flows.where("origin <> dest").groupBy("origin", "dest", *draw).agg(F.sum("flow").alias("flow"))
-    origins = arcs.select(group).distinct().crossJoin(od.select(F.col("origin").alias("i")).distinct())  # both are few
+    asked = checkpointed(arcs.select(group).distinct().crossJoin(od.select(F.col("origin").alias("i"), F.col("dest").alias("j")).distinct()))  # every flow in every variant
     out = None
     for name, weight, other in (("2d", "l2", "l3"), ("3d", "l3", "l2")):
-        p = grouped_paths(arcs.select(group, "u", "v", F.col(weight).alias("w"), "gain", F.col(other).alias("_o")), origins, group, ["gain", "_o"])
+        p = grouped_paths(arcs.select(group, "u", "v", F.col(weight).alias("w"), "gain", F.col(other).alias("_o")), asked, group, ["gain", "_o"])
         j = od.join(p, (F.col("origin") == F.col("i")) & (F.col("dest") == F.col("j")))
         part = j.groupBy(group, *draw).agg(F.sum(F.col("flow") * F.col("gain")).alias(f"gain_on_{name}"), F.sum(F.col("flow") * F.col("w")).alias(f"{weight}_on_{name}"), F.sum(F.col("flow") * F.col("_o")).alias(f"{other}_on_{name}"))
         out = part if out is None else out.join(part, [group, *draw])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.physics import haversine, leg_energy, mode_energy
 from ..operators import geo as G
 from ..operators import graph as N
+from ..operators import routing as R
 from ..operators import scenario as C
 from ..operators import selection as L
 from .demand import PLACES, places
@@ -54,11 +55,54 @@ FROM f JOIN p5 ON origin = i AND dest = j GROUP BY draw
 """)
 def q41_od_routing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = flows(spark, sf_dir).groupBy("origin", "dest", "draw").agg(F.count("*").alias("flow"))
-    paths = N.shortest_paths(arcs(spark, sf_dir), f.select(F.col("origin").alias("i")), ["g"])
+    paths = R.paths_between(arcs(spark, sf_dir), f.select(F.col("origin").alias("i"), F.col("dest").alias("j")), ["g"])
     t = N.path_totals(f, paths, ["draw"], ["w", "g"])
     return t.withColumn("energy", F.lit(1200 * 9.81) * F.col("f_g").cast("double") + F.lit(585.0) * F.col("f_w").cast("double"))
 
 
+#: Streets among the orders that have items: from each to the next one and to the one a block of STREET on, both ways, the way back with another climb.
+STREET = 387
+_STREET_ARCS = f"""
+node AS (SELECT l_orderkey AS k, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q, count(*) AS n FROM lineitem GROUP BY 1),
+way AS (SELECT k AS u, k + 1 AS v, 20 + q AS w, n % 4 AS g, q % 5 AS h FROM node WHERE k % 11 <> 0 UNION ALL SELECT k, k + {STREET}, 35 + q % 90, q % 7, n % 3 FROM node),
+street AS (SELECT u, v, w, g, h FROM way WHERE v IN (SELECT k FROM node)),
+arc AS (SELECT u, v, w, g FROM street UNION ALL SELECT v, u, w, h FROM street)"""
+_TRIPS = """
+home AS (SELECT o_custkey AS c, min(o_orderkey) AS i FROM orders GROUP BY 1),
+hub AS (SELECT c_nationkey AS nation, min(i) AS j FROM home JOIN customer ON c = c_custkey GROUP BY 1),
+trip AS (SELECT c_nationkey AS nation, c_custkey AS customer, i, j FROM home JOIN customer ON c = c_custkey JOIN hub ON nation = c_nationkey)"""
+
+
+def street_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("q")
+    node = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum(F.col("l_quantity").cast("long")).alias("q"), F.count("*").alias("n"))
+    ends = node.select(F.col("k").alias("v"))
+    way = F.array(F.struct((F.col("k") + 1).alias("v"), (20 + q).alias("w"), (F.col("n") % 4).alias("g"), (q % 5).alias("h")), F.struct((F.col("k") + STREET).alias("v"), (35 + q % 90).alias("w"), (q % 7).alias("g"), (F.col("n") % 3).alias("h")))
+    street = node.select(F.col("k").alias("u"), F.explode(way).alias("x")).select("u", "x.*").where(f"u % 11 <> 0 OR v = u + {STREET}").join(ends, "v", "left_semi")
+    return street.select("u", "v", "w", "g").unionByName(street.select(F.col("v").alias("u"), F.col("u").alias("v"), "w", F.col("h").alias("g")))
+
+
+def hub_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation, customer, i and j: every customer's way from the first order's node to the least one of the nation."""
+    home = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(F.min("o_orderkey").alias("i"))
+    at = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"), F.col("c_nationkey").alias("nation")).join(home, "customer")
+    return at.join(at.groupBy("nation").agg(F.min("i").alias("j")), "nation").select("nation", "customer", "i", "j")
+
+
+_HUBS = f"""
+WITH RECURSIVE {_STREET_ARCS}, {_TRIPS},
+r(j, i, x) USING KEY (j, i) AS (SELECT j, j, {{'w': 0::BIGINT, 'g': 0::BIGINT}} FROM (SELECT DISTINCT j FROM hub)
+  UNION (SELECT n.j, n.u, n.x FROM (SELECT r.j, a.u, min({{'w': r.x.w + a.w, 'g': r.x.g + a.g}}) AS x FROM r JOIN arc a ON a.v = r.i GROUP BY r.j, a.u) n LEFT JOIN recurring.r k ON k.j = n.j AND k.i = n.u WHERE k.x IS NULL OR n.x < k.x))
+"""
+
+
+@query(f"{_HUBS} SELECT nation, customer, x.w AS w, x.g AS g FROM trip JOIN r ON r.j = trip.j AND r.i = trip.i")
+def q193_street_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's shortest way on a street network of all orders, with its climb, by searches towards the target."""
+    trips = hub_trips(spark, sf_dir)
+    return trips.join(R.paths_between(street_arcs(spark, sf_dir), trips, ["g"]), ["i", "j"]).select("nation", "customer", "w", "g")
+
+
 _PARALLEL = "par AS (SELECT l_suppkey % 25 AS u, l_partkey % 25 AS v, l_quantity AS length, l_extendedprice AS weight, l_orderkey * 100000 + l_partkey AS id FROM lineitem)"
 
 
