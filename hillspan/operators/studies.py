@@ -14,9 +14,25 @@ from .relational import broadcast_if_few, keep_last
 
 #: Change of energy (%) below which the best variant is a tie in summaries; excess (share) that counts as near the lowest.
 NEGLIGIBLE_PCT, NEAR_LOWEST = 0.05, 0.01
-#: Rank of a road's class on maps, 50 for others; walking costs this many times its length when a route is chosen.
-ROAD_RANKS = {"motorway": 0, "trunk": 1, "primary": 2, "secondary": 3, "tertiary": 4, "residential": 5}
-OTHER_ROAD, WALK_FACTOR = 50, 3.0
+#: Rank of a road's class on maps, 50 for others.
+ROAD_RANKS = {
+    "motorway": 1,
+    "trunk": 2,
+    "primary": 3,
+    "secondary": 4,
+    "tertiary": 5,
+    "motorway_link": 6,
+    "trunk_link": 7,
+    "primary_link": 8,
+    "secondary_link": 9,
+    "tertiary_link": 10,
+    "residential": 20,
+    "unclassified": 21,
+    "service": 30,
+}
+OTHER_ROAD = 50
+#: Fixed value: walking costs this many times its length when a route is chosen.
+WALK_FACTOR = 3.0
 
 
 def motions(spark: SparkSession, step_m: float, n: int, angles: Sequence[float] = (0, 90, 180, 270), rotations: Sequence[float] = (), scales: Sequence[float] = ()) -> DataFrame:

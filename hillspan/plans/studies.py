@@ -107,11 +107,12 @@ def q89_densification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("i", "n_routed", F.floor(F.col("length") * 1e6).alias("length_millionths"), F.floor(F.col("climb") * 1e6).alias("climb_millionths"))
 
 
-_ROADS = "roads AS (SELECT l_suppkey % 50 AS u, l_partkey % 50 AS v, l_orderkey % 3 AS way, l_quantity AS length, CASE l_linenumber % 4 WHEN 0 THEN 'primary' WHEN 1 THEN 'residential' WHEN 2 THEN 'path' ELSE 'motorway' END AS class FROM lineitem)"
+_ROADS = "roads AS (SELECT l_suppkey % 50 AS u, l_partkey % 50 AS v, l_orderkey % 3 AS way, l_quantity AS length, ['primary', 'residential', 'path', 'motorway', 'motorway_link', 'trunk', 'trunk_link', 'primary_link', 'secondary', 'secondary_link', 'tertiary', 'tertiary_link', 'unclassified', 'service'][(l_orderkey + l_linenumber) % 14 + 1] AS class FROM lineitem)"
 
 
 def _roads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.element_at(F.array(*map(F.lit, ("primary", "residential", "path", "motorway"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    names = ("primary", "residential", "path", "motorway", "motorway_link", "trunk", "trunk_link", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "unclassified", "service")
+    kind = F.element_at(F.array(*map(F.lit, names)), ((F.col("l_orderkey") + F.col("l_linenumber")) % len(names) + 1).cast("int"))
     return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("u"), (F.col("l_partkey") % 50).alias("v"), (F.col("l_orderkey") % 3).alias("way"), F.col("l_quantity").alias("length"), kind.alias("class"))
 
 
@@ -121,7 +122,7 @@ def q90_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_ROADS}, r AS (SELECT u, v, length, CASE class WHEN 'motorway' THEN 0 WHEN 'primary' THEN 2 WHEN 'residential' THEN 5 ELSE 50 END AS rank FROM (SELECT u, v, class, max(length) AS length FROM roads GROUP BY 1, 2, 3))
+WITH {_ROADS}, r AS (SELECT u, v, length, CASE class WHEN 'motorway' THEN 1 WHEN 'trunk' THEN 2 WHEN 'primary' THEN 3 WHEN 'secondary' THEN 4 WHEN 'tertiary' THEN 5 WHEN 'motorway_link' THEN 6 WHEN 'trunk_link' THEN 7 WHEN 'primary_link' THEN 8 WHEN 'secondary_link' THEN 9 WHEN 'tertiary_link' THEN 10 WHEN 'residential' THEN 20 WHEN 'unclassified' THEN 21 WHEN 'service' THEN 30 ELSE 50 END AS rank FROM (SELECT u, v, class, max(length) AS length FROM roads GROUP BY 1, 2, 3))
 SELECT * FROM r ORDER BY rank, length DESC, u, v LIMIT 300
 """)
 def q91_main_roads(spark: SparkSession, sf_dir: str) -> DataFrame:

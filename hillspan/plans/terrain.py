@@ -9,6 +9,7 @@ from ..functions.physics import descent
 from ..operators import demand as D
 from ..operators import geo as G
 from ..operators import land as L
+from ..operators import polygons as Y
 from ..operators import profile as P
 from ..operators import reports as R
 from ..operators import terrain as T
@@ -261,3 +262,90 @@ def q192_prepared_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = T.dem_window(t, -10.0, -10.0, 20.0, 20.0)
     people = whole.select("col", "row", ((F.floor(F.col("col") / 4) * 3 + F.floor(-F.col("row") / 2)) % 5).cast("double").alias("z"))
     return T.prepared(t, people, config)[1]
+
+
+#: Land of each nation: a band along a row of its customers' orders, whose shores are ragged and which has a lake in the middle half, as rings of many edges; and lakes of its own.
+_BAND = """
+seq AS (SELECT CAST(c_nationkey AS BIGINT) AS poly, o_custkey AS c, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY c_nationkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey),
+shore AS (SELECT poly, r, k, n, k * 1000.0::DOUBLE / n AS x, poly * 40.0::DOUBLE + y AS y FROM seq, LATERAL (VALUES (0, CAST(c % 9 AS DOUBLE)), (1, 30.0::DOUBLE + c % 7), (2, 12.0::DOUBLE + c % 4), (3, 20.0::DOUBLE + c % 5)) t(r, y) WHERE r < 2 OR (4 * k >= n AND 4 * k <= 3 * n)),
+line AS (SELECT poly, r // 2 AS ring, CASE WHEN r % 2 = 0 THEN k ELSE 2 * n + 1 - k END AS s, x, y FROM shore),
+band AS (SELECT poly, ring, x AS ax, y AS ay, coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS b_y FROM line WINDOW w AS (PARTITION BY poly, ring ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """poly, number and ring of each nation's land (number 0) and of the lake in it (number 1)."""
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").cast("long").alias("poly"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), "o_orderkey").join(c, "c")
+    w = Window.partitionBy("poly")
+    k, n = F.col("k"), F.col("n")
+    o = o.select("poly", "c", F.row_number().over(w.orderBy("o_orderkey")).cast("long").alias("k"), F.count("*").over(w).alias("n"))
+    heights = (F.col("c") % 9, 30 + F.col("c") % 7, 12 + F.col("c") % 4, 20 + F.col("c") % 5)
+    at = o.select("poly", "k", "n", F.posexplode(F.array(*heights)).alias("r", "y")).where((F.col("r") < 2) | ((4 * k >= n) & (4 * k <= 3 * n)))
+    step = F.when(F.col("r") % 2 == 0, k).otherwise(2 * n + 1 - k)
+    point = F.struct(step.alias("s"), (k * 1000.0 / n).alias("x"), (F.col("poly") * 40.0 + F.col("y")).alias("y"))
+    line = at.groupBy("poly", F.floor(F.col("r") / 2).alias("number")).agg(F.sort_array(F.collect_list(point)).alias("p"))
+    return line.select("poly", "number", F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("ring"))
+
+
+_XY = "p AS (SELECT id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM points)"
+
+
+@query(f"""
+WITH {_BAND}, {POINTS}, {_XY}
+SELECT id, poly FROM p JOIN band ON y >= poly * 40 AND y < poly * 40 + 40 GROUP BY 1, 2 HAVING count(*) FILTER (WHERE (ay > y) <> (b_y > y) AND x < (bx - ax) * (y - ay) / nullif(b_y - ay, 0) + ax) % 2 = 1
+""")
+def q194_points_in_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in the lands of nations, whose shores have an edge for each order, by the index of cells."""
+    p = points(spark, sf_dir).select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return Y.containing(p, "id", Y.polygon_index(Y.ring_edges(bands(spark, sf_dir)), 8.0), 8.0).select("id", "poly")
+
+
+@query(f"""
+WITH {_BAND}, {POINTS}, {_XY},
+t AS (SELECT id, poly, ring, x, y, ax, ay, bx, b_y, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)))) AS t FROM p JOIN band ON y >= poly * 40 - 3 AND y < poly * 40 + 43),
+r AS (SELECT id, poly, ring, count(*) FILTER (WHERE (ay > y) <> (b_y > y) AND x < (bx - ax) * (y - ay) / nullif(b_y - ay, 0) + ax) % 2 = 1 AS inside, min((x - (ax + t * (bx - ax))) * (x - (ax + t * (bx - ax))) + (y - (ay + t * (b_y - ay))) * (y - (ay + t * (b_y - ay)))) AS d2 FROM t GROUP BY 1, 2, 3),
+f AS (SELECT id, bool_or(ring = 0 AND (inside OR d2 <= 4)) AS firm, bool_or(ring = 1 AND inside AND NOT d2 <= 2.25) AS wet FROM r GROUP BY 1)
+SELECT id, coalesce(firm AND NOT wet, false) AS on_land FROM p LEFT JOIN f USING (id)
+""")
+def q195_land_mask_of_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers on land grown by 2, and not in a lake shrunk by 1.5: the lands' outer rings, and their inner ones as lakes."""
+    p = points(spark, sf_dir).select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    b = bands(spark, sf_dir)
+    return Y.land_mask(p, "id", b.where("number = 0"), b.where("number = 1"), 2.0, 1.5, 8.0)
+
+
+#: A yard about each customer's point, with a hole and a notch, and a nation's estate of three wings; all corners are whole numbers.
+_YARD = [[(0, 0), (12, 0), (12, 4), (9, 4), (9, 7), (12, 7), (12, 10), (0, 10)], [(3, 3), (3, 6), (6, 6), (6, 3)]]
+_ESTATE = [[(0, 0), (90, 0), (90, 30), (60, 30), (60, 60), (90, 60), (90, 90), (0, 90), (0, 60), (30, 60), (30, 30), (0, 30)], [(10, 10), (80, 10), (80, 20), (10, 20)], [(35, 70), (55, 70), (55, 80), (35, 80)]]
+#: Unit cells of a shape: those whose middle an odd number of its upright edges have to their right.
+_CELLS = lambda rings, n: ", ".join(f"({i}, {j})" for i in range(n) for j in range(n) if sum(((a[1] > j + 0.5) != (b[1] > j + 0.5)) and i + 0.5 < a[0] for r in rings for a, b in zip(r, r[1:] + r[:1], strict=True)) % 2)
+_SHAPES = f"{POINTS}, yard(i, j) AS (VALUES {_CELLS(_YARD, 12)}), estate(i, j) AS (VALUES {_CELLS(_ESTATE, 90)}), y AS (SELECT id AS a, x + i AS i, y + j AS j FROM points, yard), e AS (SELECT CAST(n_nationkey AS BIGINT) AS b, n_nationkey % 5 * 200 + i AS i, n_nationkey // 5 * 200 + j AS j FROM nation, estate)"
+
+
+def _shape(rings: list[list[tuple[int, int]]], x: F.Column, y: F.Column) -> F.Column:
+    return F.explode(F.array(*(F.array(*(F.struct((x + a).cast("double").alias("x"), (y + b).cast("double").alias("y")) for a, b in r)) for r in rings)))
+
+
+def yards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select(F.col("id").alias("poly"), _shape(_YARD, F.col("x"), F.col("y")).alias("ring"))
+
+
+def estates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey").cast("long")
+    return table(spark, sf_dir, "nation").select(k.alias("poly"), _shape(_ESTATE, k % 5 * 200, F.floor(k / 5) * 200).alias("ring"))
+
+
+@query(f"WITH {_SHAPES} SELECT a, b, CAST(count(*) AS DOUBLE) AS area FROM y JOIN e USING (i, j) GROUP BY 1, 2")
+def q196_shared_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each customer's yard and each nation's estate have in common, both with holes and notches."""
+    cut = Y.intersection(yards(spark, sf_dir), estates(spark, sf_dir), 16.0)
+    return cut.groupBy("a", "b").agg(F.sum(Y.trapezoid_area()).alias("area"))
+
+
+@query(f"WITH {_SHAPES} SELECT a, CAST(count(*) AS DOUBLE) AS area FROM y ANTI JOIN e USING (i, j) GROUP BY 1")
+def q197_area_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each customer's yard without the nations' estates."""
+    cut = Y.difference(yards(spark, sf_dir), estates(spark, sf_dir), 16.0)
+    return cut.groupBy("a").agg(F.sum(Y.trapezoid_area()).alias("area"))
