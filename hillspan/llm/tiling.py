@@ -13,7 +13,6 @@ if the tiles of an item, in any order, cover COVERAGE of its tokens.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,55 +85,93 @@ def _opened(data: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, decompressed_size=(1 << FILTER_BITS) // 8, codec="zstd", asbytes=True), np.uint8)
 
 
+class _Side:
+    """The tokens of one text that may be in a tile, as numbers; a negative number stands between runs of them. at: their places in the text, free: not marked yet."""
+
+    def __init__(self, ids: np.ndarray, kept: np.ndarray, gap: int):
+        at = np.flatnonzero(kept)
+        gaps = np.flatnonzero(np.diff(at) > 1) + 1
+        self.at, self.ids = np.insert(at, gaps, -1), np.insert(ids[at], gaps, gap)
+        self.values, self.free = self.ids.astype(np.int64).view(U64), self.at >= 0
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and places of all runs of n unmarked tokens."""
+        taken = np.concatenate([[0], np.cumsum(~self.free)])
+        at = np.flatnonzero(taken[n:] == taken[:-n])
+        return windows(self.values, n, 0)[at], at
+
+    def mark(self, i: int, n: int) -> None:
+        self.free[i : i + n] = False
+
+
 def tile(item: list[str], document: list[str], shortest: int = SEED) -> list[tuple[int, int, int]]:
-    """Tiles (start in item, start in document, length) of greedy string tiling; of equal lengths the first in the item, then in the document."""
+    """Tiles (start in item, start in document, length) of greedy string tiling; of equal lengths the first in the item, then in the document.
+
+    A length at which the texts have unmarked tokens in common is looked for by halving, with running hashes; all its tiles are
+    marked in one pass, in which a window's next free place only moves on. So work is in proportion to the tokens for each
+    length that has a tile, whatever repeats, and no pairs of places are held.
+    """
     vocabulary: dict[str, int] = {}
-    a, b = ([vocabulary.setdefault(x, len(vocabulary)) for x in words] for words in (item, document))
-    free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
-    tiles: list[tuple[int, int, int]] = []
-    length = min(len(a), len(b))
-    if length < shortest:
+    both = [np.array([vocabulary.setdefault(x, len(vocabulary)) for x in words], np.int64) for words in (item, document)]
+    if min(map(len, both)) < shortest:
         return []
-    first = np.array(a, np.int64), np.array(b, np.int64)
-    while length >= shortest:
-        # of unmarked tokens; none has as many as the length before
-        found = _matches(first, (free_a, free_b), a, b, length)
-        if found:
-            longest = max(n for n, *_ in found)
-            for _, i, j in sorted(x for x in found if x[0] == longest):
-                if free_a[i : i + longest].all() and free_b[j : j + longest].all():
-                    free_a[i : i + longest] = free_b[j : j + longest] = False
-                    tiles.append((i, j, longest))
-            continue  # what is left of an occluded match may be as long as any other
-        length = max(shortest, length // 2) if length > shortest else shortest - 1
+    hashes = [windows(x.view(U64), shortest, 0) for x in both]
+    sides = []
+    for x, own, other, gap in zip(both, hashes, hashes[::-1], (-1, -2), strict=True):
+        edge = np.zeros(len(x) + 1, np.int64)
+        hit = np.isin(own, other)
+        edge[:-shortest] += hit
+        edge[shortest:] -= hit
+        sides.append(_Side(x, np.cumsum(edge)[:-1] > 0, gap))
+    a, b = sides
+    tiles: list[tuple[int, int, int]] = []
+    most = min(len(a.ids), len(b.ids))
+    while most >= shortest:
+        length, most = _longest(a, b, shortest, most), 0
+        if length:
+            tiles += [(int(a.at[i]), int(b.at[j]), length) for i, j in _marked(a, b, length)]
+            most = length - 1
     return tiles
 
 
-def _matches(ids: tuple[np.ndarray, np.ndarray], free: tuple[np.ndarray, np.ndarray], a: list[int], b: list[int], s: int) -> list[tuple[int, int, int]]:
-    """Maximal matches (length, start in a, start in b) of s or more unmarked tokens, by the running hashes of s tokens."""
-    where = defaultdict(list)
-    hashes = []
-    for x, f in zip(ids, free, strict=True):
-        whole = np.convolve(f, np.ones(s, int), "valid") == s if len(x) >= s else np.zeros(0, bool)
-        hashes.append((windows(x.astype(U64), s, 0), np.flatnonzero(whole)))
-    h, at = hashes[0]
-    for i in at.tolist():
-        where[int(h[i])].append(i)
-    h, at = hashes[1]
-    if not where or not len(at):
-        return []
-    at = at[np.isin(h[at], np.array(list(where), U64))]
-    found, done = [], set()
-    for j in at.tolist():
-        for i in where[int(h[j])]:
-            if (i, j) in done or a[i : i + s] != b[j : j + s]:
-                continue
-            n = 0
-            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free[0][i + n] and free[1][j + n]:
-                done.add((i + n, j + n))
-                n += 1
-            found.append((n, i, j))
-    return found
+def _longest(a: _Side, b: _Side, shortest: int, most: int) -> int:
+    """The most tokens that both sides have unmarked in a row, up to most; 0 if fewer than shortest."""
+    low, high = shortest - 1, most  # a run of low is known, one of more than high is not there
+    step = shortest
+    while low < high:
+        if np.isin(a.windows(step)[0], b.windows(step)[0]).any():
+            low = step
+        else:
+            high = step - 1
+        step = (low + high + 1) // 2
+    return low if low >= shortest else 0
+
+
+def _marked(a: _Side, b: _Side, n: int) -> Iterator[tuple[int, int]]:
+    """Marks matches of n unmarked tokens, the first in a with the first in b, until none is left."""
+    (ha, at_a), (hb, at_b) = a.windows(n), b.windows(n)
+    order = np.argsort(hb, kind="stable")
+    sorted_b = hb[order]
+    begin, end = np.searchsorted(sorted_b, ha), np.searchsorted(sorted_b, ha, side="right")
+    places = at_b[order]
+    following: dict[int, int] = {}  # where a hash's next place may be
+    until = 0
+    for i, lo, hi in zip(at_a.tolist(), begin.tolist(), end.tolist(), strict=True):
+        if i < until or lo == hi:
+            continue
+        k = following.get(lo, lo)
+        while k < hi:
+            j = int(places[k])
+            # a window is free if its ends are: tiles of this pass are as long, longer ones were before
+            if b.free[j] and b.free[j + n - 1]:
+                break
+            k += 1
+        following[lo] = k
+        if k < hi and (a.ids[i : i + n] == b.ids[j : j + n]).all():
+            a.mark(i, n)
+            b.mark(j, n)
+            until = i + n
+            yield i, j
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED) -> DataFrame:
@@ -142,7 +179,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
 
     row_hash is xxhash64(doc_id, text) of the row. Items of fewer tokens than a seed, null and empty ones match nothing; rows
     of equal ids are rows apart, and items of equal ids and texts count once. Texts of any length are tiled whole. Empty
-    tables: no rows.
+    tables and tables of nulls: no rows.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item")).distinct()
     items = checkpointed(items.withColumn("item_key", F.xxhash64("item_id", "item")))
@@ -178,10 +215,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
     ranked = index.join(often, "seed", "left").withColumn("rank", F.row_number().over(Window.partitionBy("item_key").orderBy(F.coalesce("often", F.lit(0)), "seed", "place")))
     rare = ranked.where(F.col("often").isNotNull() & (F.col("rank") <= F.col("size") - seed + 1 - need + 1)).select("seed", "item_key").distinct()
     pairs = checkpointed(found.join(rare, "seed").select("row", "item_key").distinct())
-    whole = index.groupBy("item_key").agg(F.collect_list("seed").alias("item_seeds"), F.first("size").alias("size"))
-    shared = pairs.join(kept.select("row", "seeds"), "row").join(whole, "item_key")
-    n = F.size(F.filter("item_seeds", lambda x: F.array_contains("seeds", x)))
-    pairs = checkpointed(shared.where(n * seed >= F.col("size") * coverage).select("row", "item_key"))
+    places = index.groupBy("item_key", "seed").agg(F.count("*").alias("places"), F.first("size").alias("size"))
+    shared = pairs.join(found, "row").join(places, ["item_key", "seed"]).groupBy("row", "item_key").agg(F.sum("places").alias("n"), F.first("size").alias("size"))
+    pairs = checkpointed(shared.where(F.col("n") * seed >= F.col("size") * coverage).select("row", "item_key"))
     joined = pairs.join(kept.drop("seeds"), "row").join(items, "item_key").select("doc_id", "item_id", "row_hash", "tokens", "item")
 
     def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -102,3 +102,24 @@ def test_slices_hold_all_rows():
     parts = [p.column(0).to_pylist() for p in slices(b, 1, 10)]
     assert sum(parts, []) == list(range(8)) and parts[0] == [0, 1]
     assert list(slices(b.slice(0, 0), 1)) == []
+
+
+def test_texts_of_one_token_take_little():
+    """Greedy tiling of 2,000 and 100,000 equal tokens, and of a phrase that repeats: no pairs of places are held."""
+    import time
+    import tracemalloc
+
+    for item, document in ((["a"] * 2000, ["a"] * 100_000), ("a b c d e f g".split() * 280, "a b c d e f g x".split() * 12_000), (["a"] * 1000 + ["b"] * 1000, ["a", "a", "a", "a", "a", "b"] * 16_000)):
+        tracemalloc.start()
+        began = time.perf_counter()
+        tiles = tile(item, document)
+        took, (_, peak) = time.perf_counter() - began, tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert tiles and took < 20 and peak < 200e6  # tracing itself takes most of the time
+        assert len({k for i, _, n in tiles for k in range(i, i + n)}) == sum(n for *_, n in tiles)
+
+
+@given(st.lists(st.sampled_from("ab"), max_size=30), st.lists(st.sampled_from("ab"), max_size=60), st.integers(1, 5))
+@settings(max_examples=300, deadline=None)
+def test_repeating_texts_equal_brute_force(a, b, shortest):
+    assert tile(a, b, shortest) == brute_tile(a, b, shortest)
