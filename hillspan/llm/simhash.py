@@ -24,7 +24,7 @@ from .shared import checkpointed, in_arrow, unused
 from .shingles import SIMILARITY, alike
 
 SHINGLE, RADIUS = 3, 2
-#: Distinct fingerprints that the shards' tree is fitted on, at least and at most, and a 64th of all between; fingerprints of a shard, about; of a leaf.
+#: Distinct fingerprints that the shards' tree is fitted on, about: at least and at most, and a 64th of all between; fingerprints of a shard, about; of a leaf.
 SAMPLE, MOST_SAMPLE, SHARD, LEAF = 20_000, 500_000, 4096, 128
 #: Shingles of a text that are held at a time; queries that a leaf answers at a time; fingerprints that are dealt to shards at a time.
 PIECE, QUERIES, ROUTED = 1 << 15, 1 << 13, 1 << 16
@@ -159,7 +159,10 @@ def _joined(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[np.ndarra
 def linked_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (u, v) that connect all of distinct (fp) that lie within radius of one another, directly or through others."""
     n = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("fp")).limit(min(MOST_SAMPLE, max(SAMPLE, n // 64))).toPandas()["fp"].to_numpy(np.int64)
+    # those with a small hash, about as many as wanted: nothing is sorted, no task meets all
+    share = min(MOST_SAMPLE, max(SAMPLE, n // 64)) / max(n, 1)
+    few = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = np.sort(few.toPandas()["fp"].to_numpy(np.int64))
     tree = VantageTree(sample.view(np.uint64), max(1, len(sample) * SHARD // max(n, SHARD)))
     schema = "shard int, fp long, home boolean"
 
