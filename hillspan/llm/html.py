@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,10 @@ RUN, PAGES, SHARE = 4, 3, 0.05
 COVERED, LEFT = 0.9, 0.2
 #: Tokens of other blocks to one of the article's or main element's beyond which that is a teaser.
 TEASER = 2
-#: Bytes of a chunk of pages, at least and at most, and about a sixteenth of all pages between.
-LEAST_CHUNK, CHUNK = 1 << 20, 8 << 20
+#: Bytes of a chunk of pages, at least and at most, and about a sixteenth of all pages between; pages of a large host's chunk, about, at least.
+LEAST_CHUNK, CHUNK, CHUNK_PAGES = 1 << 20, 8 << 20, 120
+#: Rows that a large host's substrings come in.
+PIECES = 64
 RESULT = "page_id long, url string, text string, n_chars long"
 #: Marks of blocks.
 ARTICLE, MAIN, PLAIN, CUED = 0, 1, 2, 3
@@ -82,6 +85,9 @@ def blocks(page: str) -> list[tuple[int, str]]:
     held: list[str] = []
     #: Open containers: name, whether it is an article, a main element, boilerplate.
     stack: list[tuple[str, bool, bool, bool]] = []
+    #: How many of a name are open, and the places of the boilerplate in the stack: no tag looks through the stack.
+    opened: Counter[str] = Counter()
+    cued_at: list[int] = []
     articles = mains = cues = links = 0
     linked = total = at = 0
 
@@ -105,10 +111,13 @@ def blocks(page: str) -> list[tuple[int, str]]:
     def pop(to: int) -> None:
         nonlocal articles, mains, cues
         while len(stack) > to:
-            _, article, inside, cue = stack.pop()
+            name, article, inside, cue = stack.pop()
+            opened[name] -= 1
             articles -= article
             mains -= inside
             cues -= cue
+            if cue:
+                cued_at.pop()
 
     end = len(page)
     while at < end:
@@ -132,11 +141,12 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if name in VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    flush()
-                    pop(i)
-                    break
+            if opened[name]:
+                flush()
+                i = len(stack) - 1
+                while stack[i][0] != name:  # all of these are closed with it
+                    i -= 1
+                pop(i)
             continue
         if name in RAW:
             if attributes.endswith("/"):
@@ -147,17 +157,17 @@ def blocks(page: str) -> list[tuple[int, str]]:
         article, inside = name == "article", name == "main" or (bool(attributes) and 'role="main"' in attributes.lower())
         cue = _cued(name, attributes, articles + mains > 0)
         if (article or inside) and not cue and cues and not articles + mains:
-            for i, x in enumerate(stack):  # a menu or form left open does not hold the article
-                if x[3]:
-                    if x[0] in ("nav", "form", "header", "footer"):
-                        pop(i)
-                    break
+            if stack[cued_at[0]][0] in ("nav", "form", "header", "footer"):  # a menu or form left open does not hold the article
+                pop(cued_at[0])
         if name in BLOCKS or cue or article or inside:
             if name == "p" and not cue and not inside:
                 continue
             if cue and name not in BLOCKS:
                 flush()
+            if cue:
+                cued_at.append(len(stack))
             stack.append((name, article, inside, cue))
+            opened[name] += 1
             articles += article
             mains += inside
             cues += cue
@@ -187,16 +197,6 @@ def suffix_array(symbols: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]
     return np.argsort(rank, kind="stable"), rank
 
 
-def suffix_array(symbols: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes ordered by their first run symbols, and the class of equal ones for each suffix, by doubling; suffixes shorter than run are left out."""
-    _, rank = grouped(symbols)
-    span = 1
-    while span < run:
-        rank = grouped(rank[:-span] * np.int64(len(symbols)) + rank[span:])[1] if len(rank) > span else np.zeros(0, np.int64)
-        span *= 2
-    return np.argsort(rank, kind="stable"), rank
-
-
 class _Streams:
     """The token streams of a chunk of pages, in the order of (page_id, url, blob)."""
 
@@ -296,10 +296,12 @@ def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataF
     columns = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     keyed = columns.select("page_id", "url", F.xxhash64("page_id", "url").alias("page"), F.xxhash64(host).alias("host"), "html")
-    sizes = checkpointed(keyed.groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes")))
+    sizes = checkpointed(keyed.groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes"), F.count("*").alias("rows")))
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     chunk = max(LEAST_CHUNK, min(CHUNK, total // 16))
-    large = checkpointed(sizes.where(F.col("bytes") > chunk).select("host", F.ceil(F.col("bytes") * 2 / chunk).alias("parts")))
+    # what is on a share of a host's pages is on that share of a chunk's; a chunk has so many pages that this says something
+    parts = F.greatest(F.lit(1), F.least(F.ceil(F.col("bytes") * 2 / chunk), F.floor(F.col("rows") / CHUNK_PAGES)))
+    large = checkpointed(sizes.where(F.col("bytes") > chunk).select("host", parts.alias("parts")))
     dealt = keyed.join(broadcast_if_few(large), "host", "left")
     # small hosts share bins, whole; a large host has chunks of its own
     small = dealt.where("parts is null").withColumn("chunk", F.pmod(F.col("host"), F.lit(2 * total // chunk + 1)))
@@ -328,8 +330,8 @@ def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataF
         s = _Streams(t)
         order, begin, pages, _ = s.classes()
         n = int(s.of_host[0])
-        # a host of fewer pages than least / share has the bound least, of which a chunk may see one page
-        often = pages >= (share * n if share * n >= least else 1)
+        # on share of the host's pages or more (least is no fewer where it is the bound), so on share of some chunk's
+        often = pages >= share * n
         return pa.table({"chunk": t.column("chunk")[:1], "host": t.column("host")[:1], "pages": pa.array([n], pa.int64()), "grams": pa.array([s.grams(order[begin[often]]).view(np.int64)], pa.list_(pa.int64()))})
 
     def count(t: pa.Table, asked: pa.Table) -> pa.Table:
@@ -348,10 +350,11 @@ def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataF
 
     proposed = checkpointed(by_chunk.applyInArrow(propose, "chunk long, host long, pages long, grams array<long>"))
     chunks = proposed.select("chunk", "host")
-    candidates = proposed.select("host", F.explode("grams").alias("gram")).groupBy("host").agg(F.collect_set("gram").alias("grams"))
+    piece = F.pmod("gram", F.lit(PIECES)).alias("piece")
+    candidates = proposed.select("host", F.explode("grams").alias("gram")).groupBy("host", piece).agg(F.collect_set("gram").alias("grams"))
     counted = by_chunk.cogroup(_to_chunks(chunks, candidates).groupBy("chunk")).applyInArrow(count, "host long, gram long, n long")
     counted = counted.groupBy("host", "gram").agg(F.sum("n").alias("n")).join(proposed.groupBy("host").agg(F.sum("pages").alias("pages")), "host")
-    frequent = counted.where(F.col("n") >= F.greatest(F.lit(least), F.ceil(F.col("pages") * share))).groupBy("host").agg(F.collect_list("gram").alias("grams"))
+    frequent = counted.where(F.col("n") >= F.greatest(F.lit(least), F.ceil(F.col("pages") * share))).groupBy("host", piece).agg(F.collect_list("gram").alias("grams"))
     return out.unionByName(by_chunk.cogroup(_to_chunks(chunks, frequent).groupBy("chunk")).applyInArrow(finish, RESULT))
 
 

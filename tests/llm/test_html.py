@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hillspan.llm import html
 from hillspan.llm.html import ARTICLE, CUED, MAIN, PLAIN, RUN, blocks, extract, suffix_array
@@ -94,6 +96,7 @@ def test_suffix_array_equals_sorted_suffixes():
 def test_repeats_equal_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(html, "CHUNK", chunk)
     monkeypatch.setattr(html, "LEAST_CHUNK", chunk)
+    monkeypatch.setattr(html, "CHUNK_PAGES", 4)
     r = random.Random(6)
     text = lambda n: " ".join("".join(r.choices("abcdefgé", k=3)) for _ in range(n))
     notices = [text(n) for n in (5, 8, 11, 30)]
@@ -141,3 +144,21 @@ def test_bundled_pages_give_their_articles(spark):
     for p in pages.collect():
         inner = re.search(r"<article>(.*?)(?:</article>|$)", p.html, re.DOTALL)[1]
         assert got[p.page_id].split() == re.sub(r"<[^>]*>", " ", inner).replace("&amp;", "&").replace("&quot;", '"').split()
+
+
+def test_tags_that_do_not_match_take_time_in_proportion():
+    n = 100_000
+    pages = ("<div>" * n + "</p></i></section>" * n + "text", "<aside>" + "<div>" * n + "<article>a</article>" * n, "<nav>" + "<article>b</article>" * n, "<div><p>" * n + "</div>" * n + "text")
+    began = time.perf_counter()
+    found = [blocks(x) for x in pages]
+    assert time.perf_counter() - began < 30 and found[0] == [(2, "text")] and len(found[1]) == n
+
+
+def test_a_host_of_large_pages(spark):
+    """Pages of 80 KB: what is common to a twentieth of them goes, wherever the host's chunks begin."""
+    filler = lambda i, n: F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: F.concat(F.lit("w"), F.conv(F.abs(F.xxhash64("id", k, F.lit(i))).cast("string"), 10, 36))))
+    rare, often = "<div>one line that some of the pages have in them</div>", "<div>another line that many of the pages have in them</div>"
+    html = F.concat(F.lit("<div>"), filler(1, 3000), F.lit("</div>"), F.when(F.col("id") % 40 == 0, F.lit(rare)).otherwise(F.lit("")), F.when(F.col("id") % 10 == 0, F.lit(often)).otherwise(F.lit("")), F.lit("<div>"), filler(2, 3000), F.lit("</div>"))
+    pages = spark.range(800).repartition(8).select(F.col("id").alias("page_id"), F.concat(F.lit("https://large.example/"), "id").alias("url"), html.alias("html"))
+    r = extract(pages).agg(F.count("*").alias("n"), F.count_if(F.contains("text", F.lit("one line that"))).alias("rare"), F.count_if(F.contains("text", F.lit("another line"))).alias("often")).first()
+    assert (r.n, r.rare, r.often) == (800, 20, 0)
