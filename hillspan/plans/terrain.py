@@ -12,6 +12,7 @@ from ..operators import land as L
 from ..operators import polygons as Y
 from ..operators import profile as P
 from ..operators import reports as R
+from ..operators import rings as S
 from ..operators import terrain as T
 from ..operators.studies import reading_margin
 from ..sources.folders import new_folder
@@ -349,3 +350,25 @@ def q197_area_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each customer's yard without the nations' estates."""
     cut = Y.difference(yards(spark, sf_dir), estates(spark, sf_dir), 16.0)
     return cut.groupBy("a").agg(F.sum(Y.trapezoid_area()).alias("area"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS c, o_orderkey AS way, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_custkey) AS m, count(*) FILTER (WHERE o_orderkey % 37 = 0) OVER (PARTITION BY o_custkey) AS gone FROM orders)
+SELECT min(way) AS ring, count(*) AS n_ways, 2 * count(*) AS n_points, CAST(sum(CASE WHEN k < m - 1 THEN 4 * k * (k + 1) * (k + 1) - 4 * (k + 1) * k * k ELSE 0 END) + 0 AS DOUBLE) / 2 AS area FROM o WHERE gone = 0 AND m > 2 GROUP BY c
+""")
+def q198_rings_of_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings of customers' orders, each a way with a bend, drawn in either direction; a customer with an order missing has none."""
+    from pyspark.sql import Window
+
+    k, m, c = F.col("k"), F.col("m"), F.col("o_custkey")
+    w = Window.partitionBy("o_custkey")
+    o = table(spark, sf_dir, "orders").select(c, F.col("o_orderkey").alias("way"), (F.row_number().over(w.orderBy("o_orderkey")) - 1).cast("long").alias("k"), F.count("*").over(w).alias("m"))
+    o = o.where("way % 37 <> 0").withColumn("l", (k + 1) % m)
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    corner = lambda i: at(2 * i, 2 * i * i)
+    line = F.array(corner(k), at(k + F.col("l"), k * k + F.col("l") * F.col("l")), corner(F.col("l")))
+    a, b = c * 10_000 + k, c * 10_000 + F.col("l")
+    turned = F.col("way") % 2 == 1
+    ways = o.where("m > 2").select("way", F.when(turned, b).otherwise(a).alias("a"), F.when(turned, a).otherwise(b).alias("b"), F.when(turned, F.reverse(line)).otherwise(line).alias("points"))
+    r = S.stitched(ways)
+    return r.select("ring", "n_ways", F.size("points").cast("long").alias("n_points"), L.ring_area(F.col("points")).alias("area"))
