@@ -137,8 +137,9 @@ def smoothed(cells: DataFrame, kernel: Sequence[float], group: Sequence[str] = (
     out = cells.select(*group, "col", "row", F.when(known, F.col("z")).otherwise(0.0).alias("_a"), known.cast("double").alias("_b"))
     for along in ("col", "row"):
         moved_ = out.withColumn("_k", F.explode(spread)).withColumn(along, (F.col(along) + F.col("_k.o")).cast(out.schema[along].dataType))
-        sums = moved_.groupBy(*group, "col", "row").agg(F.sum(F.col("_a") * F.col("_k.w")).alias("_a"), F.sum(F.col("_b") * F.col("_k.w")).alias("_b"))
-        out = sums.join(cells.select(*group, "col", "row"), [*group, "col", "row"], "left_semi")
+        out = moved_.groupBy(*group, "col", "row").agg(F.sum(F.col("_a") * F.col("_k.w")).alias("_a"), F.sum(F.col("_b") * F.col("_k.w")).alias("_b"))
+    # a ragged raster's pixels get their share over places beside it, so these go at the end
+    out = out.join(cells.select(*group, "col", "row"), [*group, "col", "row"], "left_semi")
     return out.select(*group, "col", "row", F.try_divide("_a", "_b").alias("z"))
 
 

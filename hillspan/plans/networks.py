@@ -363,12 +363,19 @@ def q65_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.strong_components(a.unionByName(table(spark, sf_dir, "nation").select(k.alias("u"), (k * 2).alias("v"))))
 
 
-_RASTER = "raster AS (SELECT i AS col, j AS row, CASE WHEN (i * 7 + j * 3) % 11 <> 0 THEN CAST((i * 31 + j * 17) % 64 AS DOUBLE) END AS z FROM (SELECT unnest(generate_series(0, 29)) AS i), (SELECT unnest(generate_series(0, 19)) AS j))"
+#: A raster of a pixel for each part, 30 in a row.
+_RASTER = "raster AS (SELECT col, row, CASE WHEN (col * 7 + row * 3) % 11 <> 0 THEN CAST((col * 31 + row * 17) % 64 + p_size AS DOUBLE) END AS z FROM (SELECT p_partkey % 30 AS col, p_partkey // 30 AS row, p_size FROM part))"
 
 
-def raster(spark: SparkSession) -> DataFrame:
-    i, j = F.col("id") % 30, F.floor(F.col("id") / 30)
-    return spark.range(600).select(i.alias("col"), j.alias("row"), F.when((i * 7 + j * 3) % 11 != 0, ((i * 31 + j * 17) % 64).cast("double")).alias("z"))
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """col, row and size of each part's pixel."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select((k % 30).alias("col"), F.floor(k / 30).alias("row"), F.col("p_size").alias("size"))
+
+
+def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, j = F.col("col"), F.col("row")
+    return pixels(spark, sf_dir).select("col", "row", F.when((i * 7 + j * 3) % 11 != 0, ((i * 31 + j * 17) % 64 + F.col("size")).cast("double")).alias("z"))
 
 
 @query(f"""
@@ -380,7 +387,7 @@ def q70_raster_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarters of pixels: every product and sum is exact."""
     k = F.col("c_custkey")
     pts = table(spark, sf_dir, "customer").select(k.alias("id"), ((k % 120) / 4.0).alias("col"), ((k % 77) / 4.0).alias("row"))
-    return G.sample(raster(spark), pts, "id")
+    return G.sample(raster(spark, sf_dir), pts, "id")
 
 
 @query(f"""
@@ -389,7 +396,7 @@ s AS (SELECT x.col, x.row, sum(y.a * k.w * l.w) AS a, sum(y.b * k.w * l.w) AS b
 SELECT col, row, a / nullif(b, 0) AS z FROM s
 """)
 def q71_raster_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.smoothed(raster(spark), [0.25, 0.5, 0.25])
+    return G.smoothed(raster(spark, sf_dir), [0.25, 0.5, 0.25])
 
 
 @query("""

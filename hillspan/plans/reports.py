@@ -519,14 +519,14 @@ def q171_weighted_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT (k * 250)::BIGINT AS distance, a AS angle, (k * 7 + a) % 13 <> 0 AND k < 9 + a // 90 AS ok FROM (SELECT unnest(generate_series(1, 12)) AS k), (VALUES (0), (90), (180), (270)) t(a)),
+WITH c AS (SELECT (c_custkey % 12 + 1) * 250 AS distance, c_custkey // 12 % 4 * 90 AS angle, min(c_acctbal) < 0 AND c_custkey % 12 < 8 + c_custkey // 12 % 4 AS ok FROM customer GROUP BY c_custkey % 12, c_custkey // 12 % 4),
 s AS (SELECT min(distance) AS stop FROM (SELECT distance FROM c GROUP BY 1 HAVING NOT bool_or(ok)))
 SELECT distance, angle FROM c, s WHERE ok AND (stop IS NULL OR distance < stop)
 """)
 def q172_admissible_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, a = F.col("k"), F.col("angle")
-    c = spark.range(1, 13).withColumnRenamed("id", "k").withColumn("angle", F.explode(F.array(*(F.lit(x) for x in (0, 90, 180, 270)))))
-    c = c.select((k * 250).alias("distance"), "angle", (((k * 7 + a) % 13 != 0) & (k < 9 + F.floor(a / 90))).alias("ok"))
+    key = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").groupBy((key % 12).alias("k"), (F.floor(key / 12) % 4).alias("a")).agg(F.min("c_acctbal").alias("least"))
+    c = c.select(((F.col("k") + 1) * 250).alias("distance"), (F.col("a") * 90).alias("angle"), ((F.col("least") < 0) & (F.col("k") < 8 + F.col("a"))).alias("ok"))
     return G.admissible_distances(c, "distance", "ok").select("distance", "angle")
 
 
@@ -537,10 +537,10 @@ def q173_no_more_costly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "city").where((c("a") != c("b")) & K.no_more_costly(c("da"), c("ha"), c("db"), c("hb"), 1000.0, 60000.0, 0.01)).select("city", "a", "b")
 
 
-@query("SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n, CASE WHEN count(*) > 1 THEN stddev_samp(x) ELSE 0 END IS NOT NULL AS known FROM (SELECT c_nationkey, CAST(c_custkey % 8 AS DOUBLE) AS x FROM customer) GROUP BY 1")
+@query("SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n, CAST(floor(CASE WHEN count(*) > 1 THEN stddev_samp(x) ELSE 0 END * 1e6) AS BIGINT) AS millionths FROM (SELECT c_nationkey, CAST(c_custkey % 8 AS DOUBLE) AS x FROM customer) GROUP BY 1")
 def q174_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = (F.col("c_custkey") % 8).cast("double")
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), S.sample_or_population_sd(x).isNotNull().alias("known"))
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.floor(S.sample_or_population_sd(x) * 1e6).alias("millionths"))
 
 
 @query("SELECT p_partkey, floor(radians(lon) * 6378137.0::DOUBLE) AS x, floor(ln(tan(3.141592653589793::DOUBLE / 4 + radians(lat) / 2)) * 6378137.0::DOUBLE) AS y FROM (SELECT p_partkey, p_partkey % 350 - 175.0::DOUBLE AS lon, p_partkey % 160 - 80.0::DOUBLE AS lat FROM part)")
@@ -603,14 +603,16 @@ def q180_common_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_CENTRAL_SQL}, f(factor) AS (VALUES (1.0::DOUBLE), (1.5), (2.0)) SELECT factor, mode, CASE WHEN mode IN ('bus', 'rail') THEN mass * factor ELSE mass END AS mass, CASE WHEN mode IN ('bus', 'rail') THEN lam * factor ELSE lam END AS lam, CASE mode WHEN 'bus' THEN 12.5::DOUBLE ELSE occupancy END AS occupancy FROM central, f
+WITH {_CENTRAL_SQL}, f AS (SELECT 1 + n_regionkey / 4.0::DOUBLE AS factor, count(*) AS n_cities FROM nation GROUP BY 1), b AS (SELECT 8 + count(*) FILTER (WHERE l_returnflag = 'R') / CAST(count(*) AS DOUBLE) AS riders FROM lineitem) SELECT factor, n_cities, mode, CASE WHEN mode IN ('bus', 'rail') THEN mass * factor ELSE mass END AS mass, CASE WHEN mode IN ('bus', 'rail') THEN lam * factor ELSE lam END AS lam, CASE mode WHEN 'bus' THEN riders ELSE occupancy END AS occupancy FROM central, f, b
 """)
 def q181_scaled_and_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameters with a measured value in place of a default, and public modes scaled."""
     low, high = F.col("occupancy") / 2, F.col("occupancy") * 2
-    measured = spark.createDataFrame([("bus", 12.5)], "mode string, occupancy double")
-    p = C.overridden(central(spark).withColumns({"low": low, "high": high}), measured, ["mode"], "occupancy").withColumn("factor", F.explode(F.array(F.lit(1.0), F.lit(1.5), F.lit(2.0))))
-    return C.scaled(p, ["bus", "rail"], F.col("factor")).select("factor", "mode", "mass", "lam", "occupancy")
+    riders = 8 + F.count_if(F.col("l_returnflag") == "R") / F.count("*").cast("double")
+    measured = table(spark, sf_dir, "lineitem").agg(riders.alias("occupancy")).select(F.lit("bus").alias("mode"), "occupancy")
+    factors = table(spark, sf_dir, "nation").groupBy((1 + F.col("n_regionkey") / F.lit(4.0)).alias("factor")).agg(F.count("*").alias("n_cities"))
+    p = C.overridden(central(spark).withColumns({"low": low, "high": high}), measured, ["mode"], "occupancy").crossJoin(F.broadcast(factors))  # five regions
+    return C.scaled(p, ["bus", "rail"], F.col("factor")).select("factor", "n_cities", "mode", "mass", "lam", "occupancy")
 
 
 _LOOPS = "e AS (SELECT DISTINCT u, v FROM (SELECT l_suppkey % 97 AS u, l_partkey % 89 AS v FROM lineitem UNION ALL SELECT CAST(n_nationkey AS BIGINT) + 200, (CAST(n_nationkey AS BIGINT) + 1) % 25 + 200 FROM nation UNION ALL SELECT CAST(300 AS BIGINT), CAST(200 AS BIGINT)) WHERE u <> v)"
@@ -716,3 +718,13 @@ def q189_cleaned_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.when(F.col("o_orderkey") % 5 == 0, "n/a").when(F.col("o_orderkey") % 7 == 0, F.lit(None).cast("string")).otherwise((F.col("o_orderkey") % 3).cast("string"))
     w = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").cast("string").alias("o"), (F.col("o_orderkey") % 25).cast("string").alias("d"), n.alias("n"))
     return X.summed_flows(w.where("o < '2'"), w.where("o >= '2'"))
+
+
+@query(f"""
+WITH {_NAMED}, t AS (SELECT p_partkey, regexp_extract(name, '^(graph_)?trans_(\\d+)m_a([+-])(\\d+)(\\.pkl)?$', 2) AS m, regexp_extract(name, '^(graph_)?trans_(\\d+)m_a([+-])(\\d+)(\\.pkl)?$', 3) AS s, regexp_extract(name, '^(graph_)?trans_(\\d+)m_a([+-])(\\d+)(\\.pkl)?$', 4) AS a FROM named)
+SELECT p_partkey, CAST(nullif(m, '') AS DOUBLE) AS metres, CASE WHEN s = '-' THEN -CAST(a AS DOUBLE) ELSE CAST(nullif(a, '') AS DOUBLE) END AS angle FROM t
+""")
+def q199_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and direction of translations, null for other variants."""
+    name = F.col("name")
+    return _named(spark, sf_dir).select("p_partkey", N.translation_m(name).alias("metres"), N.translation_angle(name).alias("angle"))

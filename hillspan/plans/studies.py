@@ -18,12 +18,17 @@ from .relational import _NAMED, _named
 
 
 @query("""
-WITH d AS (SELECT CAST(unnest(generate_series(1, 4)) AS DOUBLE) * 250 AS size), a(angle) AS (VALUES (0), (90), (180), (270))
-SELECT 'original' AS variant, 'original' AS family, 0.0::DOUBLE AS parameter UNION ALL SELECT printf('trans_%dm_a+%03d', CAST(size AS INT), angle), 'translation', size FROM d, a
-UNION ALL SELECT * FROM (VALUES ('rot_-05p00deg', 'rotation', -5.0), ('rot_+00p50deg', 'rotation', 0.5)) UNION ALL SELECT * FROM (VALUES ('scale_ns_0p95', 'scale_ns', 0.95), ('scale_ew_0p95', 'scale_ew', 0.95), ('scale_ns_1p10', 'scale_ns', 1.1), ('scale_ew_1p10', 'scale_ew', 1.1))
+WITH d AS (SELECT CAST(unnest(generate_series(1, 4)) AS DOUBLE) * 250 AS size), a(angle) AS (VALUES (0), (90), (180), (270)),
+m AS (SELECT 'original' AS variant, 'original' AS family, 0.0::DOUBLE AS parameter UNION ALL SELECT printf('trans_%dm_a+%03d', CAST(size AS INT), angle), 'translation', size FROM d, a
+UNION ALL SELECT * FROM (VALUES ('rot_-05p00deg', 'rotation', -5.0), ('rot_+00p50deg', 'rotation', 0.5)) UNION ALL SELECT * FROM (VALUES ('scale_ns_0p95', 'scale_ns', 0.95), ('scale_ew_0p95', 'scale_ew', 0.95), ('scale_ns_1p10', 'scale_ns', 1.1), ('scale_ew_1p10', 'scale_ew', 1.1))),
+c AS (SELECT n_name AS city, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
+SELECT city, variant, family, parameter, n FROM c, m WHERE family <> 'translation' OR parameter < 10 * n
 """)
 def q81_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.motions(spark, 250.0, 4, rotations=[0.0, 0.5, -5.0], scales=[1.1, 0.95]).select("variant", "family", "parameter")
+    """Every city's candidates: translations up to ten metres for each of its customers, and all others."""
+    cities = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("city")).agg(F.count("*").alias("n"))
+    m = T.motions(spark, 250.0, 4, rotations=[0.0, 0.5, -5.0], scales=[1.1, 0.95]).select("variant", "family", "parameter")
+    return cities.join(F.broadcast(m), (F.col("family") != "translation") | (F.col("parameter") < 10 * F.col("n")))
 
 
 @query("""

@@ -17,7 +17,7 @@ from ..operators import terrain as T
 from ..operators.studies import reading_margin
 from ..sources.folders import new_folder
 from .demand import PLACES, places
-from .networks import _MOTION_SQL, _RASTER, POINTS, motions, points, raster
+from .networks import _MOTION_SQL, _RASTER, POINTS, motions, pixels, points, raster
 from .registry import query, table
 from .relational import FLOWS, flows
 
@@ -37,13 +37,15 @@ def q96_dem_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_RASTER}, p AS (SELECT i AS col_t, j AS row_t, (i + 0.5) * 0.5 + 0.25 - 0.5 AS c, (j + 0.5) * 0.5 + 0.25 - 0.5 AS r FROM (SELECT unnest(generate_series(0, 59)) AS i), (SELECT unnest(generate_series(0, 39)) AS j)),
+WITH {_RASTER}, p AS (SELECT i AS col_t, j AS row_t, (i + 0.5) * 0.5 + 0.25 - 0.5 AS c, (j + 0.5) * 0.5 + 0.25 - 0.5 AS r FROM (SELECT 2 * col + a AS i, 2 * row + b AS j FROM raster, (VALUES (0), (1)) t(a), (VALUES (0), (1)) u(b))),
 q AS (SELECT col_t, row_t, CAST(floor(c) AS BIGINT) + i AS col, CAST(floor(r) AS BIGINT) + j AS row, (CASE WHEN i = 1 THEN c - floor(c) ELSE 1 - (c - floor(c)) END) * (CASE WHEN j = 1 THEN r - floor(r) ELSE 1 - (r - floor(r)) END) AS w FROM p, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j))
 SELECT col_t AS col, row_t AS row, CAST(sum(z * w) FILTER (WHERE z IS NOT NULL) AS DOUBLE) / CAST(nullif(sum(w) FILTER (WHERE z IS NOT NULL), 0) AS DOUBLE) AS z FROM q LEFT JOIN raster USING (col, row) GROUP BY col_t, row_t
 """)
 def q97_resampled_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raster of half the pixel size: voids weigh nothing."""
-    return T.resampled_raster(raster(spark), T.grid(spark, 60, 40), (F.col("col") + 0.5) * 0.5 + 0.25, (F.col("row") + 0.5) * 0.5 + 0.25)
+    half = F.explode(F.array(*(F.struct((2 * F.col("col") + a).alias("col"), (2 * F.col("row") + b).alias("row")) for a in (0, 1) for b in (0, 1))))
+    target = pixels(spark, sf_dir).select(half.alias("t")).select("t.*")
+    return T.resampled_raster(raster(spark, sf_dir), target, (F.col("col") + 0.5) * 0.5 + 0.25, (F.col("row") + 0.5) * 0.5 + 0.25)
 
 
 _ALTITUDES = "spots AS (SELECT c_custkey AS id, CAST(floor((c_custkey % 124) / 4.0::DOUBLE - 0.5) AS BIGINT) AS col, CAST(floor((c_custkey % 83) / 4.0::DOUBLE - 0.5) AS BIGINT) AS row FROM customer), alt AS (SELECT id, coalesce(z, 0.0::DOUBLE) AS z FROM spots LEFT JOIN raster USING (col, row))"
@@ -52,7 +54,7 @@ _ALTITUDES = "spots AS (SELECT c_custkey AS id, CAST(floor((c_custkey % 124) / 4
 def altitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     nodes = table(spark, sf_dir, "customer").select(k.alias("id"), ((k % 124) / 4.0 - 0.5).alias("col"), ((k % 83) / 4.0 - 0.5).alias("row"))
-    return T.node_altitudes(raster(spark), nodes, "id")
+    return T.node_altitudes(raster(spark, sf_dir), nodes, "id")
 
 
 @query(f"WITH {_RASTER}, {_ALTITUDES} SELECT id, z FROM alt")
@@ -69,14 +71,14 @@ def q99_graph_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH px AS (SELECT i AS col, j AS row, CASE WHEN (i + j) % 13 <> 0 THEN ((i // 3) * 7 + j * 5) % 4 * 10 + 0.25::DOUBLE * (i % 2) END AS z FROM (SELECT unnest(generate_series(0, 29)) AS i), (SELECT unnest(generate_series(0, 19)) AS j)),
+WITH px AS (SELECT i AS col, j AS row, CASE WHEN (i + j) % 13 <> 0 THEN ((i // 3) * 7 + j * 5 + p_size // 25) % 4 * 10 + 0.25::DOUBLE * (i % 2) END AS z FROM (SELECT p_partkey % 30 AS i, p_partkey // 30 AS j, p_size FROM part)),
 v AS (SELECT *, CAST(round(z) AS BIGINT) AS value FROM px WHERE z IS NOT NULL), g AS (SELECT *, col - row_number() OVER (PARTITION BY row, value ORDER BY col) AS g FROM v WHERE value <> 0)
 SELECT row, value, min(col) AS first, max(col) AS last FROM g GROUP BY row, value, g
 """)
 def q100_population_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, j = F.col("col"), F.col("row")
-    z = F.when((i + j) % 13 != 0, (F.floor(i / 3) * 7 + j * 5) % 4 * 10 + F.lit(0.25) * (i % 2))
-    return T.raster_runs(T.grid(spark, 30, 20).withColumn("z", z))
+    z = F.when((i + j) % 13 != 0, (F.floor(i / 3) * 7 + j * 5 + F.floor(F.col("size") / 25)) % 4 * 10 + F.lit(0.25) * (i % 2))
+    return T.raster_runs(pixels(spark, sf_dir).select("col", "row", z.alias("z")))
 
 
 _HEIGHTS = "h AS (SELECT CAST(n_nationkey AS BIGINT) AS node, CASE WHEN n_nationkey % 6 <> 0 THEN CAST(n_nationkey AS BIGINT) * 13 % 29 END AS z FROM nation)"
@@ -123,7 +125,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = table(spark, sf_dir, "customer").select(k.alias("id"), ((k % 20).cast("double") + 0.75).alias("x0"), ((k % 18).cast("double") + 1.25).alias("y"))
     knots = ends.select("id", "y", F.explode(F.array(F.struct(F.lit(0.0).alias("s"), F.col("x0").alias("x")), F.struct(F.lit(8.0).alias("s"), (F.col("x0") + 8).alias("x")))).alias("e")).select("id", "y", "e.s", "e.x")
     at = P.resampled(knots, ["id", "y"], "s", "x", 1.0)
-    z = G.sample(raster(spark), at.select("id", "k", F.col("x").alias("col"), F.col("y").alias("row")).withColumn("key", F.col("id") * 100 + F.col("k")), "key")
+    z = G.sample(raster(spark, sf_dir), at.select("id", "k", F.col("x").alias("col"), F.col("y").alias("row")).withColumn("key", F.col("id") * 100 + F.col("k")), "key")
     filled = P.filled(z.select(F.floor(F.col("key") / 100).alias("id"), (F.col("key") % 100).cast("double").alias("k"), "z"), ["id"], "k", "z")
     return filled.select("id", F.col("k").cast("long").alias("k"), (F.floor(64 * F.col("z")) / 64.0).alias("z"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as N
 from ..operators import transit as X
-from .networks import ARCS, POINTS, arcs, points
+from .networks import ARCS, PATHS, POINTS, arcs, points
 from .registry import query, table
 from .relational import FLOWS, flows
 
@@ -111,13 +111,14 @@ def q121_directed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH RECURSIVE {ARCS}, a AS (SELECT u, v, w FROM arcs WHERE v = u + 7), n AS (SELECT u AS k FROM a UNION SELECT v FROM a), r(i, j, w) AS (SELECT k, k, CAST(0 AS BIGINT) FROM n UNION ALL SELECT r.i, a.v, r.w + a.w FROM r JOIN a ON r.j = a.u)
-SELECT x.k AS i, y.k AS j, coalesce(CAST(r.w AS DOUBLE), 'Infinity'::DOUBLE) AS w FROM n x CROSS JOIN n y LEFT JOIN r ON r.i = x.k AND r.j = y.k
+WITH {ARCS}, {PATHS}, n AS (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation UNION ALL SELECT CAST(r_regionkey AS BIGINT) + 25 FROM region)
+SELECT x.k AS i, y.k AS j, CASE WHEN x.k = y.k THEN 0.0::DOUBLE ELSE coalesce(CAST(w AS DOUBLE), 'Infinity'::DOUBLE) END AS w FROM n x CROSS JOIN n y LEFT JOIN p5 ON i = x.k AND j = y.k
 """)
 def q122_distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = arcs(spark, sf_dir).where("v = u + 7").drop("g")
-    n = N.nodes_of(a)
-    return X.dense_matrix(N.shortest_paths(a, n.withColumnRenamed("node", "i")), n)
+    """Nations, and regions as places that no way joins."""
+    nations, regions = (table(spark, sf_dir, t).select(F.col(c).cast("long").alias("node")) for t, c in (("nation", "n_nationkey"), ("region", "r_regionkey")))
+    n = nations.unionByName(regions.select((F.col("node") + 25).alias("node")))
+    return X.dense_matrix(N.shortest_paths(arcs(spark, sf_dir).drop("g"), n.withColumnRenamed("node", "i")), n)
 
 
 _BACK = f"{ARCS}, p0 AS MATERIALIZED (SELECT i, j, min({{'w': w}}) AS x FROM (SELECT u AS i, v AS j, w FROM arcs UNION ALL SELECT DISTINCT u, u, 0 FROM arcs) GROUP BY 1, 2), " + _square("w", "p", 0)
