@@ -6,6 +6,8 @@ with p for the decimal point, an optional prefix graph_ and an optional suffix .
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -180,8 +182,19 @@ def normalised_angles(angles: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(wrapped, lambda a: F.when(a > 180, a - 360).otherwise(a))))
 
 
-#: Letters with marks that names of places hold, and the plain ones.
-MARKED, UNMARKED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
+def _plain_letters() -> dict[str, str]:
+    """Small letters with marks, and the one letter that each is when decomposed; marks by themselves, for which there is nothing."""
+    out = {}
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))):
+        first, *marks = unicodedata.normalize("NFKD", c)
+        if c.islower() and first.isascii() and first.isalpha() and all(map(unicodedata.combining, marks)):
+            out[c] = first
+    return out
+
+
+_PLAIN = _plain_letters()
+#: Letters with marks, then marks alone, which go; and the plain letters.
+MARKED, UNMARKED = "".join(_PLAIN) + "".join(map(chr, range(0x300, 0x370))), "".join(_PLAIN.values())
 
 
 def normalised(place: Column) -> Column:

@@ -128,6 +128,22 @@ def strong_components(arcs: DataFrame) -> DataFrame:
     return out if out is not None else nodes.withColumn("component", F.col("node"))
 
 
+def connected(links: DataFrame) -> DataFrame:
+    """node, component (the least node that links (u, v) lead to, in either direction) of all ends of links: every round takes the least label of a node's neighbours and then that label's own, so that labels move on by ever larger steps."""
+    both = checkpointed(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
+    label, before = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("c")).select("node", F.least("node", "c").alias("c"))), None
+    while True:
+        near = both.join(label, F.col("v") == F.col("node")).groupBy(F.col("u").alias("node")).agg(F.min("c").alias("_n"))
+        low = label.join(near, "node").select("node", F.least("c", "_n").alias("c"))
+        low = checkpointed(low)
+        up = low.select(F.col("node").alias("c"), F.col("c").alias("_u"))
+        label = checkpointed(low.join(up, "c").select("node", F.least("c", "_u").alias("c")))
+        now = label.agg(F.sum(F.col("c").cast("decimal(38,0)"))).first()[0]
+        if now == before:
+            return label.select("node", F.col("c").alias("component"))
+        before = now
+
+
 def largest_component(arcs: DataFrame) -> DataFrame:
     """The arcs inside the strong component with the most nodes; of equal ones that with the least node."""
     c = checkpointed(strong_components(arcs))
@@ -154,7 +170,7 @@ def consolidated(nodes: DataFrame, arcs: DataFrame, radius: float) -> tuple[Data
     from .geo import pairs_within
 
     near = pairs_within(nodes, "node", radius).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    joined = checkpointed(strong_components(near.unionByName(reversed_arcs(near).select("u", "v"))))
+    joined = connected(near)
     named = nodes.join(joined, "node", "left").withColumn("_to", F.coalesce("component", "node"))
     out = named.groupBy(F.col("_to").alias("node")).agg(F.count("*").alias("n"), (F.sum("x") / F.count("*")).alias("x"), (F.sum("y") / F.count("*")).alias("y"))
     of = lambda end: named.select(F.col("node").alias(end), F.col("_to").alias(f"_{end}"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import broadcast_if_few
+from .relational import broadcast_if_few, numbered
 from .selection import greedy_spaced
 from .studies import NEGLIGIBLE_PCT
 
@@ -63,8 +63,8 @@ def highlighted(df: DataFrame, group: Sequence[str], value: str, share: float) -
 
 
 def positioned(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """A report's rows with their position in an order: for tables of a bounded size."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    """Rows with their position in an order, which must be total."""
+    return numbered(df, order, "position")
 
 
 def thresholds_met(df: DataFrame, group: Sequence[str], holds: Column) -> DataFrame:

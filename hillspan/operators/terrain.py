@@ -15,13 +15,12 @@ from .profile import valid
 
 
 def dem_window(tiles: DataFrame, west: float, south: float, east: float, north: float, margin: float = 0.01) -> DataFrame:
-    """col, row, z of the pixels whose centres are in a box and its margin, from tiles (west, north: the upper left corner in degrees; step; z: rows of pixels). Voids are null.
+    """col, row, z of the pixels whose centres are in a box and its margin, from tiles (west, south, east, north in degrees; step; z: rows of pixels from the north). Voids are null.
 
-    Whole tiles are left out by their corners first, a filter that reaches the file's reader.
+    Whole tiles are left out by their bounds first, four filters that reach the file's reader before any pixels are read.
     """
     w, s, e, n = west - margin, south - margin, east + margin, north + margin
-    size = F.col("step") * F.size("z")
-    near = tiles.where((F.col("west") <= e) & (F.col("north") >= s) & (F.col("west") + F.col("step") * F.size(F.get("z", F.lit(0))) >= w) & (F.col("north") - size <= n))
+    near = tiles.where((F.col("west") <= e) & (F.col("east") >= w) & (F.col("south") <= n) & (F.col("north") >= s))
     first = (F.round(F.col("west") / F.col("step")).cast("long"), -F.round(F.col("north") / F.col("step")).cast("long"))
     p = pixel_rows(near).select((first[0] + F.col("col")).alias("col"), (first[1] + F.col("row")).alias("row"), "step", F.when(valid(F.col("z")), F.col("z")).alias("z"))
     return p.where(((F.col("col") + 0.5) * F.col("step")).between(w, e) & (-(F.col("row") + 0.5) * F.col("step")).between(s, n)).select("col", "row", "z")

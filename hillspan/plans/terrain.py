@@ -28,7 +28,8 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey").cast("long")
     ten = F.sequence(F.lit(0), F.lit(9))
     z = F.transform(ten, lambda r: F.transform(ten, lambda c: ((k * 31 + r * 7 + c * 3) % 97 - 40).cast("double")))
-    return table(spark, sf_dir, "nation").select((k % 5 * 1.25).alias("west"), ((F.floor(k / 5) + 1) * 1.25).alias("north"), F.lit(0.125).alias("step"), z.alias("z"))
+    row = F.floor(k / 5)
+    return table(spark, sf_dir, "nation").select((k % 5 * 1.25).alias("west"), (row * 1.25).alias("south"), ((k % 5 + 1) * 1.25).alias("east"), ((row + 1) * 1.25).alias("north"), F.lit(0.125).alias("step"), z.alias("z"))
 
 
 @query(f"WITH {_PIXELS} SELECT col, row, z FROM px WHERE (col + 0.5) * 0.125 BETWEEN 1 - 0.25 AND 4 + 0.25 AND -(row + 0.5) * 0.125 BETWEEN 2 - 0.25 AND 5 + 0.25")
