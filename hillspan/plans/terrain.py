@@ -15,6 +15,7 @@ from ..operators import reports as R
 from ..operators import rings as S
 from ..operators import terrain as T
 from ..operators.studies import reading_margin
+from ..sources import rasters as B
 from ..sources.folders import new_folder
 from .demand import PLACES, places
 from .networks import _MOTION_SQL, _RASTER, POINTS, motions, pixels, points, raster
@@ -375,3 +376,10 @@ def q198_rings_of_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     ways = o.where("m > 2").select("way", F.when(turned, b).otherwise(a).alias("a"), F.when(turned, a).otherwise(b).alias("b"), F.when(turned, F.reverse(line)).otherwise(line).alias("points"))
     r = S.stitched(ways)
     return r.select("ring", "n_ways", F.size("points").cast("long").alias("n_points"), L.ring_area(F.col("points")).alias("area"))
+
+
+@query(f"WITH {_PIXELS} SELECT col, row, z FROM px WHERE (col + 0.5) * 0.125 BETWEEN 0.5 AND 3.5 AND -(row + 0.5) * 0.125 BETWEEN 1 AND 4.75")
+def q200_raster_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations' tiles as files, and the heights in a box read from those."""
+    files = B.raster_files(tiles(spark, sf_dir).withColumn("path", F.format_string("x%05.2fy%05.2f", "west", "north")))
+    return T.dem_window(B.raster_blocks(files, 0.5, 1.0, 3.5, 4.75), 0.5, 1.0, 3.5, 4.75, 0.0)
