@@ -23,7 +23,7 @@ import html
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -275,13 +275,43 @@ def _texts(s: _Streams, at: np.ndarray) -> pa.Table:
 
 #: Substrings of hosts that go to all tasks, at most; beyond them they are joined by shuffle.
 FEW_GRAMS = 1 << 20
+#: A large host's chunk in one row, its pages as an Arrow stream.
+PACKED = "chunk long, host long, pages long, rows binary"
+COUNTED = "host long, gram long, n long"
 
 
-def _to_chunks(chunks: DataFrame, grams: DataFrame) -> DataFrame:
-    """chunk and grams of each row of chunks (chunk, host), from grams (host, grams)."""
+def _pack(t: pa.Table) -> pa.Table:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as out:
+        out.write_table(t)
+    n = len(grouped(t.column("page").to_numpy())[0])
+    return pa.table({"chunk": t.column("chunk")[:1], "host": t.column("host")[:1], "pages": pa.array([n], pa.int64()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def _unpacked(rows: bytes) -> _Streams:
+    return _Streams(pa.ipc.open_stream(rows).read_all())
+
+
+def _with_grams(packed: DataFrame, grams: DataFrame, work: Callable[[_Streams, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """work on every chunk of packed and the substrings of its host, from grams (host, gram): to all tasks if they are few, else in PIECES rows a chunk."""
     grams = checkpointed(grams)
-    few = (grams.agg(F.sum(F.size("grams"))).first()[0] or 0) <= FEW_GRAMS
-    return chunks.join(F.broadcast(grams) if few else grams, "host").select("chunk", "grams")
+    if grams.limit(FEW_GRAMS + 1).count() <= FEW_GRAMS:
+        lists = grams.groupBy("host").agg(F.collect_list("gram").alias("grams"))
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for rows, asked in zip(b.column(0), b.column(1), strict=True):
+                    yield from work(_unpacked(rows.as_py()), asked.values.to_numpy().view(U64) if asked.is_valid else np.zeros(0, U64)).to_batches()
+
+        return packed.join(F.broadcast(lists), "host", "left").select("rows", "grams").transform(in_arrow, each, schema)
+    pieces = grams.groupBy("host", F.pmod("gram", F.lit(PIECES)).alias("piece")).agg(F.collect_list("gram").alias("grams"))
+    asked = packed.select(F.col("chunk").alias("asking"), "host").join(pieces, "host").select("asking", "grams")
+
+    def both(t: pa.Table, asked: pa.Table) -> pa.Table:
+        lists = [x.values.to_numpy() for x in asked.column("grams")]
+        return work(_unpacked(t.column("rows")[0].as_py()), np.concatenate(lists).view(U64) if lists else np.zeros(0, U64))
+
+    return packed.groupBy("chunk").cogroup(asked.groupBy("asking")).applyInArrow(both, schema)
 
 
 def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
@@ -323,41 +353,31 @@ def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataF
     out = parsed(small).applyInArrow(whole, RESULT)
     if not large.limit(1).count():
         return out
-    by_chunk = parsed(dealt.where("parts is not null").withColumn("chunk", F.xxhash64("host", F.pmod(F.col("page"), F.col("parts")))))
-
-    def propose(t: pa.Table) -> pa.Table:
-        """Of a large host's chunk its pages, and the substrings that may be boilerplate on the host."""
-        s = _Streams(t)
-        order, begin, pages, _ = s.classes()
-        n = int(s.of_host[0])
-        # on share of the host's pages or more (least is no fewer where it is the bound), so on share of some chunk's
-        often = pages >= share * n
-        return pa.table({"chunk": t.column("chunk")[:1], "host": t.column("host")[:1], "pages": pa.array([n], pa.int64()), "grams": pa.array([s.grams(order[begin[often]]).view(np.int64)], pa.list_(pa.int64()))})
-
-    def count(t: pa.Table, asked: pa.Table) -> pa.Table:
-        s = _Streams(t)
+    # a large host's pages are read and dealt once
+    packed = checkpointed(parsed(dealt.where("parts is not null").withColumn("chunk", F.xxhash64("host", F.pmod(F.col("page"), F.col("parts"))))).applyInArrow(_pack, PACKED))
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The substrings that may be boilerplate on a chunk's host."""
+        for b in batches:
+            for host, n, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = _unpacked(rows)
+                order, begin, pages, _ = s.classes()
+                # on share of the host's pages or more (least is no fewer where it is the bound), so on share of some chunk's
+                found = s.grams(order[begin[pages >= share * n]]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), host, np.int64)), pa.array(found)], ["host", "gram"])
+
+    def count(s: _Streams, asked: np.ndarray) -> pa.Table:
         grams = s.grams(s.at)
-        hit = np.isin(grams, _asked(asked))
-        if not hit.any():
-            return pa.schema([("host", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())]).empty_table()
+        hit = np.isin(grams, asked)
         found = np.unique(np.stack([grams[hit].view(np.int64), s.key[s.row[s.at[hit]]]]), axis=1)[0]
         gram, n = np.unique(found, return_counts=True)
-        return pa.table({"host": pa.array(np.full(len(gram), t.column("host")[0].as_py()), pa.int64()), "gram": pa.array(gram, pa.int64()), "n": pa.array(n, pa.int64())})
-
-    def finish(t: pa.Table, frequent: pa.Table) -> pa.Table:
-        s = _Streams(t)
-        return _texts(s, s.at[np.isin(s.grams(s.at), _asked(frequent))])
-
-    proposed = checkpointed(by_chunk.applyInArrow(propose, "chunk long, host long, pages long, grams array<long>"))
-    chunks = proposed.select("chunk", "host")
-    piece = F.pmod("gram", F.lit(PIECES)).alias("piece")
-    candidates = proposed.select("host", F.explode("grams").alias("gram")).groupBy("host", piece).agg(F.collect_set("gram").alias("grams"))
-    counted = by_chunk.cogroup(_to_chunks(chunks, candidates).groupBy("chunk")).applyInArrow(count, "host long, gram long, n long")
-    counted = counted.groupBy("host", "gram").agg(F.sum("n").alias("n")).join(proposed.groupBy("host").agg(F.sum("pages").alias("pages")), "host")
-    frequent = counted.where(F.col("n") >= F.greatest(F.lit(least), F.ceil(F.col("pages") * share))).groupBy("host", piece).agg(F.collect_list("gram").alias("grams"))
-    return out.unionByName(by_chunk.cogroup(_to_chunks(chunks, frequent).groupBy("chunk")).applyInArrow(finish, RESULT))
+        return pa.table({"host": pa.array([s.table.column("host")[0].as_py()] * len(gram), pa.int64()), "gram": pa.array(gram, pa.int64()), "n": pa.array(n, pa.int64())})
 
+    def finish(s: _Streams, frequent: np.ndarray) -> pa.Table:
+        return _texts(s, s.at[np.isin(s.grams(s.at), frequent)])
 
-def _asked(t: pa.Table) -> np.ndarray:
-    grams = [x.values.to_numpy() for x in t.column("grams")]
-    return np.concatenate(grams).view(U64) if grams else np.zeros(0, U64)
+    candidates = packed.select("host", "pages", "rows").transform(in_arrow, propose, "host long, gram long").distinct()
+    counted = _with_grams(packed, candidates, count, COUNTED).groupBy("host", "gram").agg(F.sum("n").alias("n"))
+    counted = counted.join(packed.groupBy("host").agg(F.sum("pages").alias("pages")), "host")
+    frequent = counted.where(F.col("n") >= F.greatest(F.lit(least), F.ceil(F.col("pages") * share))).select("host", "gram")
+    return out.unionByName(_with_grams(packed, frequent, finish, RESULT))

@@ -92,8 +92,9 @@ def test_suffix_array_equals_sorted_suffixes():
         assert all((rank[i] == rank[j]) == (symbols[i : i + 8] == symbols[j : j + 8]) for i in range(len(rank)) for j in range(0, len(rank), 17))
 
 
-@pytest.mark.parametrize("chunk", [300, 3000, 1 << 22])
-def test_repeats_equal_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "few"), [(300, 1 << 20), (3000, 1 << 20), (3000, 0), (1 << 22, 1 << 20)])
+def test_repeats_equal_brute_force(spark, monkeypatch, chunk, few):
+    monkeypatch.setattr(html, "FEW_GRAMS", few)
     monkeypatch.setattr(html, "CHUNK", chunk)
     monkeypatch.setattr(html, "LEAST_CHUNK", chunk)
     monkeypatch.setattr(html, "CHUNK_PAGES", 4)
