@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import removed
 from .rendezvous import ANSWERED, ASKED, answered, answers, asked, buckets_for, by_owner, carried, deal, entries, text_bytes
 from .rolling import SEGMENT, U64, Texts, byte_windows, mix, spans
 from .shared import checkpointed, shared_folder
@@ -42,7 +43,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 #: A suffix's place in the order, compared byte by byte; bytes of it that suffixes of the same first half of LENGTH share.
 KEY, NEAR = np.dtype("S16"), 12
 LEVEL = "bucket long, keys binary, owners binary, flags binary"
-MANIFEST = "version long, batches long, buckets long, level string, size long"
+MANIFEST = "version long, length int, batches long, buckets long, level string, size long"
 
 
 class LevelFamily:
@@ -217,6 +218,7 @@ class SuffixIndex:
     """Levels of suffix arrays at path, in files that all executors see, and the documents of all batches.
 
     add() takes a batch, matches() tells for batches which of their bytes recur in any. An index is opened again by its path.
+    A merge removes the levels that it replaces, so what matches() gives is computed before the next batch is added.
     Documents are doc_id and text; null text counts as empty, a null id as any other.
     """
 
@@ -230,22 +232,22 @@ class SuffixIndex:
         self.levels: list[tuple[str, int]] = []
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, length: int = LENGTH) -> SuffixIndex:
-        """The index that add() left at path."""
-        out = cls(spark, path, length)
-        rows = spark.read.schema(MANIFEST).parquet(f"{out.path}/manifest")
+    def open(cls, spark: SparkSession, path: str) -> SuffixIndex:
+        """The index that add() left at path, for matches of the length that it was made for. What a run wrote that died before its manifest does not count."""
+        rows = spark.read.schema(MANIFEST).parquet(f"{path.rstrip('/')}/manifest")
         last = rows.agg(F.max("version")).first()[0]
         found = rows.where(F.col("version") == last).collect()  # a row for each level
+        out = cls(spark, path, found[0].length)
         out.version, out.batches, out.buckets = found[0].version, found[0].batches, found[0].buckets
         out.levels = [(r.level, r.size) for r in sorted(found, key=lambda r: -r.size)]
         return out
 
     def add(self, documents: DataFrame, kept: bool = True) -> int:
-        """Takes a batch and gives its number. kept: whether its documents are stored; if not, they come from dealt(), and go to matches() again."""
+        """Takes a batch and gives its number; a batch whose run died is added again under the same one. kept: whether its documents are stored; if not, they come from dealt(), and go to matches() again."""
         number, self.batches = self.batches, self.batches + 1
         dealt = documents
         if kept:
-            self.dealt(documents, number).write.parquet(f"{self.path}/documents/batch={number}")
+            self.dealt(documents, number).write.mode("overwrite").parquet(f"{self.path}/documents/batch={number}")
             dealt = self._documents(number)
         length, buckets = self.length, self.buckets
 
@@ -262,12 +264,16 @@ class SuffixIndex:
 
         level = dealt.groupBy("chunk").applyInArrow(ask, ASKED).groupBy("bucket").applyInArrow(build, LEVEL)
         self.levels.append(self._written(level))
+        replaced = []
         while len(self.levels) > 1 and self.levels[-1][1] >= self.levels[-2][1]:
-            both = [self.spark.read.schema(LEVEL).parquet(self.levels.pop()[0]) for _ in range(2)]
+            replaced += [self.levels.pop()[0] for _ in range(2)]
+            both = [self.spark.read.schema(LEVEL).parquet(f) for f in replaced[-2:]]
             self.levels.append(self._written(both[0].unionByName(both[1]).groupBy("bucket").applyInArrow(_united, LEVEL)))
         self.version += 1
-        rows = [(self.version, self.batches, self.buckets, f, n) for f, n in self.levels]
+        rows = [(self.version, self.length, self.batches, self.buckets, f, n) for f, n in self.levels]
         self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        for folder in replaced:  # no manifest that counts names them any more
+            removed(self.spark, folder)
         return number
 
     def dealt(self, documents: DataFrame, number: int, total: int | None = None) -> DataFrame:

@@ -91,8 +91,11 @@ def test_batches_in_different_runs(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "index")
     plain = lambda df: sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()), key=str)
     for k, batch in enumerate(batches):
-        index = SuffixIndex(spark, path, length) if k == 0 else SuffixIndex.open(spark, path, length)
-        assert index.add(spark.createDataFrame(batch, "doc_id long, text string")) == k
+        index = SuffixIndex(spark, path, length) if k == 0 else SuffixIndex.open(spark, path)
+        # a run that died left a part of the batch and a level
+        spark.createDataFrame([(1, 1, "left over")], "chunk long, doc_id long, text string").write.parquet(f"{path}/documents/batch={k}")
+        assert index.length == length and index.add(spark.createDataFrame(batch, "doc_id long, text string")) == k
+        assert {p.name for p in (tmp_path / "index").glob("level-*")} == {f.rsplit("/", 1)[1] for f, _ in index.levels}
         sizes = [n for _, n in index.levels]
         assert sizes == sorted(sizes, reverse=True) and len(set(sizes)) == len(sizes)
         so_far = [x for b in batches[: k + 1] for x in b]
@@ -100,7 +103,7 @@ def test_batches_in_different_runs(spark, tmp_path, monkeypatch):
         new = plain(index.matches([k]))
         assert len(new) == len(batch) and not Counter(map(str, new)) - left
     assert len(index.levels) < 5
-    assert plain(SuffixIndex.open(spark, path, length).matches()) == brute(rows, length)
+    assert plain(SuffixIndex.open(spark, path).matches()) == brute(rows, length)
 
 
 def test_a_long_text_in_slices(spark, monkeypatch):
