@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import checkpointed
+from .relational import broadcast_if_few
+
 
 def sample_or_population_sd(x: Column) -> Column:
     """Of two or more values the sample's deviation, of one 0."""
@@ -53,13 +60,95 @@ def rank_correlation(df: DataFrame, group: Sequence[str], a: str, b: str) -> Dat
     return s.select(*group, F.try_divide(F.col("n") * F.col("ab") - F.col("a") * F.col("b"), spread).alias("rho"))
 
 
-def kendall(df: DataFrame, group: Sequence[str], key: str, a: str, b: str) -> DataFrame:
-    """group, tau_b. Pairs within a group, which the caller bounds."""
-    x = df.select(*group, F.col(key).alias("_k"), F.col(a).alias("_a"), F.col(b).alias("_b"))
-    y = df.select(*group, F.col(key).alias("_l"), F.col(a).alias("_c"), F.col(b).alias("_d"))
-    p = x.join(y, list(group)).where("_k < _l").select(*group, F.signum(F.col("_a") - F.col("_c")).cast("long").alias("sa"), F.signum(F.col("_b") - F.col("_d")).cast("long").alias("sb"))
-    s = p.groupBy(*group).agg(F.sum(F.col("sa") * F.col("sb")).cast("double").alias("c"), F.sum(F.abs("sa")).cast("double").alias("na"), F.sum(F.abs("sb")).cast("double").alias("nb"))
-    return s.select(*group, F.try_divide(F.col("c"), F.sqrt(F.col("na") * F.col("nb"))).alias("tau"))
+#: Rows of a group from which it is cut in ranges, and how many of either value.
+LARGE_GROUP, RANGES = 1_000_000, 64
+
+
+def concordance(a: np.ndarray, b: np.ndarray) -> int:
+    """Concordant less discordant pairs, by merging: in each round, every run counts what is less and more in the run before it."""
+    n = len(a)
+    if n < 2:
+        return 0
+    order = np.lexsort((b, a))
+    a, rank = a[order], np.unique(b, return_inverse=True)[1][order].astype(np.int64)
+    # pairs of one a, in the order of b, look concordant where b differs
+    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    same = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (rank[1:] != rank[:-1])]))
+
+    def pairs(begin: np.ndarray) -> int:
+        m = np.diff(np.append(begin, n))
+        return int((m * (m - 1) // 2).sum())
+
+    out = pairs(same) - pairs(first)
+    width = 1
+    place = np.arange(n)
+    while width < n:
+        run = place // (2 * width)
+        left = place % (2 * width) < width
+        key = run * np.int64(n + 1) + rank
+        before, after = key[left], key[~left]
+        size = np.bincount(run[left], minlength=int(run[-1]) + 1)
+        begin = (np.cumsum(size) - size)[run[~left]]
+        less, upto = np.searchsorted(before, after), np.searchsorted(before, after, side="right")
+        out += int((less - begin).sum() - (size[run[~left]] - (upto - begin)).sum())
+        rank = rank[np.lexsort((rank, run))]
+        width *= 2
+    return out
+
+
+def _across(p: np.ndarray, q: np.ndarray, n: np.ndarray) -> int:
+    """Concordant less discordant pairs of cells with counts, of different p and q."""
+    m = np.zeros((p.max() + 1, q.max() + 1), np.int64)
+    np.add.at(m, (p, q), n)
+    rows = np.cumsum(m, axis=0) - m  # of smaller p
+    low = np.cumsum(rows, axis=1) - rows
+    high = rows.sum(axis=1, keepdims=True) - low - rows
+    return sum(int(x) * int(y) for x, y in zip(m[p, q], (low - high)[p, q], strict=True))
+
+
+def kendall(df: DataFrame, group: Sequence[str], key: str, a: str, b: str, large: int = LARGE_GROUP, ranges: int = RANGES) -> DataFrame:
+    """group, tau_b, of groups of two rows or more with both values; infinite ones are left out.
+
+    A group of more than large rows is cut in ranges of a and of b. Pairs of different ranges of both are counted by the numbers of
+    rows in the cells; those of one range of a, and of one of b, by the task that has it, and those of one cell once less. So a task
+    has a range of a group; one of a single value has no pairs to count.
+    """
+    usable = lambda c: F.col(c).isNotNull() & (F.abs(c) < float("inf"))
+    rows = df.select(*group, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).where(usable("_a") & usable("_b"))
+    keys = {c: f"_g{i}" for i, c in enumerate(group)}
+    at = F.array(*(F.lit(k / ranges) for k in range(1, ranges)))
+    cut = lambda c: F.when(F.count("*") > large, F.array_distinct(F.percentile_approx(c, at))).otherwise(F.array().cast("array<double>"))
+    cuts = checkpointed(rows.groupBy(*group).agg(F.count("*").alias("_n"), cut("_a").alias("_ca"), cut("_b").alias("_cb")).where("_n > 1").withColumnsRenamed(keys))
+    met = rows.join(broadcast_if_few(cuts), reduce(and_, (F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items())) if group else F.lit(True))
+    place = lambda c, v: F.size(F.filter(c, lambda t: t < F.col(v))).cast("int")
+    met = met.select(*keys, "_a", "_b", place("_ca", "_a").alias("_p"), place("_cb", "_b").alias("_q"), (F.size("_ca") > 0).alias("_cut"))
+    part = lambda p, q, sign: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), F.lit(sign).alias("sign"))
+    none = F.lit(-1)
+    parts = F.when(F.col("_cut"), F.array(part(F.col("_p"), none, 1), part(none, F.col("_q"), 1), part(F.col("_p"), F.col("_q"), -1))).otherwise(F.array(part(none, none, 1)))
+    pieces = met.select(*group, "_a", "_b", F.explode(parts).alias("_x")).select(*group, "_a", "_b", "_x.*")
+    several = pieces.groupBy(*group, "p", "q", "sign").agg(F.min("_a").alias("a1"), F.max("_a").alias("a2"), F.min("_b").alias("b1"), F.max("_b").alias("b2")).where("a1 < a2 AND b1 < b2")
+    several = checkpointed(several.select(*(F.col(c).alias(k) for c, k in keys.items()), F.col("p").alias("_sp"), F.col("q").alias("_sq"), F.col("sign").alias("_ss")))
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in (keys | {"p": "_sp", "q": "_sq", "sign": "_ss"}).items()]
+    pieces = pieces.join(broadcast_if_few(several), reduce(and_, same), "left_semi")
+    schema = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in group), "c long"])
+    own = lambda t, c: pa.table([*(t.column(k)[:1] for k in group), pa.array([c], pa.int64())], [*group, "c"])
+
+    def within(t: pa.Table) -> pa.Table:
+        return own(t, t.column("sign")[0].as_py() * concordance(t.column("_a").to_numpy(), t.column("_b").to_numpy()))
+
+    def between(t: pa.Table) -> pa.Table:
+        return own(t, _across(*(t.column(c).to_numpy() for c in ("_p", "_q", "n"))))
+
+    cells = met.where("_cut").groupBy(*group, "_p", "_q").agg(F.count("*").alias("n"))
+    counted = pieces.groupBy(*group, "p", "q", "sign").applyInArrow(within, schema).unionByName((cells.groupBy(*group) if group else cells.withColumn("_all", F.lit(0)).groupBy("_all")).applyInArrow(between, schema))
+    # pairs that differ in a value: all but those of equal ones
+    def apart(v: str, name: str) -> DataFrame:
+        tied = met.groupBy(*group, v).agg(F.count("*").alias("m")).groupBy(*group).agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("s"))
+        return tied.select(*group, ((F.col("n") * F.col("n") - F.col("s")) / 2).cast("long").alias(name))
+
+    each = [apart("_a", "na"), apart("_b", "nb"), counted]
+    every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), each).groupBy(*group).agg(*(F.sum(c).cast("double").alias(c) for c in ("na", "nb", "c")))
+    return every.select(*group, F.try_divide(F.coalesce("c", F.lit(0.0)), F.sqrt(F.col("na") * F.col("nb"))).alias("tau"))
 
 
 def top_overlap(df: DataFrame, group: Sequence[str], key: str, a: str, b: str, k: int) -> DataFrame:
