@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hillspan.llm.language import identify, learn
+from hillspan.llm.merkle import manifest
 from hillspan.llm.mixing import mix, mixed
 from hillspan.llm.nearest import nearest
+from hillspan.llm.ngram import jaccard_components
 from hillspan.llm.pii import find_pii
 from hillspan.llm.simhash import simhash_components
 from hillspan.llm.substring import substring_dedup
@@ -45,6 +47,8 @@ OPERATORS = {
     "8 copies": lambda d: mixed(d).select("doc_id", "text", "lang", "source"),
     "9": find_pii,
     "10": lambda d: token_output(d, definition_of("word_bpe_49k.json")),
+    "12": jaccard_components,
+    "13": lambda d: manifest(d.withColumn("n_chars", F.length("text"))),
 }
 
 
@@ -59,8 +63,11 @@ def test_clashing_columns(documents, name):
 
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_tables_and_tables_of_nulls(spark, documents, name):
-    if name == "4":
-        return  # needs a document for its benchmark; has such tests of its own
+    if name == "4":  # its benchmark is one of the documents
+        items = spark.createDataFrame([(1, documents.where("doc_id = 7").first().text), (2, None)], "item_id long, text string")
+        nulls = spark.createDataFrame([(None, None, None, None)] * 3, documents.schema)
+        assert contaminated(documents.limit(0), items).collect() == contaminated(nulls, items).collect() == contaminated(documents, items.limit(0)).collect() == []
+        return
     assert OPERATORS[name](documents.limit(0)).collect() == []
     nulls = spark.createDataFrame([(None, None, None, None)] * 3, documents.schema)
     assert len(OPERATORS[name](nulls).collect()) == 3
