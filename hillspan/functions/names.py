@@ -178,7 +178,8 @@ def decimals_of(value: Column) -> Column:
 
 def normalised_angles(angles: Column) -> Column:
     """An array of angles in (-180, 180], distinct and ascending."""
-    wrapped = F.transform(angles, lambda a: F.pmod(a, F.lit(360.0)))
+    # a negative multiple of a turn leaves -0.0, which array_distinct holds for another angle than 0.0
+    wrapped = F.transform(angles, lambda a: F.pmod(a, F.lit(360.0)) + F.lit(0.0))
     return F.array_sort(F.array_distinct(F.transform(wrapped, lambda a: F.when(a > 180, a - 360).otherwise(a))))
 
 

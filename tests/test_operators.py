@@ -36,6 +36,13 @@ def test_variant_names(spark):
     assert one.select(N.escaped_xml(F.lit('a<b & "c"')), N.escaped_tex(F.lit("5% a_b"))).first()[:] == ("a&lt;b &amp; &quot;c&quot;", r"5\% a\_b")
 
 
+def test_angles_of_whole_turns_are_one(spark):
+    df = spark.createDataFrame([([-360.0, 0.0, 720.0],), ([-720.0, 360.0, -0.0, 90.0],)], "a array<double>")
+    got = [r.a for r in df.select(N.normalised_angles(df.a).alias("a")).collect()]
+    assert got == [[0.0], [0.0, 90.0]]
+    assert all(math.copysign(1, a[0]) == 1 for a in got)
+
+
 def test_void_profiles(spark):
     z = [-9.0, -8.0, -220.0, -6.0, float("nan"), -4.0]
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate(z)] + [(2, i, v) for i, v in enumerate([float("nan"), -500.0, -1000.0])], "line int, s int, z double")
