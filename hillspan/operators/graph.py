@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..sources.folders import checkpointed
+from ..sources.folders import checkpointed, removed, stored
 from .routing import MOST_ARCS, batches_of, network_of, path_schema
 
 
@@ -130,17 +130,21 @@ def strong_components(arcs: DataFrame) -> DataFrame:
 
 def connected(links: DataFrame) -> DataFrame:
     """node, component (the least node that links (u, v) lead to, in either direction) of all ends of links: every round takes the least label of a node's neighbours and then that label's own, so that labels move on by ever larger steps."""
+    spark = links.sparkSession
     both = checkpointed(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
-    label, before = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("c")).select("node", F.least("node", "c").alias("c"))), None
+    (label, at), before = stored(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("c")).select("node", F.least("node", "c").alias("c"))), None
     while True:
         near = both.join(label, F.col("v") == F.col("node")).groupBy(F.col("u").alias("node")).agg(F.min("c").alias("_n"))
-        low = label.join(near, "node").select("node", F.least("c", "_n").alias("c"))
-        low = checkpointed(low)
+        low, low_at = stored(label.join(near, "node").select("node", F.least("c", "_n").alias("c")))
         up = low.select(F.col("node").alias("c"), F.col("c").alias("_u"))
-        label = checkpointed(low.join(up, "c").select("node", F.least("c", "_u").alias("c")))
-        now = label.agg(F.sum(F.col("c").cast("decimal(38,0)"))).first()[0]
+        label, label_at = stored(low.join(up, "c").select("node", F.least("c", "_u").alias("c")))
+        removed(spark, at)
+        removed(spark, low_at)
+        at, now = label_at, label.agg(F.sum(F.col("c").cast("decimal(38,0)"))).first()[0]
         if now == before:
-            return label.select("node", F.col("c").alias("component"))
+            out = checkpointed(label.select("node", F.col("c").alias("component")))
+            removed(spark, at)
+            return out
         before = now
 
 
@@ -167,10 +171,9 @@ def directed_terms(arcs: DataFrame, up: str = "up", down: str = "down") -> DataF
 
 def consolidated(nodes: DataFrame, arcs: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, x, y) and arcs (u, v, length) with all nodes that steps of radius or less join made one: the least number, in the middle of them, with their number n. Arcs between joined nodes go; of parallel ones the shortest stays."""
-    from .geo import pairs_within
+    from .geo import near_groups
 
-    near = pairs_within(nodes, "node", radius).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    joined = connected(near)
+    joined = near_groups(nodes, "node", radius)
     named = nodes.join(joined, "node", "left").withColumn("_to", F.coalesce("component", "node"))
     out = named.groupBy(F.col("_to").alias("node")).agg(F.count("*").alias("n"), (F.sum("x") / F.count("*")).alias("x"), (F.sum("y") / F.count("*")).alias("y"))
     of = lambda end: named.select(F.col("node").alias(end), F.col("_to").alias(f"_{end}"))

@@ -266,3 +266,21 @@ def test_pairs_within_are_spread_over_tasks(spark):
     assert {(r.a, r.b): r.d2 for r in found} == want and len(found) == len(want)
     # matches of a table of one task are not one task's
     assert got.rdd.getNumPartitions() >= 4
+
+
+def test_near_groups_and_their_plans_stay_small(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.uniform(-60, 60), rng.uniform(-60, 60)) for k in range(300)] + [(300, 200.0, 200.0), (301, 203.0, 204.0), (302, 203.0, 204.0)]
+    group = {k: k for k, *_ in rows}
+    for a, ax, ay in rows:
+        for b, bx, by in rows:
+            if (ax - bx) * (ax - bx) + (ay - by) * (ay - by) <= 25 and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    got = G.near_groups(spark.createDataFrame(rows, "node long, x double, y double"), "node", 5.0)
+    assert {r.node: r.component for r in got.collect()} == group
+    line = spark.range(40).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    joined = X.connected(line)
+    assert {r.component for r in joined.collect()} == {0}
+    # rounds that join a table with itself must not multiply the plan's estimate
+    assert int(str(joined._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 60
