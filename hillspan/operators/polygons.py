@@ -10,11 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .geo import spread_by
+from .relational import broadcast_if_few
+
 #: Edges of a row of the index, at most, about; of a cell with more there are several rows.
 PART = 256
+#: Edges times heights of a strip that are worked on together, about.
+CELLS = 1 << 18
 #: Share of a cell by which an edge beside it counts as in it, so that rounding leaves no edge out.
 MARGIN = 1e-9
 _INDEX = "i long, last long, j long, poly {poly}, base int, toggles array<double>, edges array<struct<ax:double,ay:double,bx:double,by:double>>"
@@ -146,23 +152,32 @@ def trapezoids(a: np.ndarray, b: np.ndarray, bottom: float, top: float, shared:
 
     Between the heights of ends and crossings no two edges cross, so that each stretch between neighbours is in or out of each polygon as a whole.
     """
+    tall = a[:, 1::2]
+    bottom, top = max(bottom, float(tall.min(initial=top))), min(top, float(tall.max(initial=bottom)))
+    if not bottom < top:
+        return
     edges = np.concatenate([a, b])
     of_a = np.arange(len(edges)) < len(a)
     ends = edges[:, [1, 3]].ravel()
     y = np.unique(np.concatenate([np.array([bottom, top]), ends[(ends > bottom) & (ends < top)], _crossings(edges, edges, bottom, top)]))
     low, high = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
     slope = (edges[:, 2] - edges[:, 0]) / np.where(low == high, 1.0, edges[:, 3] - edges[:, 1])
-    x_at = lambda k, h: edges[k, 0] + (h - edges[k, 1]) * slope[k]
-    for y1, y2 in zip(y[:-1].tolist(), y[1:].tolist(), strict=True):
-        k = np.flatnonzero((low <= y1) & (high >= y2) & (low < high))
-        if not len(k):
-            continue
-        k = k[np.argsort(x_at(k, (y1 + y2) / 2), kind="stable")]
-        in_a, in_b = np.cumsum(of_a[k]) % 2 == 1, np.cumsum(~of_a[k]) % 2 == 1
-        left, right = x_at(k, y1), x_at(k, y2)
-        for n in np.flatnonzero((in_a & (in_b == shared))[:-1]).tolist():
-            if left[n + 1] > left[n] or right[n + 1] > right[n]:
-                yield y1, float(left[n]), float(left[n + 1]), y2, float(right[n]), float(right[n + 1])
+    sloped = low < high
+    edges, of_a, low, high, slope = edges[sloped], of_a[sloped, None], low[sloped, None], high[sloped, None], slope[sloped, None]
+    x_at = lambda h: edges[:, :1] + (h - edges[:, 1:2]) * slope
+    step = max(1, CELLS // max(1, len(edges)))
+    for at in range(0, len(y) - 1, step):
+        # a column for each stretch, where edges that do not pass it come last
+        y1, y2 = y[at : at + step][: len(y) - 1 - at], y[at + 1 : at + 1 + step]
+        passes = (low <= y1) & (high >= y2)
+        order = np.argsort(np.where(passes, x_at((y1 + y2) / 2), np.inf), axis=0, kind="stable")
+        there = np.take_along_axis(passes, order, 0)
+        mine = of_a[order, 0]
+        in_a, in_b = np.cumsum(mine & there, axis=0) % 2 == 1, np.cumsum(~mine & there, axis=0) % 2 == 1
+        left, right = np.take_along_axis(x_at(y1), order, 0), np.take_along_axis(x_at(y2), order, 0)
+        held = (in_a & (in_b == shared))[:-1] & there[1:] & ((left[1:] > left[:-1]) | (right[1:] > right[:-1]))
+        for k, n in np.argwhere(held.T).tolist():
+            yield float(y1[k]), float(left[n, k]), float(left[n + 1, k]), float(y2[k]), float(right[n, k]), float(right[n + 1, k])
 
 
 SHAPE = ["y1", "left1", "right1", "y2", "left2", "right2"]
@@ -173,18 +188,53 @@ def _strips(edges: DataFrame, name: str, size: float, first: bool) -> DataFrame:
 
 
 def _cut(edges: DataFrame, keys: list[str], size: float, shared: bool) -> DataFrame:
-    """keys and SHAPE of what the first polygon of keys holds, with edges (keys, j, first, ax, ay, bx, by) of it and of others."""
+    """keys and SHAPE of what the first polygon of keys holds, with edges (keys, j, first, ax, ay, bx, by) of it and of others.
 
-    def run(t: pa.Table) -> pa.Table:
+    Strips of keys follow one another in a task's batches, which hold many small ones; one that goes on is kept for the next batch.
+    """
+
+    def starts(t: pa.Table) -> list[int]:
+        new = np.zeros(max(0, t.num_rows - 1), bool)
+        for k in [*keys, "j"]:
+            c = t.column(k).combine_chunks()
+            unlike = pc.fill_null(pc.not_equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
+            null = c.is_null().to_numpy(zero_copy_only=False)
+            new |= unlike | (null[1:] != null[:-1])
+        return [0, *(np.flatnonzero(new) + 1).tolist()]
+
+    def shapes(t: pa.Table, at: list[int]) -> pa.RecordBatch:
         xy = np.stack([t.column(c).to_numpy() for c in ("ax", "ay", "bx", "by")], axis=1)
-        first, j = t.column("first").to_numpy(zero_copy_only=False), t.column("j")[0].as_py()
-        rows = list(trapezoids(xy[first], xy[~first], j * size, (j + 1) * size, shared))
+        first, j = t.column("first").to_numpy(), t.column("j").to_numpy()
+        rows, of = [], []
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            mine, e = first[lo:hi], xy[lo:hi]
+            if mine.any() and (not shared or not mine.all()):
+                rows += trapezoids(e[mine], e[~mine], int(j[lo]) * size, (int(j[lo]) + 1) * size, shared)
+                of += [lo] * (len(rows) - len(of))
+        own = t.select(keys).take(pa.array(of, pa.int64())).combine_chunks()
         columns = list(zip(*rows, strict=True)) or [()] * len(SHAPE)
-        own = [pa.array([t.column(c)[0].as_py()] * len(rows), t.schema.field(c).type) for c in keys]
-        return pa.table([*own, *(pa.array(c, pa.float64()) for c in columns)], [*keys, *SHAPE])
+        return pa.RecordBatch.from_arrays([*(own.column(k).combine_chunks() for k in keys), *(pa.array(c, pa.float64()) for c in columns)], [*keys, *SHAPE])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if t.num_rows:
+                at = starts(t)
+                yield shapes(t, at)
+                held = t.slice(at[-1]).combine_chunks()
+        if held is not None:
+            yield shapes(held, [0, held.num_rows])
 
     schema = ", ".join([*(f"{k} {edges.schema[k].dataType.simpleString()}" for k in keys), *(f"{c} double" for c in SHAPE)])
-    return edges.select(*keys, "j", "first", "ax", "ay", "bx", "by").groupBy(*keys, "j").applyInArrow(run, schema)
+    dealt = spread_by(edges.select(*keys, "j", "first", "ax", "ay", "bx", "by"), *keys, "j")
+    return dealt.sortWithinPartitions(*keys, "j").mapInArrow(run, schema)
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """df for a join: to all tasks if it has few rows, by count. Otherwise both sides are sorted, since a plan takes exploded rows for as few bytes as the file has that they come from, and would send them through the driver."""
+    sent = broadcast_if_few(df)
+    return df.hint("merge") if sent is df else sent
 
 
 def meeting(ea: DataFrame, eb: DataFrame, size: float) -> DataFrame:
@@ -194,7 +244,7 @@ def meeting(ea: DataFrame, eb: DataFrame, size: float) -> DataFrame:
         b = _strips(e, name, size, True).groupBy(name, "j").agg(F.min(F.least("ax", "bx")).alias(f"{name}1"), F.max(F.greatest("ax", "bx")).alias(f"{name}2"))
         return b.withColumn("i", F.explode(F.sequence(F.floor(F.col(f"{name}1") / size), F.floor(F.col(f"{name}2") / size))))
 
-    return boxes(ea, "a").join(boxes(eb, "b"), ["i", "j"]).where("a1 <= b2 AND b1 <= a2").select("a", "b", "j").distinct()
+    return boxes(ea, "a").join(_sent(boxes(eb, "b")), ["i", "j"]).where("a1 <= b2 AND b1 <= a2").select("a", "b", "j").distinct()
 
 
 def intersection(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
@@ -205,14 +255,14 @@ def intersection(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     """
     ea, eb = ring_edges(left), ring_edges(right)
     met = meeting(ea, eb, size)
-    a, b = _strips(ea, "a", size, True).join(met, ["a", "j"]), _strips(eb, "b", size, False).join(met, ["b", "j"])
+    a, b = (_sent(_strips(e, name, size, name == "a")).join(met, [name, "j"]) for name, e in (("a", ea), ("b", eb)))
     return _cut(a.unionByName(b), ["a", "b"], size, True)
 
 
 def difference(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     """a and trapezoids (SHAPE) of what a polygon of left holds and none of right, whose polygons do not overlap one another."""
     ea, eb = ring_edges(left), ring_edges(right)
-    others = _strips(eb, "b", size, False).join(meeting(ea, eb, size), ["b", "j"]).drop("b")
+    others = _sent(_strips(eb, "b", size, False)).join(meeting(ea, eb, size), ["b", "j"]).drop("b")
     return _cut(_strips(ea, "a", size, True).unionByName(others), ["a"], size, False)
 
 

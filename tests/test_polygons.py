@@ -115,6 +115,27 @@ def test_overlay_of_ragged_shapes(spark):
         assert within(rest, x, y) == (holds(a[1], x, y) and not holds(b[2], x, y))
 
 
+def test_overlays_of_many_polygons_are_not_broadcast(spark, monkeypatch):
+    """Exploded edges count as few bytes in a plan's estimate, so that they would go through the driver; strips may run over batches."""
+    from hillspan.operators import relational
+
+    r = random.Random(4)
+    a, b = ({k: [star(r, 10, 10, 9, 12)] for k in range(n)} for n in (6, 3))
+    la, lb = layer(spark, a), layer(spark, b)
+    area = lambda df, *keys: {tuple(x[:-1]): x.area for x in df.groupBy(*keys).agg(F.sum(Y.trapezoid_area()).alias("area")).collect()}
+    few = area(Y.intersection(la, lb, 2.5), "a", "b"), area(Y.difference(la, lb.where("poly = 0"), 2.5), "a")
+    monkeypatch.setattr(relational, "FEW_ROWS", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        both, rest = Y.intersection(la, lb, 2.5), Y.difference(la, lb.where("poly = 0"), 2.5)
+        for df in (both, rest):
+            assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        many = area(both, "a", "b"), area(rest, "a")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert many[0] == pytest.approx(few[0]) and many[1] == pytest.approx(few[1]) and len(few[0]) == 18
+
+
 def test_no_polygons(spark):
     none, p = layer(spark, {}), spark.createDataFrame([(1, 0.0, 0.0)], "id long, x double, y double")
     assert Y.containing(p, "id", Y.polygon_index(Y.ring_edges(none), 1.0), 1.0).collect() == []
