@@ -164,8 +164,10 @@ def with_transfers(arcs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Arcs (u, v, length) with weight and ride: rides as they are, walks (pairs a, b, d2) in both directions, dearer to choose and without energy."""
     rides = arcs.select("u", "v", "length", F.col("length").cast("double").alias("weight"), F.lit(True).alias("ride"))
     d = F.sqrt(F.col("d2").cast("double"))
-    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("p"), d.alias("length"))
-    walks = both.select("p.u", "p.v", "length", (WALK_FACTOR * F.col("length")).alias("weight"), F.lit(False).alias("ride"))
+    # one array for all pairs: an array of two structs would be made for each
+    both = pairs.select("a", "b", d.alias("length")).select("a", "b", "length", F.explode(F.array(F.lit(True), F.lit(False))).alias("there"))
+    end = lambda x, y: F.when(F.col("there"), F.col(x)).otherwise(F.col(y))
+    walks = both.select(end("a", "b").alias("u"), end("b", "a").alias("v"), "length", (WALK_FACTOR * F.col("length")).alias("weight"), F.lit(False).alias("ride"))
     return rides.withColumn("length", F.col("length").cast("double")).unionByName(walks)
 
 
