@@ -79,7 +79,8 @@ def street_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = node.select(F.col("k").alias("v"))
     way = F.array(F.struct((F.col("k") + 1).alias("v"), (20 + q).alias("w"), (F.col("n") % 4).alias("g"), (q % 5).alias("h")), F.struct((F.col("k") + STREET).alias("v"), (35 + q % 90).alias("w"), (q % 7).alias("g"), (F.col("n") % 3).alias("h")))
     street = node.select(F.col("k").alias("u"), F.explode(way).alias("x")).select("u", "x.*").where(f"u % 11 <> 0 OR v = u + {STREET}").join(ends, "v", "left_semi")
-    return street.select("u", "v", "w", "g").unionByName(street.select(F.col("v").alias("u"), F.col("u").alias("v"), "w", F.col("h").alias("g")))
+    both = F.array(F.struct("u", "v", "w", "g"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w", F.col("h").alias("g")))
+    return street.select(F.explode(both).alias("x")).select("x.*")
 
 
 def hub_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
